@@ -1,0 +1,24 @@
+"""Merge duplicates and publish the result as a new version of the tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame
+
+from gondola.operators.duplicates import Merge, merge_choices, merge_duplicates
+from gondola.session import stage
+from gondola.sources.tables import write_table
+
+
+def merge_and_write(produtos: DataFrame, precos: DataFrame, base: str, now: dt.datetime) -> Merge:
+    """Write the merged ``produtos`` and ``precos`` below ``base``, a folder not used before.
+
+    The input tables stay untouched until a reader switches to ``base``, so a
+    failed merge leaves no half-merged group. Prices are written first: a
+    ``produtos`` table in ``base`` means that the version is complete.
+    """
+    merge = merge_duplicates(produtos, precos, now, stage(merge_choices(produtos, precos), "grupos"))
+    write_table(merge.precos, base, "precos", mode="errorifexists")
+    write_table(merge.produtos, base, "produtos", mode="errorifexists")
+    return merge

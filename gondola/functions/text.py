@@ -8,7 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ANY_WHITESPACE = r"(?U)\s+"
-OUTER_WHITESPACE = r"(?U)^\s+|\s+$"
+# Every character with the Unicode White_Space property, and the ASCII separators.
+WHITESPACE_CHARACTERS = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 ALTERNATIVE_WORD = r"(?iU)\s+ou\s+"
 
 
@@ -23,8 +28,8 @@ def normalize_name(name: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove every kind of whitespace at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(text, OUTER_WHITESPACE, "")
+    """Remove every kind of whitespace at both ends (plain ``trim`` removes spaces only)."""
+    return F.trim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def format_brl(value: Column) -> Column:

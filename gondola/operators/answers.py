@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola import fixed_values as fx
+from gondola.functions.columns import compute_once
 from gondola.functions.text import let, strip
 
 FENCE_OPENER = r"```json\s*"
@@ -57,9 +58,11 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     )
     braces = F.regexp_extract("_limpo", OUTERMOST_BRACES, 0)
     no_braces = ~F.contains("_limpo", F.lit("{")) | ~F.contains("_limpo", F.lit("}"))
+    cleaned = compute_once(answers, _limpo=clean)
     return (
-        answers.withColumn("_limpo", clean)
-        .withColumn("dados", F.coalesce(_one_document(F.col("_limpo")), _one_document(braces)))
+        compute_once(
+            cleaned, dados=F.coalesce(_one_document(F.col("_limpo")), _one_document(braces))
+        )
         .withColumn(
             "erro",
             F.when(F.col("dados").isNotNull(), None)
@@ -79,28 +82,44 @@ def _kind(product: Column, name: str) -> Column:
     return F.schema_of_variant(_field(product, name))
 
 
+PRODUCT_FIELDS = (
+    "nome", "marca", "categoria", "preco", "preco_original", "em_promocao", "unidade",
+    "descricao_adicional", "confianca",
+)
+_PRODUCT_OBJECT = "struct<" + ", ".join(f"{f}: variant" for f in PRODUCT_FIELDS) + ">"
+
+
 def _read_product(product: Column, index: Column) -> Column:
-    return F.struct(
-        (index + 1).alias("pos"),
-        F.schema_of_variant(product).like("OBJECT<%").alias("objeto"),
-        _kind(product, "nome").alias("nome_tipo"),
-        _field(product, "nome", "string").alias("nome"),
-        _field(product, "marca", "string").alias("marca"),
-        _field(product, "categoria", "string").alias("categoria"),
-        _kind(product, "preco").alias("preco_tipo"),
-        _field(product, "preco", "string").alias("preco_texto"),
-        _field(product, "preco", "double").alias("preco"),
-        _kind(product, "preco_original").alias("original_tipo"),
-        _field(product, "preco_original", "string").alias("original_texto"),
-        _field(product, "preco_original", "double").alias("preco_original"),
-        _kind(product, "em_promocao").alias("promocao_tipo"),
-        _field(product, "em_promocao", "boolean").alias("em_promocao"),
-        _field(product, "unidade", "string").alias("unidade"),
-        _field(product, "descricao_adicional", "string").alias("descricao_adicional"),
-        _kind(product, "confianca").alias("confianca_tipo"),
-        _field(product, "confianca", "string").alias("confianca_texto"),
-        _field(product, "confianca", "double").alias("confianca"),
-    )
+    def typed(fields: Column) -> Column:
+        def kind(name: str) -> Column:
+            return F.schema_of_variant(fields[name])
+
+        def value(name: str, wanted: str) -> Column:
+            return F.try_variant_get(fields[name], "$", wanted)
+
+        return F.struct(
+            (index + 1).alias("pos"),
+            fields.isNotNull().alias("objeto"),
+            kind("nome").alias("nome_tipo"),
+            value("nome", "string").alias("nome"),
+            value("marca", "string").alias("marca"),
+            value("categoria", "string").alias("categoria"),
+            kind("preco").alias("preco_tipo"),
+            value("preco", "string").alias("preco_texto"),
+            value("preco", "double").alias("preco"),
+            kind("preco_original").alias("original_tipo"),
+            value("preco_original", "string").alias("original_texto"),
+            value("preco_original", "double").alias("preco_original"),
+            kind("em_promocao").alias("promocao_tipo"),
+            value("em_promocao", "boolean").alias("em_promocao"),
+            value("unidade", "string").alias("unidade"),
+            value("descricao_adicional", "string").alias("descricao_adicional"),
+            kind("confianca").alias("confianca_tipo"),
+            value("confianca", "string").alias("confianca_texto"),
+            value("confianca", "double").alias("confianca"),
+        )
+
+    return let(F.try_variant_get(product, "$", _PRODUCT_OBJECT), typed)
 
 
 def name_is_empty(item: Column) -> Column:
@@ -141,9 +160,10 @@ def _product_problem(item: Column) -> Column:
 
 def read_products(parsed: DataFrame) -> DataFrame:
     """Add ``itens``, the typed product list, and ``_produtos`` for the list checks."""
-    return parsed.withColumn("_produtos", F.try_variant_get("dados", "$.produtos", "variant")).withColumn(
-        "itens",
-        F.transform(F.try_variant_get("_produtos", "$", "array<variant>"), _read_product),
+    listed = F.try_variant_get("_produtos", "$", "array<variant>")
+    return compute_once(
+        parsed.withColumn("_produtos", F.try_variant_get("dados", "$.produtos", "variant")),
+        itens=F.transform(listed, _read_product),
     )
 
 
@@ -157,7 +177,7 @@ def validate(parsed: DataFrame) -> DataFrame:
         .when(F.size("itens") == 0, fx.MSG_NO_PRODUCTS)
         .otherwise(F.get(problems, F.lit(0)))
     )
-    return read_products(parsed).withColumn("invalido", rules).drop("_produtos")
+    return compute_once(read_products(parsed), invalido=rules).drop("_produtos")
 
 
 def _date(text: Column) -> Column:

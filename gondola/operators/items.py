@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola import fixed_values as fx
+from gondola.functions.columns import compute_once
 from gondola.functions.text import let, split_alternatives
 from gondola.operators.answers import is_number_text, name_is_empty, number_from_text
 
@@ -68,72 +69,100 @@ def _gate(item: Column) -> Column:
     comes after the product was looked up or created, so that product stays
     and the remaining alternatives are given up.
     """
-    original = optional_number(item["original_tipo"], item["original_texto"], item["preco_original"])
-    confidence = optional_number(item["confianca_tipo"], item["confianca_texto"], item["confianca"])
     prefix = F.concat(F.lit("Erro ao processar produto "), item["pos"].cast("string"), F.lit(": "))
+    no_names = F.array().cast("array<string>")
     kind = item["preco_tipo"]
-
-    no_name = name_is_empty(item)
-    name_not_text = item["nome_tipo"] != "STRING"
     price_not_number = (
         (kind == "STRING") | kind.startswith("ARRAY<") | kind.startswith("OBJECT<")
     )
     bad_price = kind.isNull() | (kind == "VOID") | (item["preco"] < 0)
+    # outcome of the checks that come before the price is stored
+    early = (
+        F.when(name_is_empty(item), "sem nome")
+        .when(item["nome_tipo"] != "STRING", "nome")
+        .when(price_not_number, "tipo do preco")
+        .when(bad_price, "preco")
+    )
     too_long = F.coalesce(
         (F.length(item["marca"]) > fx.MAX_BRAND)
         | (F.length(item["categoria"]) > fx.MAX_CATEGORY),
         F.lit(False),
     )
-    late = F.coalesce(
-        _optional_problem(
-            "preco_original", item["original_tipo"], item["original_texto"], original, fx.PRICE_LIMIT
-        ),
-        _optional_problem(
-            "confianca", item["confianca_tipo"], item["confianca_texto"], confidence, fx.CONFIDENCE_LIMIT
-        ),
-        F.when(F.round(item["preco"], 2) >= fx.PRICE_LIMIT, F.lit("preco fora do limite")),
-        _promotion_problem(item["promocao_tipo"], item["em_promocao"]),
-        F.when(
-            F.length(item["unidade"]) > fx.MAX_UNIT,
-            F.lit(f"unidade com mais de {fx.MAX_UNIT} caracteres"),
-        ),
+    numbers = F.struct(
+        optional_number(
+            item["original_tipo"], item["original_texto"], item["preco_original"]
+        ).alias("original"),
+        optional_number(
+            item["confianca_tipo"], item["confianca_texto"], item["confianca"]
+        ).alias("confianca"),
+        split_alternatives(F.coalesce(item["nome"], F.lit(""))).alias("nomes"),
+        early.alias("cedo"),
     )
-    long_text = F.concat(prefix, F.lit("texto maior que a coluna"))
-    no_names = F.array().cast("array<string>")
 
-    def decide(names: Column) -> Column:
-        fits = F.when(too_long, F.lit(0)).otherwise(_leading_short_names(names))
-        kept = F.when(late.isNotNull(), F.least(fits, F.lit(1))).otherwise(fits)
+    def check(n: Column) -> Column:
+        late = F.coalesce(
+            _optional_problem(
+                "preco_original", item["original_tipo"], item["original_texto"], n["original"],
+                fx.PRICE_LIMIT,
+            ),
+            _optional_problem(
+                "confianca", item["confianca_tipo"], item["confianca_texto"], n["confianca"],
+                fx.CONFIDENCE_LIMIT,
+            ),
+            F.when(F.round(item["preco"], 2) >= fx.PRICE_LIMIT, F.lit("preco fora do limite")),
+            _promotion_problem(item["promocao_tipo"], item["em_promocao"]),
+            F.when(
+                F.length(item["unidade"]) > fx.MAX_UNIT,
+                F.lit(f"unidade com mais de {fx.MAX_UNIT} caracteres"),
+            ),
+        )
+        fits = F.when(too_long, F.lit(0)).otherwise(_leading_short_names(n["nomes"]))
+        return let(F.struct(late.alias("tarde"), fits.alias("cabem")), lambda c: decide(n, c))
+
+    def decide(n: Column, c: Column) -> Column:
+        names, late, fits = n["nomes"], c["tarde"], c["cabem"]
+        cut = (fits == 0) | (late.isNull() & (fits < F.size(names)))
         errors = (
-            F.when(no_name, F.array(F.concat(F.lit("Produto "), item["pos"].cast("string"), F.lit(": nome vazio"))))
-            .when(name_not_text, F.array(F.concat(prefix, F.lit("nome não é texto"))))
+            F.when(
+                n["cedo"] == "sem nome",
+                F.array(
+                    F.concat(F.lit("Produto "), item["pos"].cast("string"), F.lit(": nome vazio"))
+                ),
+            )
+            .when(n["cedo"] == "nome", F.array(F.concat(prefix, F.lit("nome não é texto"))))
             .when(F.size(names) == 0, no_names)
-            .when(price_not_number, F.array(F.concat(prefix, F.lit("preço não é número"))))
             .when(
-                bad_price,
-                F.transform(names, lambda n: F.concat(F.lit("Produto "), n, F.lit(": preço inválido"))),
+                n["cedo"] == "tipo do preco", F.array(F.concat(prefix, F.lit("preço não é número")))
+            )
+            .when(
+                n["cedo"] == "preco",
+                F.transform(
+                    names, lambda x: F.concat(F.lit("Produto "), x, F.lit(": preço inválido"))
+                ),
             )
-            .when((fits == 0) | (late.isNull() & (fits < F.size(names))), F.array(long_text))
+            .when(cut, F.array(F.concat(prefix, F.lit("texto maior que a coluna"))))
             .when(late.isNotNull(), F.array(F.concat(prefix, late)))
             .otherwise(no_names)
         )
-        rejected = no_name | name_not_text | F.coalesce(price_not_number, F.lit(False)) | bad_price
+        kept = F.when(late.isNotNull(), F.least(fits, F.lit(1))).otherwise(fits)
         return F.struct(
             item["pos"].alias("pos"),
-            F.when(rejected, no_names).otherwise(F.slice(names, F.lit(1), kept)).alias("nomes"),
+            F.when(n["cedo"].isNotNull(), no_names)
+            .otherwise(F.slice(names, F.lit(1), kept))
+            .alias("nomes"),
             late.isNull().alias("gravar"),
             errors.alias("erros"),
             item["marca"].alias("marca"),
             item["categoria"].alias("categoria"),
             item["preco"].alias("preco"),
-            original.alias("preco_original"),
+            n["original"].alias("preco_original"),
             promotion_flag(item["promocao_tipo"], item["em_promocao"]).alias("em_promocao"),
             item["unidade"].alias("unidade"),
             item["descricao_adicional"].alias("descricao_adicional"),
-            confidence.alias("confianca"),
+            n["confianca"].alias("confianca"),
         )
 
-    return let(split_alternatives(F.coalesce(item["nome"], F.lit(""))), decide)
+    return let(numbers, check)
 
 
 def _leading_short_names(names: Column) -> Column:
@@ -151,11 +180,11 @@ def gate_items(flyers: DataFrame) -> DataFrame:
     Flyers that failed as a whole get NULL lists.
     """
     sound = F.col("erro").isNull()
-    return (
-        flyers.withColumn("total_produtos", F.when(sound, F.size("itens")))
-        .withColumn("itens", F.when(sound, F.transform("itens", _gate)))
-        .withColumn("erros", F.flatten(F.transform("itens", lambda it: it["erros"])))
+    gated = compute_once(
+        flyers.withColumn("total_produtos", F.when(sound, F.size("itens"))),
+        itens=F.when(sound, F.transform("itens", _gate)),
     )
+    return gated.withColumn("erros", F.flatten(F.transform("itens", lambda it: it["erros"])))
 
 
 def saved_items(gated: DataFrame, *keep: str) -> DataFrame:

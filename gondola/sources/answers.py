@@ -17,8 +17,7 @@ def read_answer_table(spark: SparkSession, path: str) -> DataFrame:
 def read_answer_files(spark: SparkSession, path: str) -> DataFrame:
     """Answers kept as one text file per flyer."""
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(
             file_name(F.col("_metadata.file_path")).alias("nome_arquivo"),
             F.col("_metadata.file_path").alias("caminho_arquivo"),

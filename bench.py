@@ -23,7 +23,7 @@ HEADLINE = (
     "store_upsert", "cascade_delete", "fk_violations", "export_prices",
     "duplicate_groups", "duplicate_links", "duplicate_members", "merge_products", "merge_transfer",
     "merge_stats", "parse_answers", "validate_answers", "expand_alternatives",
-    "normalize_name_documents", "flyer_top3", "ingest_stats", "ingest_prices", "ingest_incremental",
+    "normalize_name", "flyer_top3", "ingest_stats", "ingest_prices", "ingest_incremental",
 )
 
 

@@ -59,9 +59,11 @@ def file_name(path: Column) -> Column:
 
 def split_alternatives(name: Column) -> Column:
     """``Picanha OU Alcatra`` -> two names; a name without the word stays as it is."""
-    return let(
+    parts = let(
         F.split(name, ALTERNATIVE_WORD, -1),
         lambda parts: F.when(
             F.size(parts) > 1, F.filter(F.transform(parts, strip), lambda p: p != "")
-        ).otherwise(F.array(name)),
+        ),
     )
+    # the plain search spares most names the pattern
+    return F.coalesce(F.when(F.contains(F.lower(name), F.lit("ou")), parts), F.array(name))

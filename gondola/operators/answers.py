@@ -14,8 +14,10 @@ from gondola import fixed_values as fx
 from gondola.functions.columns import compute_once
 from gondola.functions.text import let, strip
 
+FENCE = "```"
 FENCE_OPENER = r"```json\s*"
 FENCE_CLOSER = r"```\s*$"
+JSON_START = r"^[{\[\"\-0-9tfn]"
 OUTERMOST_BRACES = r"(?s)\{.*\}"
 
 NUMBER_TEXT = (
@@ -53,15 +55,17 @@ def _one_document(text: Column) -> Column:
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Add ``dados`` (VARIANT) and ``erro`` (text, NULL when parsed) to the answers."""
-    clean = strip(
-        F.regexp_replace(F.regexp_replace("texto", FENCE_OPENER, ""), FENCE_CLOSER, "")
-    )
+    unfenced = F.regexp_replace(F.regexp_replace("texto", FENCE_OPENER, ""), FENCE_CLOSER, "")
+    clean = strip(F.when(F.contains("texto", F.lit(FENCE)), unfenced).otherwise(F.col("texto")))
+    # prose before the document would only make the parser throw
+    may_be_json = F.col("_limpo").rlike(JSON_START)
+    whole = _one_document(F.col("_limpo"))
     braces = F.regexp_extract("_limpo", OUTERMOST_BRACES, 0)
     no_braces = ~F.contains("_limpo", F.lit("{")) | ~F.contains("_limpo", F.lit("}"))
     cleaned = compute_once(answers, _limpo=clean)
     return (
         compute_once(
-            cleaned, dados=F.coalesce(_one_document(F.col("_limpo")), _one_document(braces))
+            cleaned, dados=F.coalesce(F.when(may_be_json, whole), _one_document(braces))
         )
         .withColumn(
             "erro",

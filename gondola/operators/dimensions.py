@@ -2,8 +2,8 @@
 
 "Newest" and "first" are taken by ``max_by`` / ``min_by``, which combine on the
 map side, so a name that a third of the rows share is reduced before the
-shuffle. Joins back to the rows have one row per key on the other side, which
-lets adaptive execution split a hot key's partition.
+shuffle. Joins back to the rows have one row per key on the other side and go
+through ``per_key``, so adaptive execution can split a hot key's partition.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gondola.functions.skew import per_key
 from gondola.functions.text import normalize_name
 from gondola.operators.categories import resolve_category
 from gondola.operators.ids import assign_ids
@@ -40,8 +41,11 @@ def latest_products(produtos: DataFrame) -> DataFrame:
 
 def lookup_products(requests: DataFrame, produtos: DataFrame, name: str = "nome") -> DataFrame:
     """Add ``produto_id`` of the newest product with the same normalised name."""
-    latest = latest_products(produtos).select(
-        F.col("nome_normalizado").alias("_chave"), F.col("produto.id").alias("produto_id")
+    latest = per_key(
+        latest_products(produtos).select(
+            F.col("nome_normalizado").alias("_chave"), F.col("produto.id").alias("produto_id")
+        ),
+        "_chave",
     )
     return requests.join(
         latest, normalize_name(F.col(name)) == F.col("_chave"), "left"
@@ -73,8 +77,10 @@ def lookup_products_by_brand(
     )
     key = normalize_name(F.col(name))
     wanted = F.lower(F.col(brand))
-    joined = requests.join(by_name, key == F.col("_nome"), "left").join(
-        branded, (key == F.col("_nome_m")) & (wanted == F.col("_marca")), "left"
+    joined = requests.join(per_key(by_name, "_nome"), key == F.col("_nome"), "left").join(
+        per_key(branded, "_nome_m", "_marca"),
+        (key == F.col("_nome_m")) & (wanted == F.col("_marca")),
+        "left",
     )
 
     def newer(left: str, right: str) -> Column:
@@ -120,14 +126,18 @@ def get_or_create_products(
     item in ``order`` gives a new product its name, brand and category.
     """
     position = F.struct(*order)
-    firsts = (
+    firsts = stage(
         items.groupBy(normalize_name(F.col("nome")).alias("nome_normalizado"))
         .agg(
             F.min_by(F.struct("nome", "marca", "categoria"), position).alias("item"),
             F.min(position).alias("primeira"),
-        )
+        ),
+        "nomes",
     )
-    existing = latest_products(produtos).select(
+    # only products with a name of this batch are compared, so a small batch
+    # does not shuffle a large product table
+    named = produtos.join(firsts.select("nome_normalizado"), "nome_normalizado", "left_semi")
+    existing = latest_products(named).select(
         "nome_normalizado", F.col("produto.id").alias("_existente")
     )
     keys = stage(firsts.join(existing, "nome_normalizado", "left"), "chaves")

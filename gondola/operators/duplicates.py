@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola import fixed_values as fx
+from gondola.functions.skew import per_key
 
 FILLABLE = ("marca", "categoria_id", "codigo_barras", "descricao")
 
@@ -60,7 +61,7 @@ def duplicate_links(produtos: DataFrame, ordered: bool = True) -> DataFrame:
     )
     links = (
         produtos.select("nome_normalizado", F.struct(*shown).alias("p2"))
-        .join(first, "nome_normalizado")
+        .join(per_key(first, "nome_normalizado"), "nome_normalizado")
         .where(F.col("p2.id") != F.col("p1.id"))
         .select(
             *(F.col(f"p1.{c}").alias(f"produto1_{c}") for c in shown),
@@ -131,7 +132,7 @@ def duplicate_members(produtos: DataFrame, precos: DataFrame, ordered: bool = Tr
     """The products of every duplicated name with their number of prices, oldest first."""
     names = _named(produtos).groupBy("nome_normalizado").agg(F.count("*").alias("_n"))
     members = _with_price_counts(produtos, precos).join(
-        names.where("_n > 1"), "nome_normalizado"
+        per_key(names.where("_n > 1"), "nome_normalizado"), "nome_normalizado"
     ).select(
         "nome_normalizado", "id", "nome", "marca", "categoria", "categoria_id",
         "categoria_sugerida", "codigo_barras", "descricao", "created_at", "total_precos",
@@ -190,7 +191,7 @@ def replacement_ids(produtos: DataFrame, choices: DataFrame) -> DataFrame:
     kept = choices.select("nome_normalizado", F.col("principal_id").alias("novo_id"))
     return (
         _named(produtos).select("nome_normalizado", F.col("id").alias("produto_id"))
-        .join(kept, "nome_normalizado")
+        .join(per_key(kept, "nome_normalizado"), "nome_normalizado")
         .where(F.col("produto_id") != F.col("novo_id"))
         .select("produto_id", "novo_id")
     )
@@ -210,7 +211,7 @@ def merged_products(produtos: DataFrame, choices: DataFrame, now: dt.datetime) -
     kept = choices.select(
         "nome_normalizado", "principal_id", *(f"novo_{c}" for c in FILLABLE)
     )
-    joined = produtos.join(kept, "nome_normalizado", "left").where(
+    joined = produtos.join(per_key(kept, "nome_normalizado"), "nome_normalizado", "left").where(
         F.col("principal_id").isNull() | (F.col("principal_id") == F.col("id"))
     )
     receives = {c: ~F.coalesce(_filled(c), F.lit(False)) & F.col(f"novo_{c}").isNotNull() for c in FILLABLE}

@@ -52,12 +52,14 @@ def ingest(
     placed = sound.withColumn("chave", F.lower("loja")).join(
         stores.select("chave", "supermercado_id"), "chave", "left"
     )
+    keys, new_products = get_or_create_products(
+        saved_items(sound, "caminho_arquivo"), produtos, categorias, ITEM_ORDER, now
+    )
     items = saved_items(
         placed,
         "id", "nome_arquivo", "caminho_arquivo", "supermercado_id", "validade_inicio", "validade_fim",
     ).withColumnRenamed("id", "imagem_id")
 
-    keys, new_products = get_or_create_products(items, produtos, categorias, ITEM_ORDER, now)
     resolved = (
         items.withColumn("nome_normalizado", normalize_name(F.col("nome")))
         .join(keys, "nome_normalizado")

@@ -282,12 +282,12 @@ FROM (SELECT *, l_extendedprice * l_quantity * 100 AS p,
 """)
 
 # ---- scalar functions
-_add("normalize_name_documents", [], """
+_add("normalize_name", [], """
 SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS nome_normalizado FROM documents
 """)
 _add("normalize_name_products", [PRODUTOS_CRUS], "SELECT id, nome, nome_normalizado FROM produtos_crus")
 _add("normalize_name_sql", [PRODUTOS_CRUS], "SELECT id, nome_normalizado FROM produtos_crus")
-_add("format_brl_prices", [PRECOS], """
+_add("format_brl", [PRECOS], """
 SELECT id, 'R$ ' || translate(format('{:,.2f}', CAST(preco AS DOUBLE)), ',.', '.,') AS texto FROM precos
 """)
 _add("truncate_labels", [], """

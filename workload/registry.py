@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.functions import sql as sql_functions
-from gondola.functions.text import ellipsis, format_brl, normalize_name, split_alternatives
+from gondola.functions import text as text_rules
 from gondola.operators import answers, categories, dimensions, duplicates, items, maintenance, reports
 from gondola.plans import ingest as ingest_plan
-from gondola.session import scratch_path, stage
+from gondola.session import scratch_path
 from gondola.sinks import exports
 from gondola.sources import images
 from gondola.sources.answers import read_answer_table
@@ -204,9 +204,9 @@ def admission_checks(spark, d):
 
 
 @query
-def normalize_name_documents(spark, d):
+def normalize_name(spark, d):
     return t.read(spark, d, "documents").select(
-        "doc_id", normalize_name(F.col("text")).alias("nome_normalizado")
+        "doc_id", text_rules.normalize_name(F.col("text")).alias("nome_normalizado")
     )
 
 
@@ -222,15 +222,17 @@ def normalize_name_sql(spark, d):
 
 
 @query
-def format_brl_prices(spark, d):
-    return t.precos(spark, d).select("id", format_brl(F.col("preco")).alias("texto"))
+def format_brl(spark, d):
+    return t.precos(spark, d).select("id", text_rules.format_brl(F.col("preco")).alias("texto"))
 
 
 @query
 def truncate_labels(spark, d):
     text = F.col("text")
     return t.read(spark, d, "documents").select(
-        "doc_id", ellipsis(text, 50).alias("rotulo50"), ellipsis(text, 25).alias("rotulo25")
+        "doc_id",
+        text_rules.ellipsis(text, 50).alias("rotulo50"),
+        text_rules.ellipsis(text, 25).alias("rotulo25"),
     )
 
 

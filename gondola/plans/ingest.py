@@ -43,7 +43,8 @@ def ingest(
     now: dt.datetime,
     store_override: str | None = None,
 ) -> Ingest:
-    flyers = assign_ids(gate_items(read_flyers(answers, store_override)), imagens)
+    checked = read_flyers(answers, store_override).drop("texto")
+    flyers = assign_ids(gate_items(checked), imagens)
     sound = flyers.where(F.col("erro").isNull())
 
     stores, new_stores = get_or_create_stores(

@@ -43,6 +43,10 @@ def ingest(
     now: dt.datetime,
     store_override: str | None = None,
 ) -> Ingest:
+    """Ingest all flyers of ``answers`` on top of the stored tables.
+
+    Of ``imagens`` and ``precos`` only the largest ``id`` is read.
+    """
     checked = read_flyers(answers, store_override).drop("texto")
     flyers = assign_ids(gate_items(checked), imagens)
     sound = flyers.where(F.col("erro").isNull())

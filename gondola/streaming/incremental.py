@@ -13,25 +13,30 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType
 
 from gondola import schemas
 from gondola.operators.categories import default_categories
 from gondola.plans.ingest import ingest
 
 STATE = ("imagens", "supermercados", "produtos", "precos")
+# tables an ingest only needs the last id of
+NUMBERED = ("imagens", "precos")
+LAST_IDS = "ultimos_ids"
 BATCH = "lote"
 
 
 def read_state(spark: SparkSession, base: str, name: str, before: int | None = None) -> DataFrame:
     """Rows of a table from all batches, or from those before batch ``before``."""
-    schema = schemas.empty_table(spark, name).schema.add(BATCH, LongType())
+    return _read(spark, base, name, schemas.TABLES[name], before)
+
+
+def _read(spark: SparkSession, base: str, name: str, schema: str, before: int | None) -> DataFrame:
     try:
-        rows = spark.read.schema(schema).parquet(f"{base}/{name}")
+        rows = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(f"{base}/{name}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return schemas.empty_table(spark, name)
+        return spark.createDataFrame([], schema)
     if before is not None:
         rows = rows.where(F.col(BATCH) < before)
     return rows.drop(BATCH)
@@ -41,6 +46,23 @@ def _write(df: DataFrame, base: str, name: str, batch: int) -> None:
     schemas.conform(df, name).write.mode("overwrite").parquet(f"{base}/{name}/{BATCH}={batch}")
 
 
+def _write_last_ids(spark: SparkSession, base: str, batch: int) -> None:
+    """Keep the largest ids of a batch, so that the next one need not scan the log and the prices."""
+    last = [
+        spark.read.parquet(f"{base}/{name}/{BATCH}={batch}").agg(
+            F.lit(name).alias("tabela"), F.max("id").alias("id")
+        )
+        for name in NUMBERED
+    ]
+    last[0].unionByName(last[1]).write.mode("overwrite").parquet(f"{base}/{LAST_IDS}/{BATCH}={batch}")
+
+
+def _last_ids(spark: SparkSession, base: str, name: str, before: int) -> DataFrame:
+    return _read(spark, base, LAST_IDS, "tabela string, id bigint", before).where(
+        F.col("tabela") == name
+    )
+
+
 def start_ingest(
     spark: SparkSession,
     answers_path: str,
@@ -54,19 +76,19 @@ def start_ingest(
 
     def save(answers: DataFrame, batch: int) -> None:
         session = answers.sparkSession
-        state = {name: read_state(session, base, name, before=batch) for name in STATE}
         result = ingest(
             answers,
-            state["imagens"],
-            state["supermercados"],
-            state["produtos"],
-            state["precos"],
+            _last_ids(session, base, "imagens", batch),
+            read_state(session, base, "supermercados", before=batch),
+            read_state(session, base, "produtos", before=batch),
+            _last_ids(session, base, "precos", batch),
             default_categories(session),
             now,
             store_override,
         )
         for name in STATE:
             _write(getattr(result, name), base, name, batch)
+        _write_last_ids(session, base, batch)
 
     return (
         spark.readStream.schema(schemas.RESPOSTAS)

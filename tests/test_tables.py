@@ -291,3 +291,15 @@ def test_global_stats_of_nothing(spark):
         "total_produtos": 0, "total_supermercados": 0, "total_precos": 0, "total_imagens": 0,
         "preco_medio": 0.0, "total_promocoes": 0,
     }
+
+
+def test_repeated_batch_replaces_its_output(spark, tmp_path):
+    """A batch that failed before its commit runs again: nothing is doubled, ids stay."""
+    base, source = str(tmp_path / "t"), str(tmp_path / "a")
+    answers_of(spark, FLYERS).coalesce(1).write.parquet(source)
+    start_ingest(spark, source, base, str(tmp_path / "c1"), NOW).awaitTermination()
+    first = {n: sorted(r.id for r in read_state(spark, base, n).collect()) for n in ("produtos", "precos", "imagens")}
+    # a fresh checkpoint makes the stream start again at batch 0
+    start_ingest(spark, source, base, str(tmp_path / "c2"), NOW).awaitTermination()
+    again = {n: sorted(r.id for r in read_state(spark, base, n).collect()) for n in ("produtos", "precos", "imagens")}
+    assert first == again

@@ -53,7 +53,9 @@ def src_raw_answers(spark, d):
         "caminho_arquivo",
         F.col("texto").startswith("```json").alias("em_bloco"),
         F.contains("texto", F.lit('"produtos":[')).alias("tem_lista"),
-        F.length(F.regexp_extract("texto", r'"supermercado":"([^"]*)"', 1)).alias("tamanho_loja"),
+        F.length(F.regexp_extract("texto", r'"supermercado":"([^"]*)"', 1))
+        .cast("bigint")
+        .alias("tamanho_loja"),
     )
 
 

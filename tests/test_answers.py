@@ -1,7 +1,6 @@
 import datetime as dt
 import json
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

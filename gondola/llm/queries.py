@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import licenses, quality_rules
+from gondola.llm import licenses, packing, quality_rules
 from gondola.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file; its folder is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
     QUERIES[function.__name__] = function
     return function
@@ -35,6 +42,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

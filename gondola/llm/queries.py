@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import licenses, packing, quality_rules
+from gondola.llm import licenses, packing, quality_rules, substring_dedup
 from gondola.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,36 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = substring_dedup.remove_repeats(docs, window=20, with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL["op7_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM w WHERE len(words) >= 20
+), k AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 19], ' ') AS seq FROM s
+), f AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY seq ORDER BY doc_id, pos) AS place FROM k
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS word FROM f WHERE place > 1
+), r AS (
+  SELECT doc_id, list(word) AS gone FROM g GROUP BY doc_id
+), p AS (
+  SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(array_to_string([words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(gone, i)], ' '))
+    AS kept_sha256
+FROM p
+"""
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import licenses, packing, quality_rules, substring_dedup
+from gondola.llm import licenses, packing, quality_rules, substring_dedup, warc
 from gondola.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, rules)
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archive(read(spark, sf_dir, "pages"), folder)
+    found = warc.read_records(index, folder, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+SQL["op10_warc"] = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+    array_to_string([
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(hex, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)
+      FOR k IN range(32)], '') AS digest
+  FROM p
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, url
+FROM d
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import licenses, packing, quality_rules, substring_dedup, warc
+from gondola.llm import licenses, near_dedup, packing, quality_rules, substring_dedup, warc
 from gondola.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,45 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = near_dedup.Settings(shingle_words=2)
+    return near_dedup.groups(read(spark, sf_dir, "documents"), settings)
+
+
+SQL["op5_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE
+    WHEN len(words) = 0 THEN []
+    WHEN len(words) = 1 THEN words
+    ELSE list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) END AS shingles
+  FROM w
+), e AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), c AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) + any_value(y.n) AS total, count(*) AS common
+  FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY ALL
+), l AS (
+  SELECT a, b FROM c WHERE 100 * common >= 80 * (total - common)
+), r AS (
+  SELECT doc_id AS id, doc_id AS reach FROM s
+  UNION
+  SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a
+), m AS (
+  SELECT id, min(reach) AS component_id FROM r GROUP BY id
+)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN m ON m.id = s.doc_id
+"""
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import licenses, near_dedup, packing, quality_rules, substring_dedup, warc
+from gondola.llm import licenses, near_dedup, packing, quality_rules, substring_dedup, templates, warc
 from gondola.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return function
 
 
+@query
+def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.extract(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read(spark, sf_dir, "documents"))
@@ -52,7 +58,8 @@ SQL["op5_near_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+') AS words
+    '[^ 	-
+]+') AS words
   FROM documents
 ), s AS (
   SELECT doc_id, CASE

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import licenses, near_dedup, packing, quality_rules, substring_dedup, templates, warc
+from gondola.llm import language_model, licenses, near_dedup, packing, quality_rules, substring_dedup, templates, warc
 from gondola.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.train(docs))
+
+
 @query
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = near_dedup.Settings(shingle_words=2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import language_model, licenses, near_dedup, packing, quality_rules, substring_dedup, templates, warc
+from gondola.llm import language_model, licenses, metric_tree, near_dedup, packing, quality_rules, substring_dedup, templates, warc
 from gondola.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,29 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return function
 
 
+@query
+def op1_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = metric_tree.whole_vectors(read(spark, sf_dir, "embeddings"), 1024)
+    index = metric_tree.build_index(vectors)
+    if index is None:
+        return vectors.selectExpr("id as query_id", "1 as rank", "id as vec_id", "id as score").limit(0)
+    return metric_tree.top_k(index, vectors.where("id % 100 = 0"), 10)
+
+
+SQL["op1_metric_tree_search"] = r"""
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 @query
 def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = templates.extract(read(spark, sf_dir, "pages"))

@@ -11,6 +11,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from gondola.session import stage
 
 # Before a space that a visible character follows, the tokenizer always begins a new piece.
 CUT = re.compile(r" (?=\S)")
+ODD = re.compile(r" (?:\s|\Z)")  # where a plain split at spaces would cut elsewhere
 
 
 @dataclass(frozen=True)
@@ -48,36 +50,38 @@ class Choice:
     weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4)
 
 
-class PieceIds(dict):
-    """Text between two cuts -> its token ids as little-endian bytes."""
+class PieceIds:
+    """Token ids of texts as little-endian bytes, by what is known of the parts between spaces.
 
-    def __init__(self, tokenizer_path: str, limit: int = 500_000):
+    Only parts that are new reach the tokenizer; the store starts afresh when full.
+    """
+
+    def __init__(self, tokenizer_path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
         self.limit = limit
+        self.parts: dict[str, bytes] = {}
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode what is new in one call; start afresh when full."""
-        fresh = [p for p in pieces if p not in self]
-        if len(self) + len(fresh) > self.limit:
-            self.clear()
-            fresh = list(pieces)
-        for piece, encoded in zip(
-            fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        ):
-            self[piece] = np.array(encoded.ids, "<u4").tobytes()
+    def ids(self, pieces: list[str]) -> Iterator[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return (array("I", e.ids).tobytes() for e in encoded)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = []
-        for text in texts:
-            first, *rest = CUT.split(text)
-            cut.append([first, *(" " + p for p in rest)])
-        self.learn(set().union(*cut))
-        return (b"".join(map(self.__getitem__, pieces)) for pieces in cut)
+        cut = [CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
+        firsts = list({c[0] for c in cut})
+        firsts = dict(zip(firsts, self.ids(firsts)))
+        rest = set().union(*(c[1:] for c in cut))
+        fresh = list(rest - self.parts.keys())
+        if len(self.parts) + len(fresh) > self.limit:
+            self.parts.clear()
+            fresh = list(rest)
+        self.parts.update(zip(fresh, self.ids([" " + p for p in fresh])))
+        known = self.parts.__getitem__
+        for first, *others in cut:
+            yield firsts[first] + b"".join(map(known, others))
 
 
 _encoders: dict[str, PieceIds] = {}

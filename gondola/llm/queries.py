@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import language_model, licenses, metric_tree, near_dedup, packing, quality_rules, substring_dedup, templates, warc
+from gondola.llm import (
+    language_model,
+    licenses,
+    metric_tree,
+    near_dedup,
+    packing,
+    quality_rules,
+    sentencepiece_codec,
+    substring_dedup,
+    templates,
+    warc,
+)
 from gondola.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +164,20 @@ FROM p
 """
 
 
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    encoded = sentencepiece_codec.encode(read(spark, sf_dir, "documents"), model)
+    decoded = sentencepiece_codec.decode(encoded, model)
+    return decoded.select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.length("text").cast("long").alias("decoded_chars"),
+        (F.xxhash64("text") == F.col("tag")).alias("round_trip"),
+    )
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

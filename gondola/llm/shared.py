@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,9 +25,15 @@ MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of these operators; workers that see this folder import from it."""
     session.prepare(spark)
     for key, value in BATCH_SETTINGS.items():
         spark.conf.set(key, value)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    root = str(Path(session.__file__).resolve().parents[1])
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
 
 

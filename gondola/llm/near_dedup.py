@@ -325,3 +325,16 @@ def groups(
             F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def keep_one(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that ``groups`` does not keep.
+
+    Rows without id stay, and so do all rows that share a kept id.
+    """
+    settings = settings or Settings()
+    gone = stage(
+        groups(docs, settings, key, text).where("not kept").select(F.col("doc_id").alias(key)).distinct(), "dropped"
+    )
+    few = gone.count() <= settings.broadcast_ids
+    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")

@@ -14,8 +14,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,12 +55,16 @@ class Windows:
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, tag, text: rows of one id with different texts stay apart by the tag."""
-    return docs.select(
+    return docs.select(*_keyed_columns(key, text))
+
+
+def _keyed_columns(key: str, text: str) -> list[Column]:
+    """id, tag, text: rows of one id with different texts stay apart by the tag (32 bits)."""
+    return [
         F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(F.col(f"`{text}`")).alias("tag"),
+        F.hash(F.col(f"`{text}`")).alias("tag"),
         F.col(f"`{text}`").alias("text"),
-    )
+    ]
 
 
 def repeated_halves(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,39 +99,44 @@ def later_windows(
 
     def settle(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         """Of equal windows the earliest goes on, the others are later in any case."""
-        full, half, ids, tags, starts = (np.concatenate(c) for c in zip(*rows))
-        order = np.lexsort((starts, ids, full, half))
-        full, half, ids, tags, starts = (c[order] for c in (full, half, ids, tags, starts))
+        full, half, ids, places = (np.concatenate(c) for c in zip(*rows))
+        order = np.lexsort((places, ids, full, half))
+        full, half, ids, places = (c[order] for c in (full, half, ids, places))
         new = np.ones(len(full), np.bool_)
         new[1:] = (full[1:] != full[:-1]) | (half[1:] != half[:-1])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(full)), 0))
         # rows that tie with the earliest (the same id and start) are not later than it
-        ahead = (ids == ids[lead]) & (starts == starts[lead])
-        for later, keep in ((False, ahead), (True, ~ahead)):
-            f, h, i, t, s = (c[keep] for c in (full, half, ids, tags, starts))
-            if later:
-                order = np.lexsort((s, t, i))
-                i, t, s = i[order], t[order], s[order]
-                edge = np.ones(len(i), np.bool_)
-                edge[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1])
-                cut = np.flatnonzero(edge)
-                offsets = np.append(cut, len(i))
-                i, t = i[cut], t[cut]
-                f, h = i.view(np.uint64) * np.uint64(3) + t.view(np.uint64), t.view(np.uint64)  # any key will do
-            else:
-                offsets = np.arange(len(i) + 1)
-            if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(as_signed(f)),
-                        pa.array(as_signed(h)),
-                        pa.array(i),
-                        pa.array(t),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s, pa.int32())),
-                        pa.array(np.full(len(i), later)),
-                    ],
-                    names=["full", "half", "id", "tag", "starts", "later"],
-                )
+        first = (ids == ids[lead]) & (places >> 32 == places[lead] >> 32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(as_signed(full[first])),
+                pa.array(as_signed(half[first])),
+                pa.array(ids[first]),
+                pa.array(places[first]),
+                pa.nulls(int(first.sum()), pa.list_(pa.int32())),
+            ],
+            names=["full", "half", "id", "place", "starts"],
+        )
+        ids, places = ids[~first], places[~first]
+        if not len(ids):
+            return
+        tags = places & 0xFFFFFFFF
+        order = np.lexsort((places, tags, ids))
+        ids, tags, starts = ids[order], tags[order], (places[order] >> 32).astype(np.int32)
+        edge = np.ones(len(ids), np.bool_)
+        edge[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+        cut = np.flatnonzero(edge)
+        ids, tags = ids[cut], tags[cut]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids),  # any spread of keys will do for rows that need no comparison
+                pa.array(tags),
+                pa.array(ids),
+                pa.array(tags),
+                pa.ListArray.from_arrays(pa.array(np.append(cut, len(starts)).astype(np.int32)), pa.array(starts)),
+            ],
+            names=["full", "half", "id", "place", "starts"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, repeated = WordHashes(), known.value
@@ -136,7 +146,8 @@ def later_windows(
             pick = _in_filter(repeated, w.half)
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             text = w.text[pick]
-            waiting.append((w.full[pick], w.half[pick], ids[text], tags[text], w.start[pick]))
+            places = (w.start[pick].astype(np.int64) << 32) | (tags[text].astype(np.int64) & 0xFFFFFFFF)
+            waiting.append((w.full[pick], w.half[pick], ids[text], places))
             held += len(pick)
             if held >= TASK_WINDOWS:
                 yield from settle(waiting)
@@ -144,17 +155,17 @@ def later_windows(
         if held:
             yield from settle(waiting)
 
-    rows = _keyed(docs, key, text).mapInArrow(
-        run, "full long, half long, id long, tag long, starts array<int>, later boolean"
-    )
-    order = Window.partitionBy("full", "half").orderBy("later", "id", F.col("starts")[0])
+    # place: the start in the upper half, the tag in the lower
+    rows = _keyed(docs, key, text).mapInArrow(run, "full long, half long, id long, place long, starts array<int>")
+    start = F.shiftright("place", 32).cast("int")
+    tag = F.shiftright(F.shiftleft("place", 32), 32).cast("int").alias("tag")
+    order = Window.partitionBy("full", "half", F.col("starts").isNotNull()).orderBy("id", "place")
     before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lead = F.first(F.struct("id", F.col("starts")[0].alias("start"), "later")).over(before)
-    own = F.struct("id", F.col("starts")[0].alias("start"))
     later = (
-        rows.withColumn("lead", lead)
-        .where(F.col("later") | ((own != F.struct("lead.id", "lead.start")) & ~F.col("lead.later")))
-        .select("id", "tag", "starts")
+        rows.withColumn("first_id", F.first("id").over(before))
+        .withColumn("first_start", F.first(start).over(before))
+        .where(F.col("starts").isNotNull() | (F.col("id") != F.col("first_id")) | (start != F.col("first_start")))
+        .select("id", tag, F.coalesce("starts", F.array(start)).alias("starts"))
     )
     return later.groupBy("id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
@@ -233,5 +244,22 @@ def remove_repeats(
     return whole.select("id", "text", "starts").mapInArrow(run, schema)
 
 
+def rewrite(
+    docs: DataFrame, window: int = 50, max_filter_bytes: int = 64 << 20, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with all columns, its texts as ``remove_repeats`` leaves them; texts without repeats are unchanged."""
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else _kept(t.encode(), list(s), window)[3].decode() for t, s in zip(texts, starts)])
+
+    removed = later_windows(docs, window, max_filter_bytes, key, text)
+    rows = docs.select(F.struct("*").alias("doc"), *(F.col(f"`{c}`").alias(n) for c, n in ((key, "k"), (text, "t"))))
+    keyed = rows.select("doc", *_keyed_columns("k", "t"))
+    whole = keyed.join(removed, ["id", "tag"], "left")
+    new = F.when(F.col("starts").isNull(), F.col("text")).otherwise(without("text", "starts"))
+    return whole.select(*(new.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+
+
 def _utf8(text: str | None) -> bytes | None:
     return None if text is None else text.encode()

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.llm import near_dedup, packing, quality_rules, substring_dedup
-from gondola.llm.queries import tokenizer
-from gondola.llm.shared import prepare, read
+from gondola.llm.queries import read, tokenizer
+from gondola.llm.shared import prepare
 from gondola.session import stage
 
 # A passage of this many words that already stands elsewhere is cut out.
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(prepare(spark), sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
         docs = stage(function(prepare(spark), docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,8 @@
 
 Documents of equal shingle sets are one class from the start. Classes that share a band meet in
 a bucket. A bucket is first tied to one of its members; what that leaves unconnected is compared
-by signature, in blocks of a fixed size, and only likely pairs become rows. Every link is
+inside tasks, in blocks of a fixed size: by signature, then by sets of 32-bit hashes, each pair in
+the first band it shares. Only pairs that tie components together become rows. Every link is
 confirmed on the full sets. Components grow by alternating large-star and small-star.
 """
 
@@ -32,7 +33,7 @@ class Settings:
     bands: int = 40
     rows: int = 5
     star_rounds: int = 3  # members a bucket is tied to before its rest is compared
-    block: int = 256  # members of a bucket compared with so many others in one group
+    block: int = 1024  # members of a bucket compared with so many others in one group
     broadcast_ids: int = 4_000_000  # ids sent to all workers at most (32 MB), else a join
 
     @property
@@ -40,6 +41,11 @@ class Settings:
         return self.bands * self.rows
 
 
+def _halved(shingles: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of each hash, still sorted."""
+    return (shingles >> np.uint64(32)).astype(np.uint32)
+
+
 class MinHash:
     """Minima of ``n`` universal hash functions (a x + b mod 2^32) of 32-bit shingle hashes."""
 
@@ -48,8 +54,7 @@ class MinHash:
         self.a = (draw.integers(0, 1 << 31, n, dtype=np.uint64) * 2 + 1).astype(np.uint32)
         self.b = draw.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
 
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
-        x = (shingles >> np.uint64(32)).astype(np.uint32)
+    def signature(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(x), 2048):
             part = x[None, at : at + 2048] * self.a[:, None]
@@ -83,7 +88,7 @@ def sketches(docs: DataFrame, settings: Settings, key: str = "doc_id", text: str
                 found = shingle_set(text, hashes, settings.shingle_words)
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
                 if digest and digest not in seen:  # copies in a batch share their minima
-                    seen[digest] = as_signed(_band_keys(minhash.signature(found), settings))
+                    seen[digest] = as_signed(_band_keys(minhash.signature(_halved(found)), settings))
                 sizes.append(len(found))
                 digests.append(digest)
                 bands.append(seen.get(digest))
@@ -102,12 +107,12 @@ def sketches(docs: DataFrame, settings: Settings, key: str = "doc_id", text: str
 
 
 def _with_sets(docs: DataFrame, ids: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
-    """Set and signature of the given documents, from their texts."""
+    """Sets of the given documents, from their texts: whole hashes, and their upper halves."""
     few = ids.count() <= settings.broadcast_ids
     wanted = keyed_text(docs, key, text).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minhash = WordHashes(), MinHash(settings.hashes)
+        hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, hashes, settings.shingle_words) for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -116,12 +121,12 @@ def _with_sets(docs: DataFrame, ids: DataFrame, settings: Settings, key: str, te
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
-                    pa.array([minhash.signature(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([_halved(s).tobytes() for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "digest", "shingles", "signature"],
+                names=["id", "n", "digest", "shingles", "halves"],
             )
 
-    found = wanted.mapInArrow(run, "id long, n long, digest binary, shingles binary, signature binary")
+    found = wanted.mapInArrow(run, "id long, n long, digest binary, shingles binary, halves binary")
     return found.where("n > 0").dropDuplicates(["id", "digest"])
 
 
@@ -199,7 +204,7 @@ def _current(members: DataFrame, links: DataFrame | None) -> DataFrame:
         return members.withColumn("component", F.col("id"))
     found = components(links)
     joined = members.join(per_key(found, "id"), "id", "left")
-    return joined.withColumn("component", F.coalesce("component", "id")).select("bucket", "id", "component")
+    return joined.withColumn("component", F.coalesce("component", "id")).select(*members.columns, "component")
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -214,9 +219,11 @@ def _open_buckets(members: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Likely pairs across components: all members of a bucket against all, by signature, in blocks.
+    """Pairs that tie components of a bucket together: all its members against all, in blocks.
 
-    The bound lies five standard errors of the estimate below the similarity asked for.
+    Signatures rule out what lies five standard errors below the similarity asked for. A pair
+    that is certain joins its components at once, so a group gives fewer rows than it has
+    members, but for pairs so close to the bound that only the full sets can tell.
     """
     goal = settings.similarity_percent / 100
     enough = settings.hashes * (goal - 5 * (goal * (1 - goal) / settings.hashes) ** 0.5)
@@ -232,11 +239,11 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, settings: Settings) -> Data
     # a component takes as many neighbouring blocks as it fills, so that most blocks hold few components
     own = F.pmod(F.xxhash64("component") + F.pmod(F.xxhash64("id"), F.col("wide")), F.col("blocks"))
     blocks = members.join(per_key(sizes, "bucket", "component"), ["bucket", "component"]).select(
-        "bucket", "id", "component", "blocks", own.cast("int").alias("own")
+        "bucket", "band", "id", "component", "blocks", own.cast("int").alias("own")
     )
     # block i meets block j once, under (smaller, larger)
     meet = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component"
+        "bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component"
     )
     mixed = (
         meet.groupBy("bucket", "i", "j")
@@ -245,25 +252,42 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, settings: Settings) -> Data
         .select("bucket", "i", "j")
     )
     full = meet.join(per_key(mixed, "bucket", "i", "j"), ["bucket", "i", "j"]).join(
-        sets.select("id", "n", "signature"), "id"
+        sets.select("id", "halves"), "id"
     )
+    shape, percent = (settings.bands, settings.rows), settings.similarity_percent
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        signs = np.stack([np.frombuffer(s, np.uint32) for s in frame["signature"]])
-        ids, parts, own, n = (frame[c].to_numpy() for c in ("id", "component", "own", "n"))
-        split = frame["i"].iloc[0] != frame["j"].iloc[0]
+        frame = frame.sort_values(["id", "halves"])
+        minhash = MinHash(settings.hashes)
+        sets = [np.frombuffer(x, np.uint32) for x in frame["halves"]]
+        signs = np.stack([minhash.signature(x) for x in sets])
+        n = np.array([len(x) for x in sets])
+        ids, parts, own = (frame[c].to_numpy() for c in ("id", "component", "own"))
+        band, split = frame["band"].iloc[0], frame["i"].iloc[0] != frame["j"].iloc[0]
+        _, tree = np.unique(parts, return_inverse=True)
+        top = np.arange(tree.max() + 1)
         found = []
         for k in range(len(ids) - 1):
             rest = slice(k + 1, None)
-            can = (parts[rest] != parts[k]) & (
-                100 * np.minimum(n[rest], n[k]) >= settings.similarity_percent * np.maximum(n[rest], n[k])
+            can = (top[tree[rest]] != top[tree[k]]) & (
+                100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]) - 200
             )
             if split:
                 can &= own[rest] != own[k]
             at = np.flatnonzero(can) + k + 1
-            same = (signs[at] == signs[k]).sum(axis=1)
-            found += [(ids[k], ids[x]) for x in at[same >= enough]]
+            equal = signs[at] == signs[k]
+            at = at[(equal.sum(axis=1) >= enough) & (equal.reshape(len(at), *shape).all(axis=2).argmax(axis=1) == band)]
+            for x in at:
+                if top[tree[x]] == top[tree[k]]:
+                    continue
+                common = len(np.intersect1d(sets[k], sets[x], assume_unique=False))
+                whole = n[k] + n[x] - common
+                # halves of hashes may agree by chance: two more or less decide what is certain here
+                if 100 * (common + 2) < percent * (whole - 2):
+                    continue
+                found.append((ids[k], ids[x]))
+                if 100 * (common - 2) >= percent * (whole + 2):
+                    top[top == top[tree[x]]] = top[tree[k]]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return full.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
@@ -284,9 +308,9 @@ def groups(
     classes = usable.groupBy("digest", "n_shingles").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id"))
     classes = stage(classes, "classes")
 
-    rows = classes.select("id", F.explode("bands").alias("bucket"))
+    rows = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(rows.join(per_key(shared, "bucket"), "bucket").select("bucket", "id"), "buckets")
+    members = stage(rows.join(per_key(shared, "bucket"), "bucket").select("bucket", "band", "id"), "buckets")
     sets = stage(_with_sets(docs, members.select("id").distinct(), settings, key, text), "sets")
 
     links, open_now = None, members.withColumn("component", F.col("id"))

@@ -19,12 +19,17 @@ from gondola.llm import (
     templates,
     warc,
 )
-from gondola.llm.shared import read
+from gondola.llm.shared import prepare
+from workload.scratch import ensure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return prepare(ensure(spark)).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 def tokenizer(name: str) -> str:
     """Path of a public vocabulary file; its folder is the same on every machine."""
     import public_tokenizers

@@ -37,10 +37,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Two columns ``id`` and ``text``; other columns, whatever their names, stay behind."""
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))

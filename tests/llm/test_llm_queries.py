@@ -7,8 +7,7 @@ import duckdb
 import helpers as h
 import pytest
 
-from gondola.llm.queries import QUERIES, SQL
-from gondola.llm.shared import read
+from gondola.llm.queries import QUERIES, SQL, read
 from gondola.session import scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"

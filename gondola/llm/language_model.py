@@ -84,13 +84,17 @@ def leveled_bits(grams: np.ndarray, counts: np.ndarray, base: float, bits_per_ke
 class LeveledFilter:
     """Levels of n-grams; parts that are not given hold nothing."""
 
-    def __init__(self, parts: dict[int, bytes], part_bits: int, base: float):
+    def __init__(self, sizes: list[int], part_bits: int, base: float):
+        """``sizes`` are the bytes of each part; a part of none gets eight empty ones."""
         self.part_bits, self.base = part_bits, base
-        empty = bytes(8)
-        arrays = [np.frombuffer(parts.get(k, empty), np.uint8) for k in range(1 << part_bits)]
-        self.sizes = np.array([8 * len(a) for a in arrays], np.uint64)
+        held = np.maximum(np.array(sizes, np.uint64), np.uint64(8))
+        self.sizes = held * np.uint64(8)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.uint64)
-        self.bytes = np.concatenate(arrays)
+        self.bytes = np.zeros(int(held.sum()), np.uint8)
+
+    def fill(self, part: int, bits: bytes) -> None:
+        start = int(self.starts[part]) // 8
+        self.bytes[start : start + len(bits)] = np.frombuffer(bits, np.uint8)
 
     def part(self, grams: np.ndarray) -> np.ndarray:
         return (grams >> np.uint64(64 - self.part_bits)).astype(np.int64)
@@ -171,13 +175,23 @@ class Model:
         if parts is not None:
             chosen = chosen.where(F.col("part").isin(parts))
         base = self.settings.unigram_base if kind == 1 else self.settings.bigram_base
-        rows = chosen.select("part", "bits").collect()  # within broadcast_bytes, see shards()
-        return LeveledFilter({r.part: bytes(r.bits) for r in rows}, self.part_bits, base)
+        sizes = {r.part: r.n for r in chosen.select("part", F.octet_length("bits").alias("n")).collect()}
+        found = LeveledFilter([sizes.get(k, 0) for k in range(1 << self.part_bits)], self.part_bits, base)
+        # part by part into one array, within broadcast_bytes; see shards()
+        for row in chosen.select("part", "bits").toLocalIterator():
+            found.fill(row.part, row.bits)
+        return found
 
     def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.parts.where("kind = 1").select("part", "grams", "counts").orderBy("part").collect()
-        grams = np.frombuffer(b"".join(r.grams for r in rows), np.uint64)
-        return grams, np.frombuffer(b"".join(r.counts for r in rows), np.uint32)
+        """Sorted hashes of all types and their counts; 12 bytes each, within broadcast_bytes."""
+        ones = self.parts.where("kind = 1")
+        sizes = {r.part: r.types for r in ones.select("part", "types").collect()}
+        ends = np.cumsum([sizes.get(k, 0) for k in range(1 << self.part_bits)])
+        grams, counts = np.empty(self.types, np.uint64), np.empty(self.types, np.uint32)
+        for row in ones.select("part", "grams", "counts").toLocalIterator():
+            place = slice(ends[row.part] - sizes[row.part], ends[row.part])
+            grams[place], counts[place] = np.frombuffer(row.grams, np.uint64), np.frombuffer(row.counts, np.uint32)
+        return grams, counts
 
     def vocabulary_rows(self) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

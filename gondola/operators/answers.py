@@ -26,7 +26,7 @@ NUMBER_TEXT = (
 SPECIAL_NUMBER_TEXT = r"(?iU)^\s*[+-]?(inf|infinity|nan)\s*$"
 NEGATIVE_INFINITY_TEXT = r"(?iU)^\s*-inf(inity)?\s*$"
 
-# year-month-day, zero padding optional
+# year-month-day, zero padding optional; rules and messages follow Python's documented strptime
 DATE_HEAD = r"^\d{4}-(1[0-2]|0[1-9]|[1-9])-(3[0-1]|[1-2]\d|0[1-9]|[1-9]| [1-9])"
 
 
@@ -41,20 +41,30 @@ def is_number_text(text: Column) -> Column:
     return text.rlike(NUMBER_TEXT) | text.rlike(SPECIAL_NUMBER_TEXT)
 
 
+DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
 def _one_document(text: Column) -> Column:
     """Parse ``text`` as exactly one JSON value.
 
-    Parsing it as the single element of a list makes trailing text an error.
+    It is parsed as the single element of a list and as the single value of an
+    object: text after the document could close one of the two, not both.
     """
     elements = F.try_variant_get(
         F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
     )
+    value = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     alone = F.filter(F.array(elements), lambda e: F.size(e) == 1)
-    return F.get(F.get(alone, F.lit(0)), F.lit(0))
+    return F.when(value.isNotNull(), F.get(F.get(alone, F.lit(0)), F.lit(0)))
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """Add ``dados`` (VARIANT) and ``erro`` (text, NULL when parsed) to the answers."""
+    """Add ``dados`` (VARIANT) and ``erro`` (text, NULL when parsed) to the answers.
+
+    A repeated JSON key keeps its last value, which is a session setting; see ``session.prepare``.
+    """
+    if answers.sparkSession.conf.get(DUPLICATE_KEYS, "false") != "true":
+        raise RuntimeError(f"set {DUPLICATE_KEYS}, or call gondola.session.prepare")
     unfenced = F.regexp_replace(F.regexp_replace("texto", FENCE_OPENER, ""), FENCE_CLOSER, "")
     clean = strip(F.when(F.contains("texto", F.lit(FENCE)), unfenced).otherwise(F.col("texto")))
     # prose before the document would only make the parser throw

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola import fixed_values as fx
+from gondola.functions.columns import compute_once
 from gondola.functions.literals import literal_rows
+from gondola.functions.skew import per_key
 from gondola.functions.text import let, strip
 
 
@@ -55,10 +57,11 @@ def find_category(rows: DataFrame, categorias: DataFrame, name: str) -> DataFram
     """Category by exact name, ignoring outer whitespace and case; blank finds nothing."""
     key = F.nullif(strip(F.lower(F.col(name))), F.lit(""))
     return (
-        rows.join(_by_name(categorias), key == F.col("_chave"), "left")
+        compute_once(rows, _pedida=key)
+        .join(per_key(_by_name(categorias), "_chave"), F.col("_pedida") == F.col("_chave"), "left")
         .withColumn("categoria_id", F.col("_id").cast("int"))
         .withColumn("categoria_encontrada", F.col("_nome"))
-        .drop("_chave", "_id", "_nome")
+        .drop("_chave", "_id", "_nome", "_pedida")
     )
 
 
@@ -77,15 +80,15 @@ def resolve_category(
     default = _by_name(categorias).where(F.col("_chave") == fx.DEFAULT_CATEGORY.lower())
     default_id = default.select("_id").scalar()
     default_name = default.select("_nome").scalar()
-    found = rows.join(
-        _by_name(categorias), F.when(strip(name) != "", key) == F.col("_chave"), "left"
+    found = compute_once(rows, _pedida=F.when(strip(name) != "", key)).join(
+        per_key(_by_name(categorias), "_chave"), F.col("_pedida") == F.col("_chave"), "left"
     )
     category_id = F.when(given, F.coalesce("_id", default_id))
     category = F.when(given, F.coalesce("_nome", default_name))
     return (
         found.withColumn("categoria_id", category_id.cast("int"))
         .withColumn("categoria", F.coalesce(category, name))
-        .drop("_chave", "_id", "_nome")
+        .drop("_chave", "_id", "_nome", "_pedida")
     )
 
 

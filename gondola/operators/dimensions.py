@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gondola.functions.columns import compute_once
 from gondola.functions.skew import per_key
 from gondola.functions.text import normalize_name
 from gondola.operators.categories import resolve_category
@@ -47,9 +48,8 @@ def lookup_products(requests: DataFrame, produtos: DataFrame, name: str = "nome"
         ),
         "_chave",
     )
-    return requests.join(
-        latest, normalize_name(F.col(name)) == F.col("_chave"), "left"
-    ).drop("_chave")
+    asked = compute_once(requests, _pedido=normalize_name(F.col(name)))
+    return asked.join(latest, F.col("_pedido") == F.col("_chave"), "left").drop("_chave", "_pedido")
 
 
 def lookup_products_by_brand(
@@ -75,11 +75,13 @@ def lookup_products_by_brand(
     branded = by_brand.where(F.col("_marca").isNotNull()).select(
         F.col("nome_normalizado").alias("_nome_m"), "_marca", F.col("produto").alias("_da_marca")
     )
-    key = normalize_name(F.col(name))
-    wanted = F.lower(F.col(brand))
-    joined = requests.join(per_key(by_name, "_nome"), key == F.col("_nome"), "left").join(
+    asked = compute_once(
+        requests, _pedido=normalize_name(F.col(name)), _marca_pedida=F.lower(F.col(brand))
+    )
+    key = F.col("_pedido")
+    joined = asked.join(per_key(by_name, "_nome"), key == F.col("_nome"), "left").join(
         per_key(branded, "_nome_m", "_marca"),
-        (key == F.col("_nome_m")) & (wanted == F.col("_marca")),
+        (key == F.col("_nome_m")) & (F.col("_marca_pedida") == F.col("_marca")),
         "left",
     )
 
@@ -94,7 +96,7 @@ def lookup_products_by_brand(
         newer("_da_marca", "_sem_marca")
     )
     return joined.withColumn("produto", chosen).drop(
-        "_nome", "_nome_m", "_marca", "_qualquer", "_sem_marca", "_da_marca"
+        "_nome", "_nome_m", "_marca", "_qualquer", "_sem_marca", "_da_marca", "_pedido", "_marca_pedida"
     )
 
 

@@ -17,13 +17,11 @@ from pyspark.sql import functions as F
 from gondola import fixed_values as fx
 from gondola.functions.pricing import discount_percent, valid_on
 from gondola.functions.text import contains_pattern, ellipsis
+from gondola.session import stage
 
 LABEL_WIDTH = 50
 NAME_WIDTH = 25
 SEPARATOR = " | "
-# Distinct names that surely fill a label: one may be empty, each further one
-# adds at least a letter and a separator.
-LABEL_NAMES = LABEL_WIDTH // (len(SEPARATOR) + 1) + 2
 
 
 def _sorted(df: DataFrame, ordered: bool, *columns: Column) -> DataFrame:
@@ -137,14 +135,22 @@ def cheapest_by_store(
 def top_cheapest(
     produtos: DataFrame, precos: DataFrame, supermercados: DataFrame, as_of: dt.date, limit: int = 10
 ) -> DataFrame:
-    """The ``limit`` cheapest valid prices."""
-    return (
+    """The ``limit`` cheapest valid prices.
+
+    Prices must name existing products and stores (``maintenance.foreign_key_violations``): the
+    limit is taken before the dimensions are joined.
+    """
+    order = (F.asc_nulls_last("preco"), F.asc("id"))
+    cheapest = (
         precos.where(valid_on(as_of, F.col("validade_fim"), open_ended=False))
         .select("id", "produto_id", "supermercado_id", "preco", "validade_fim")
-        .join(_products(produtos, "nome", "marca"), "produto_id")
-        .join(_stores(supermercados), "supermercado_id")
-        .orderBy(F.asc_nulls_last("preco"), F.asc("id"))
+        .orderBy(*order)
         .limit(limit)
+    )
+    return (
+        cheapest.join(_products(produtos, "nome", "marca"), "produto_id")
+        .join(_stores(supermercados), "supermercado_id")
+        .orderBy(*order)
         .select("nome", "marca", "preco", "supermercado", "validade_fim")
     )
 
@@ -157,20 +163,25 @@ def active_promotions(
     limit: int | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """Valid promotions with their discount, largest first; an unknown discount leads."""
+    """Valid promotions with their discount, largest first; an unknown discount leads.
+
+    With a ``limit`` the prices must name existing products and stores: it is taken before
+    they are joined.
+    """
+    order = (F.desc_nulls_first("desconto"), F.asc("id"))
     promotions = (
         precos.where(F.col("em_promocao") & valid_on(as_of, F.col("validade_fim"), open_ended=False))
         .select("id", "produto_id", "supermercado_id", "preco_original", "preco")
-        .join(_products(produtos, "nome"), "produto_id")
-        .join(_stores(supermercados), "supermercado_id")
         .withColumn("desconto", discount_percent(F.col("preco_original"), F.col("preco")))
     )
-    promotions = _sorted(
-        promotions, ordered or limit is not None, F.desc_nulls_first("desconto"), F.asc("id")
-    )
     if limit is not None:
-        promotions = promotions.limit(limit)
-    return promotions.select("nome", "supermercado", "preco_original", "preco", "desconto")
+        promotions = promotions.orderBy(*order).limit(limit)
+    promotions = promotions.join(_products(produtos, "nome"), "produto_id").join(
+        _stores(supermercados), "supermercado_id"
+    )
+    return _sorted(promotions, ordered or limit is not None, *order).select(
+        "nome", "supermercado", "preco_original", "preco", "desconto"
+    )
 
 
 def all_promotions(produtos: DataFrame, precos: DataFrame, ordered: bool = True) -> DataFrame:
@@ -194,7 +205,11 @@ def price_history(
     limit: int | None = 20,
     ordered: bool = True,
 ) -> DataFrame:
-    """Prices of the products whose name contains ``fragment``, newest first."""
+    """Prices of the products whose name contains ``fragment``, newest first.
+
+    With a ``limit`` the prices must name existing stores: it is taken before they are joined.
+    """
+    order = (F.desc_nulls_first("created_at"), F.desc("id"))
     wanted = produtos.where(contains_pattern(F.col("nome"), fragment)).select(
         F.col("id").alias("produto_id")
     )
@@ -203,20 +218,22 @@ def price_history(
             "id", "produto_id", "supermercado_id", "preco", "em_promocao", "validade_inicio", "created_at"
         )
         .join(wanted, "produto_id", "left_semi")
-        .join(_stores(supermercados), "supermercado_id")
-    )
-    history = _sorted(
-        history, ordered or limit is not None, F.desc_nulls_first("created_at"), F.desc("id")
     )
     if limit is not None:
-        history = history.limit(limit)
-    return history.select("supermercado", "preco", "em_promocao", "validade_inicio", "created_at")
+        history = history.orderBy(*order).limit(limit)
+    history = history.join(_stores(supermercados), "supermercado_id")
+    return _sorted(history, ordered or limit is not None, *order).select(
+        "supermercado", "preco", "em_promocao", "validade_inicio", "created_at"
+    )
 
 
 def compare_stores(
     produtos: DataFrame, precos: DataFrame, supermercados: DataFrame, fragment: str, as_of: dt.date
 ) -> DataFrame:
-    """Newest valid price per store for a name fragment, cheapest first and flagged."""
+    """Newest valid price per store for a name fragment, cheapest first and flagged.
+
+    The newest prices, one per store, are staged: the flag and the rows come from one scan.
+    """
     wanted = produtos.where(contains_pattern(F.col("nome"), fragment)).select(
         F.col("id").alias("produto_id")
     )
@@ -233,6 +250,7 @@ def compare_stores(
             ).alias("oferta")
         )
     )
+    newest = stage(newest, "ofertas")
     best = newest.agg(
         F.min_by("supermercado_id", F.struct("oferta.preco", "supermercado_id"))
     ).scalar()
@@ -265,34 +283,47 @@ def global_stats(
     )
 
 
-def _suggestion_report(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Largest groups of suggestions with the start of their list of product names.
-
-    Only as many names per group as can show in the label are brought together;
-    ``row_number() <= k`` is cut per task before the shuffle.
-    """
-    top = (
+def _top_groups(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    return (
         rows.groupBy(*keys)
         .agg(F.count("*").alias("quantidade"), F.count_distinct("nome").alias("nomes_distintos"))
         .orderBy(F.desc("quantidade"), *(F.asc_nulls_last(k) for k in keys))
         .limit(limit)
     )
-    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-    names = rows.select(*keys, "nome").distinct()
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the given groups; null keys agree with null keys."""
+    same = F.lit(True)
+    for key in keys:
+        same = same & rows[key].eqNullSafe(groups[key])
+    return rows.join(groups.select(*keys), same, "left_semi")
+
+
+def _suggestion_report(rows: DataFrame, keys: list[str], limit: int, width: int) -> DataFrame:
+    """Largest groups of suggestions with a label of ``width`` characters from their product names.
+
+    Only as many names of these groups as can show in the label are brought together: one may be
+    empty, each further one adds at least a letter and a separator. ``row_number() <= k`` is cut
+    per task before the shuffle.
+    """
+    top = _top_groups(rows, keys, limit)
+    shown = width // (len(SEPARATOR) + 1) + 2
+    names = _of_groups(rows, top, keys).select(*keys, "nome").distinct()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("nome"))
     first = (
         names.withColumn("_posto", rank)
-        .where(F.col("_posto") <= LABEL_NAMES)
+        .where(F.col("_posto") <= shown)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("nome")).alias("_nomes"))
     )
-    condition = same[0]
-    for other in same[1:]:
-        condition = condition & other
-    label = ellipsis(F.array_join("_nomes", SEPARATOR), LABEL_WIDTH)
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"n.{key}").eqNullSafe(F.col(f"t.{key}"))
+    label = ellipsis(F.array_join("_nomes", SEPARATOR), width)
     return (
         top.alias("t")
-        .join(first.alias("n"), condition)
+        .join(first.alias("n"), same)
         .select(
             *(F.col(f"t.{k}").alias(k) for k in keys),
             "quantidade",
@@ -303,6 +334,13 @@ def _suggestion_report(rows: DataFrame, keys: list[str], limit: int) -> DataFram
     )
 
 
+def _names(rows: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+    """All distinct names of the groups, or of the ``limit`` largest, one per row."""
+    if limit is not None:
+        rows = _of_groups(rows, _top_groups(rows, keys, limit), keys)
+    return rows.groupBy(*keys, "nome").agg(F.count("*").alias("quantidade"))
+
+
 def _unmapped(produtos: DataFrame) -> DataFrame:
     return produtos.where(
         F.col("categoria_sugerida").isNotNull() & (F.col("categoria") == fx.DEFAULT_CATEGORY)
@@ -315,16 +353,17 @@ def _differs(produtos: DataFrame, category: Column) -> DataFrame:
     )
 
 
-def unmapped_categories(produtos: DataFrame, limit: int = 20) -> DataFrame:
+def unmapped_categories(produtos: DataFrame, limit: int = 20, width: int = LABEL_WIDTH) -> DataFrame:
     """Most frequent suggestions that ended in the default category, with a label of names."""
-    return _suggestion_report(_unmapped(produtos), ["categoria_sugerida"], limit)
+    return _suggestion_report(_unmapped(produtos), ["categoria_sugerida"], limit, width)
 
 
-def unmapped_category_names(produtos: DataFrame) -> DataFrame:
-    """All distinct product names behind each unmapped suggestion, one per row."""
-    return _unmapped(produtos).groupBy("categoria_sugerida", "nome").agg(
-        F.count("*").alias("quantidade")
-    )
+def unmapped_category_names(produtos: DataFrame, limit: int | None = None) -> DataFrame:
+    """All distinct product names behind each unmapped suggestion, one per row.
+
+    With the report's ``limit``, of the suggestions that ``unmapped_categories`` shows.
+    """
+    return _names(_unmapped(produtos), ["categoria_sugerida"], limit)
 
 
 def _mapped(produtos: DataFrame) -> DataFrame:
@@ -333,16 +372,14 @@ def _mapped(produtos: DataFrame) -> DataFrame:
     )
 
 
-def mapped_categories(produtos: DataFrame, limit: int = 20) -> DataFrame:
+def mapped_categories(produtos: DataFrame, limit: int = 20, width: int = LABEL_WIDTH) -> DataFrame:
     """Most frequent pairs of suggestion and differing category, with a label of names."""
-    return _suggestion_report(_mapped(produtos), ["categoria_sugerida", "categoria_mapeada"], limit)
+    return _suggestion_report(_mapped(produtos), ["categoria_sugerida", "categoria_mapeada"], limit, width)
 
 
-def mapped_category_names(produtos: DataFrame) -> DataFrame:
-    """All distinct product names behind each pair of ``mapped_categories``, one per row."""
-    return _mapped(produtos).groupBy("categoria_sugerida", "categoria_mapeada", "nome").agg(
-        F.count("*").alias("quantidade")
-    )
+def mapped_category_names(produtos: DataFrame, limit: int | None = None) -> DataFrame:
+    """As ``unmapped_category_names``, behind each pair of ``mapped_categories``."""
+    return _names(_mapped(produtos), ["categoria_sugerida", "categoria_mapeada"], limit)
 
 
 def mapped_labels(report: DataFrame) -> DataFrame:
@@ -386,7 +423,7 @@ def mapping_stats(produtos: DataFrame) -> DataFrame:
         )
         .otherwise(fx.MAPPING_MAPPED)
     )
-    total = produtos.agg(F.count("*")).scalar()
+    total = F.sum("quantidade").over(Window.partitionBy())  # of at most four rows
     return (
         produtos.groupBy(kind.alias("tipo_mapeamento"))
         .agg(F.count("*").alias("quantidade"))

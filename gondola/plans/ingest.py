@@ -1,8 +1,12 @@
 """Ingest: answers of any number of flyers -> log, stores, products and prices.
 
 The texts are parsed once and the checked flyers staged; flyers are ordered by
-path, products by list position, so "first occurrence" is well defined. Names
-are resolved per distinct name, then joined back to the rows.
+path and then by their new id, products by list position, so "first occurrence"
+is well defined also for a path that comes twice. Names are resolved per
+distinct name, then joined back to the rows.
+
+The result reads from stages; write it inside a ``session.scratch`` block and
+they are deleted afterwards.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ from gondola.operators.dimensions import get_or_create_products, get_or_create_s
 from gondola.operators.ids import assign_ids
 from gondola.operators.items import gate_items, saved_items
 from gondola.operators.maintenance import log_flyers
+from gondola.session import prepare
 
-ITEM_ORDER = ["caminho_arquivo", "pos", "alternativa"]
+ITEM_ORDER = ["caminho_arquivo", "imagem_id", "pos", "alternativa"]
 
 
 class Ingest(NamedTuple):
@@ -47,18 +52,23 @@ def ingest(
 
     Of ``imagens`` and ``precos`` only the largest ``id`` is read.
     """
+    prepare(answers.sparkSession)
     checked = read_flyers(answers, store_override).drop("texto")
     flyers = assign_ids(gate_items(checked), imagens)
     sound = flyers.where(F.col("erro").isNull())
 
     stores, new_stores = get_or_create_stores(
-        sound.select("loja", "caminho_arquivo"), supermercados, ["caminho_arquivo"], now
+        sound.select("loja", "caminho_arquivo", "id"), supermercados, ["caminho_arquivo", "id"], now
     )
     placed = sound.withColumn("chave", F.lower("loja")).join(
         stores.select("chave", "supermercado_id"), "chave", "left"
     )
     keys, new_products = get_or_create_products(
-        saved_items(sound, "caminho_arquivo"), produtos, categorias, ITEM_ORDER, now
+        saved_items(sound, "caminho_arquivo", "id").withColumnRenamed("id", "imagem_id"),
+        produtos,
+        categorias,
+        ITEM_ORDER,
+        now,
     )
     items = saved_items(
         placed,
@@ -108,14 +118,6 @@ def batch_summary(result: Ingest) -> DataFrame:
     """One row for the batch; flyers that failed count as images and errors only."""
     failed = F.count_if(F.col("erro_mensagem").isNotNull())
     images = result.imagens.agg(F.count("*").alias("imagens"), failed.alias("erros"))
-    sums = result.stats.agg(
-        *(
-            F.coalesce(F.sum(c), F.lit(0)).alias(c)
-            for c in ("total_produtos", "produtos_novos", "precos_salvos")
-        )
-    )
-    return images.select(
-        "imagens",
-        *(sums.select(c).scalar().alias(c) for c in sums.columns),
-        "erros",
-    )
+    figures = ("total_produtos", "produtos_novos", "precos_salvos")
+    sums = result.stats.agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in figures)).alias("s"))
+    return images.withColumn("_s", sums.scalar()).select("imagens", *(F.col(f"_s.{c}").alias(c) for c in figures), "erros")

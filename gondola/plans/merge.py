@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from gondola.operators.duplicates import Merge, merge_choices, merge_duplicates
-from gondola.session import stage
-from gondola.sources.tables import write_table
+from gondola.session import scratch, stage
+from gondola.sources.tables import PRICE_MONTH, read_table, write_table
+
+STATS = "estatisticas"
 
 
 def merge_and_write(produtos: DataFrame, precos: DataFrame, base: str, now: dt.datetime) -> Merge:
@@ -16,9 +18,16 @@ def merge_and_write(produtos: DataFrame, precos: DataFrame, base: str, now: dt.d
 
     The input tables stay untouched until a reader switches to ``base``, so a
     failed merge leaves no half-merged group. Prices are written first: a
-    ``produtos`` table in ``base`` means that the version is complete.
+    ``produtos`` table in ``base`` means that the version is complete. The
+    result reads from ``base``; its figures are written beside the tables.
     """
-    merge = merge_duplicates(produtos, precos, now, stage(merge_choices(produtos, precos), "grupos"))
-    write_table(merge.precos, base, "precos", mode="errorifexists")
-    write_table(merge.produtos, base, "produtos", mode="errorifexists")
-    return merge
+    spark = produtos.sparkSession
+    with scratch(spark):
+        merge = merge_duplicates(produtos, precos, now, stage(merge_choices(produtos, precos), "grupos"))
+        merge.stats.write.parquet(f"{base}/{STATS}")
+        write_table(merge.precos, base, "precos", mode="errorifexists")
+        write_table(merge.produtos, base, "produtos", mode="errorifexists")
+    stored = {name: read_table(spark, base, name) for name in ("precos", "produtos")}
+    return merge._replace(
+        produtos=stored["produtos"], precos=stored["precos"].drop(PRICE_MONTH), stats=spark.read.parquet(f"{base}/{STATS}")
+    )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,23 +27,42 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or given to ``setCheckpointDir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return root.rstrip("/")
+
+
+# Folders written since the innermost ``scratch`` block began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
-    Only a local session, where driver and executors share one disk, may fall
-    back to a temporary folder.
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the stages written inside the block when it ends.
+
+    Results that read them must have been written by then; keep the block around the final write.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="gondola-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    own: list[str] = []
+    token = _written.set(own)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for folder in own:
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/gondola/{uuid.uuid4().hex}/{label}"
+    """A new folder; outside a ``scratch`` block it stays until someone deletes it."""
+    job = f"{scratch_root(spark)}/gondola/{uuid.uuid4().hex}"
+    written = _written.get()
+    if written is not None:
+        written.append(job)
+    return f"{job}/{label}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gondola import schemas
 from gondola.operators.categories import default_categories
 from gondola.plans.ingest import ingest
+from gondola.session import prepare, scratch
 
 STATE = ("imagens", "supermercados", "produtos", "precos")
 # tables an ingest only needs the last id of
@@ -73,9 +74,14 @@ def start_ingest(
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Take all waiting answer files, ``files_per_batch`` at a time, then stop."""
+    prepare(spark)
 
     def save(answers: DataFrame, batch: int) -> None:
         session = answers.sparkSession
+        with scratch(session):
+            store(session, answers, batch)
+
+    def store(session: SparkSession, answers: DataFrame, batch: int) -> None:
         result = ingest(
             answers,
             _last_ids(session, base, "imagens", batch),

@@ -1,11 +1,14 @@
 import datetime as dt
 import json
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from gondola import fixed_values as fx
 from gondola import schemas
 from gondola.operators import answers, items
+from gondola.session import prepare
 
 OK = '{"nome":"a","preco":1}'
 
@@ -201,3 +204,21 @@ def test_parse_reads_back_what_was_written(spark, flyers):
         assert [(i.nome, i.preco, i.marca, i.em_promocao, i.unidade) for i in row.itens] == [
             (p["nome"], p["preco"], p.get("marca"), p.get("em_promocao"), p.get("unidade")) for p in products
         ]
+
+
+@pytest.mark.parametrize("text", ['{"produtos":[]}] {x}', '{"produtos":[]}] sobra }', 'Veja: {"produtos":[1]}], fim}', '{"a":1},"w":{"b":2}', '{"a":1} {"b":2}'])
+def test_text_after_the_document_is_an_error(spark, text):
+    rows = spark.createDataFrame([("f", "/f", text)], schemas.RESPOSTAS)
+    row = answers.parse_answers(rows).head()
+    assert (row.dados, row.erro) == (None, fx.MSG_BAD_JSON)
+
+
+def test_parsing_needs_the_duplicate_key_setting(spark):
+    rows = spark.createDataFrame([("f", "/f", '{"a":1,"a":2}')], schemas.RESPOSTAS)
+    spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    try:
+        with pytest.raises(RuntimeError, match="allowDuplicateKeys"):
+            answers.parse_answers(rows)
+    finally:
+        prepare(spark)
+    assert answers.parse_answers(rows).select("dados").head() is not None

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gondola import schemas
+from gondola import schemas, session
 from gondola.operators import dimensions, duplicates, maintenance, reports
 from gondola.operators.categories import default_categories
 from gondola.operators.ids import assign_ids
@@ -303,3 +303,46 @@ def test_repeated_batch_replaces_its_output(spark, tmp_path):
     start_ingest(spark, source, base, str(tmp_path / "c2"), NOW).awaitTermination()
     again = {n: sorted(r.id for r in read_state(spark, base, n).collect()) for n in ("produtos", "precos", "imagens")}
     assert first == again
+
+
+def test_labels_of_another_width_and_names_of_the_top(spark):
+    rows = [(f"nome {i:02d}", "Xis") for i in range(30)] + [("só um", "Ipsilon")]
+    table = spark.createDataFrame(rows, "nome string, categoria_sugerida string").withColumn("categoria", F.lit("Outros"))
+    joined = " | ".join(f"nome {i:02d}" for i in range(30))
+    for width in (12, 50, 120):
+        first = reports.unmapped_categories(table, limit=1, width=width).collect()[0]
+        assert (first.quantidade, first.exemplos_produtos) == (30, joined[: width - 3] + "...")
+    assert reports.unmapped_category_names(table, limit=1).count() == 30
+    assert reports.unmapped_category_names(table).count() == 31
+    assert reports.mapped_category_names(table, limit=1).count() == 30
+
+
+def test_scratch_must_be_configured_and_is_freed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path / "scratch"))
+    table = products(spark, (1, "Arroz", None, 0), (2, "arroz", "X", 1))
+    merged = merge_and_write(table, prices(spark, (1, 1), (2, 2)), str(tmp_path / "v2"), NOW)
+    assert merged.stats.head().produtos_removidos == 1
+    assert merged.precos.count() == 2
+    answer = '{"supermercado":"A","produtos":[{"nome":"Arroz","preco":1}]}'
+    spark.createDataFrame([("f", "/f", answer)], schemas.RESPOSTAS).write.parquet(str(tmp_path / "in"))
+    start_ingest(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), NOW).awaitTermination()
+    assert read_state(spark, str(tmp_path / "t"), "precos").count() == 1
+    assert list((tmp_path / "scratch" / "gondola").iterdir()) == []
+    monkeypatch.undo()
+
+    class Bare:
+        conf = sparkContext = type("", (), {"get": staticmethod(lambda *_: None), "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(Bare)
+
+
+def test_a_path_that_comes_twice_creates_once(spark):
+    text = '{"supermercado":"A","produtos":[{"nome":"Arroz","marca":"%s","preco":1}]}'
+    rows = [("f", "/f", text % brand) for brand in ("X", "Y")]
+    answers = spark.createDataFrame(rows, schemas.RESPOSTAS).coalesce(1)
+    empty = {n: schemas.empty_table(spark, n) for n in ("imagens", "supermercados", "produtos", "precos")}
+    result = ingest(answers, *empty.values(), default_categories(spark), NOW)
+    found = {r.imagem_id: (r.produtos_novos, r.produtos_existentes) for r in result.stats.collect()}
+    assert found == {1: (1, 0), 2: (0, 1)}
+    assert [(r.nome, r.marca) for r in result.produtos.collect()] == [("Arroz", "X")]

@@ -334,24 +334,29 @@ GROUP BY c.id, c.nome, c.icone ORDER BY total_produtos DESC, c.nome
 """)
 
 # ---- products and stores
-_add("product_lookup", [*PROD, EXISTENTES], """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ' ' || upper(p_name) AS nome, a.id AS produto_id
-FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN atuais a ON a.nome_normalizado = lower(p_name)
+_add("product_lookup", PROD, """
+, todos AS (SELECT nome_normalizado, arg_max(id, (created_at, id)) AS id FROM produtos GROUP BY ALL),
+pedidos AS (SELECT *, p_name || CASE WHEN l_orderkey % 7 = 0 THEN ' ausente' ELSE '' END AS pedido
+            FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       ' ' || upper(p_name) || CASE WHEN l_orderkey % 7 = 0 THEN ' ausente' ELSE '' END AS nome, a.id AS produto_id
+FROM pedidos LEFT JOIN todos a ON a.nome_normalizado = lower(pedido)
 """)
-_add("product_lookup_brand", [*PROD, EXISTENTES], """
-, pedidos AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(p_name) AS chave,
+_add("product_lookup_brand", PROD, """
+, pedidos AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                     lower(p_name) || CASE WHEN l_orderkey % 7 = 0 THEN ' ausente' ELSE '' END AS chave,
                      CASE WHEN l_returnflag <> 'R' THEN lower(p_brand) END AS marca
               FROM lineitem JOIN part ON l_partkey = p_partkey),
 distintos AS (SELECT DISTINCT chave, marca FROM pedidos),
 achados AS (
   SELECT d.chave, d.marca, arg_max(e.id, (e.created_at, e.id)) AS id
-  FROM distintos d JOIN existentes e ON e.nome_normalizado = d.chave
+  FROM distintos d JOIN produtos e ON e.nome_normalizado = d.chave
    AND (d.marca IS NULL OR e.marca IS NULL OR lower(e.marca) = d.marca)
   GROUP BY d.chave, d.marca)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, e.id AS produto_id, e.nome AS produto_nome,
        e.marca AS produto_marca, CAST(e.categoria_id AS INTEGER) AS categoria_id
 FROM pedidos q LEFT JOIN achados a ON a.chave = q.chave AND a.marca IS NOT DISTINCT FROM q.marca
-LEFT JOIN existentes e ON e.id = a.id
+LEFT JOIN produtos e ON e.id = a.id
 """)
 _add("product_lookup_sql", PROD, """
 SELECT id, nome, marca, categoria, CAST(categoria_id AS INTEGER) AS categoria_id, created_at FROM produtos

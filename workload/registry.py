@@ -46,7 +46,7 @@ def src_folder_inventory(spark, d):
 
 @query
 def src_raw_answers(spark, d):
-    path = scratch_path(spark, "respostas")
+    path = scratch_path(t.prepare(spark), "respostas")
     t.respostas(spark, d).write.parquet(path)
     return read_answer_table(spark, path).select(
         "nome_arquivo",
@@ -81,7 +81,7 @@ def export_prices(spark, d):
 
 @query
 def export_json(spark, d):
-    path = scratch_path(spark, "json")
+    path = scratch_path(t.prepare(spark), "json")
     exports.write_json(answers.read_flyers(t.respostas(spark, d)), path)
     return (
         spark.read.schema(
@@ -298,13 +298,18 @@ def category_counts(spark, d):
 
 
 def _requests(spark, d):
-    """One look-up per flyer line: the product's plain name and, at times, its brand."""
+    """One look-up per flyer line: the product's plain name and, at times, its brand.
+
+    Lines of every seventh order ask for a name no product has.
+    """
     return (
         t.read(spark, d, "lineitem")
         .join(t.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            F.concat(F.lit(" "), F.upper("p_name")).alias("nome"),
+            F.concat(
+                F.lit(" "), F.upper("p_name"), F.when(F.col("l_orderkey") % 7 == 0, " ausente").otherwise("")
+            ).alias("nome"),
             F.when(F.col("l_returnflag") != "R", F.upper("p_brand")).alias("marca"),
         )
     )
@@ -312,12 +317,12 @@ def _requests(spark, d):
 
 @query
 def product_lookup(spark, d):
-    return dimensions.lookup_products(_requests(spark, d), t.produtos_existentes(spark, d)).drop("marca")
+    return dimensions.lookup_products(_requests(spark, d), t.produtos(spark, d)).drop("marca")
 
 
 @query
 def product_lookup_brand(spark, d):
-    found = dimensions.lookup_products_by_brand(_requests(spark, d), t.produtos_existentes(spark, d))
+    found = dimensions.lookup_products_by_brand(_requests(spark, d), t.produtos(spark, d))
     return found.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("produto.id").alias("produto_id"),
@@ -339,7 +344,7 @@ def product_get_or_create(spark, d):
         items.saved_items(_gated(spark, d), "caminho_arquivo"),
         t.produtos_existentes(spark, d),
         t.categorias(spark),
-        ingest_plan.ITEM_ORDER,
+        ["caminho_arquivo", "pos", "alternativa"],
         t.NOW,
     )
     return keys.join(new.withColumnRenamed("id", "produto_id"), ["produto_id", "nome_normalizado"], "left").select(

@@ -7,9 +7,15 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gondola import session
 from gondola.operators.categories import default_categories, resolve_category
 from gondola.operators.dimensions import with_normalized_name
-from gondola.session import prepare
+from workload.scratch import ensure
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    return session.prepare(ensure(spark))
+
 
 AS_OF = dt.date(2001, 6, 1)
 NOW = dt.datetime(2002, 1, 1)

@@ -34,6 +34,7 @@ class Settings:
     pivot_sample: int = 4096  # rows the pivots are chosen from
     tree_rows: int = 8192  # a larger cell becomes several trees
     page: int = 64  # entries of a node
+    blocks: int = 32  # queries are dealt into so many blocks when they meet the trees
 
 
 @dataclass
@@ -262,10 +263,12 @@ def top_k(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     limited = asked.drop("reach").join(worst, "query_id", "left").select(
         "query_id", "v", "cell", F.coalesce(reach * (1 + 10 * SLACK) + 1e-6, F.lit(math.inf)).alias("reach")
     )
-    # each query meets each other tree once: the stated set against all rows, in trees
-    other = trees.groupBy().agg(F.collect_list(F.struct("tree", "cell")).alias("t"))
-    far = limited.withColumnRenamed("cell", "home").join(F.broadcast(other)).select("query_id", "v", "home", "reach", F.inline("t")).where("cell <> home")
-    found = near.union(_search(index, far.drop("home"), k))
+    # the stated query set against all trees, dealt out in blocks of queries
+    blocks = F.sequence(F.lit(0), F.lit(index.settings.blocks - 1))
+    other = trees.select("tree", F.col("cell").alias("own"), F.explode(blocks).alias("block"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(index.settings.blocks)).cast("int")
+    far = limited.withColumn("block", block).join(other, "block").where("cell <> own")
+    found = near.union(_search(index, far, k))
     place_of = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(place_of)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

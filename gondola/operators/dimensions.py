@@ -125,14 +125,19 @@ def get_or_create_products(
     Returns (keys, new): ``keys`` has one row per normalised name with
     ``produto_id`` and ``primeira``, the position that created the product (NULL
     where it existed before); ``new`` are the product rows to append. The first
-    item in ``order`` gives a new product its name, brand and category.
+    item in ``order`` gives a new product its name, brand and category. Items
+    with a false ``cria`` (all create without that column) find products but
+    create none; a name only they have, and that no product has, is in no key.
     """
     position = F.struct(*order)
+    creates = F.col("cria") if "cria" in items.columns else F.lit(True)
+    able = F.when(creates, position)
     firsts = stage(
-        items.groupBy(normalize_name(F.col("nome")).alias("nome_normalizado"))
+        compute_once(items, nome_normalizado=normalize_name(F.col("nome")))
+        .groupBy("nome_normalizado")
         .agg(
-            F.min_by(F.struct("nome", "marca", "categoria"), position).alias("item"),
-            F.min(position).alias("primeira"),
+            F.min_by(F.struct("nome", "marca", "categoria"), able).alias("item"),
+            F.min(able).alias("primeira"),
         ),
         "nomes",
     )
@@ -144,7 +149,7 @@ def get_or_create_products(
     )
     keys = stage(firsts.join(existing, "nome_normalizado", "left"), "chaves")
     new = create_products(
-        keys.where(F.col("_existente").isNull()).select("item.*", "primeira"),
+        keys.where(F.col("_existente").isNull() & F.col("primeira").isNotNull()).select("item.*", "primeira"),
         produtos,
         categorias,
         now,

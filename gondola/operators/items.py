@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gondola import fixed_values as fx
 from gondola.functions.columns import compute_once
+from gondola.functions.skew import per_key
 from gondola.functions.text import let, split_alternatives
 from gondola.operators.answers import is_number_text, name_is_empty, number_from_text
 
@@ -64,10 +65,11 @@ def _promotion_problem(kind: Column, value: Column) -> Column:
 def _gate(item: Column) -> Column:
     """Decide what of one product can be saved.
 
-    ``nomes`` are the alternatives to save, ``gravar`` says whether their price
-    is stored too, ``erros`` are the messages. A failure while storing the price
-    comes after the product was looked up or created, so that product stays
-    and the remaining alternatives are given up.
+    ``nomes`` are the alternatives to save, ``longos`` tells which of them cannot
+    become a new product (a text longer than its column), ``gravar`` says whether
+    their price is stored too, ``erros`` are the messages. A failure while storing
+    the price comes after the product was looked up or created, so that product
+    stays and the remaining alternatives are given up.
     """
     prefix = F.concat(F.lit("Erro ao processar produto "), item["pos"].cast("string"), F.lit(": "))
     no_names = F.array().cast("array<string>")
@@ -116,12 +118,10 @@ def _gate(item: Column) -> Column:
                 F.lit(f"unidade com mais de {fx.MAX_UNIT} caracteres"),
             ),
         )
-        fits = F.when(too_long, F.lit(0)).otherwise(_leading_short_names(n["nomes"]))
-        return let(F.struct(late.alias("tarde"), fits.alias("cabem")), lambda c: decide(n, c))
+        return let(F.struct(late.alias("tarde")), lambda c: decide(n, c))
 
     def decide(n: Column, c: Column) -> Column:
-        names, late, fits = n["nomes"], c["tarde"], c["cabem"]
-        cut = (fits == 0) | (late.isNull() & (fits < F.size(names)))
+        names, late = n["nomes"], c["tarde"]
         errors = (
             F.when(
                 n["cedo"] == "sem nome",
@@ -140,16 +140,15 @@ def _gate(item: Column) -> Column:
                     names, lambda x: F.concat(F.lit("Produto "), x, F.lit(": preço inválido"))
                 ),
             )
-            .when(cut, F.array(F.concat(prefix, F.lit("texto maior que a coluna"))))
             .when(late.isNotNull(), F.array(F.concat(prefix, late)))
             .otherwise(no_names)
         )
-        kept = F.when(late.isNotNull(), F.least(fits, F.lit(1))).otherwise(fits)
+        count = F.when(n["cedo"].isNotNull(), F.lit(0)).when(late.isNotNull(), F.lit(1)).otherwise(F.size(names))
+        kept = F.slice(names, F.lit(1), count)
         return F.struct(
             item["pos"].alias("pos"),
-            F.when(n["cedo"].isNotNull(), no_names)
-            .otherwise(F.slice(names, F.lit(1), kept))
-            .alias("nomes"),
+            kept.alias("nomes"),
+            F.transform(kept, lambda x: too_long | (F.length(x) > fx.MAX_PRODUCT_NAME)).alias("longos"),
             late.isNull().alias("gravar"),
             errors.alias("erros"),
             item["marca"].alias("marca"),
@@ -165,42 +164,71 @@ def _gate(item: Column) -> Column:
     return let(numbers, check)
 
 
-def _leading_short_names(names: Column) -> Column:
-    """How many alternatives come before the first one that is too long to store."""
-    first_long = F.array_position(
-        F.transform(names, lambda n: F.length(n) > fx.MAX_PRODUCT_NAME), F.lit(True)
-    )
-    return F.when(first_long == 0, F.size(names)).otherwise((first_long - 1).cast("int"))
-
-
 def gate_items(flyers: DataFrame) -> DataFrame:
     """Replace ``itens`` by the gated list and add the ordered messages ``erros``.
 
     ``total_produtos`` counts the products of the list before any expansion.
-    Flyers that failed as a whole get NULL lists.
+    Flyers that failed as a whole get NULL lists. Names too long for a new
+    product are judged later, when it is known which products exist.
     """
     sound = F.col("erro").isNull()
     gated = compute_once(
         flyers.withColumn("total_produtos", F.when(sound, F.size("itens"))),
         itens=F.when(sound, F.transform("itens", _gate)),
     )
-    return gated.withColumn("erros", F.flatten(F.transform("itens", lambda it: it["erros"])))
+    return gated.withColumn(
+        "erros_pos",
+        F.flatten(
+            F.transform(
+                "itens",
+                lambda it: F.transform(
+                    it["erros"], lambda e, i: F.struct(it["pos"].alias("pos"), i.alias("i"), e.alias("erro"))
+                ),
+            )
+        ),
+    ).withColumn("erros", F.transform("erros_pos", lambda e: e["erro"]))
+
+
+def refuse_new(resolved: DataFrame, flyer: str, known: str) -> tuple[DataFrame, DataFrame]:
+    """Split rows with a look-up result into (saved, refused).
+
+    ``known`` tells whether the row's product exists when its turn comes. The first
+    alternative that would need a new product but is too long for one ends its item;
+    ``refused`` has that flyer and position once, with the message.
+    """
+    missing = F.when(~F.col(known), F.col("alternativa"))
+    stops = (
+        resolved.where("longo or apos_longo")
+        .groupBy(flyer, "pos")
+        .agg(F.min(missing).alias("_fim"))
+        .where(F.col("_fim").isNotNull())
+    )
+    stops = per_key(stops, flyer, "pos")
+    message = F.concat(
+        F.lit("Erro ao processar produto "), F.col("pos").cast("string"), F.lit(": texto maior que a coluna")
+    )
+    saved = resolved.join(stops, [flyer, "pos"], "left").where("_fim is null or alternativa < _fim").drop("_fim")
+    return saved, stops.select(flyer, "pos", message.alias("erro"))
 
 
 def saved_items(gated: DataFrame, *keep: str) -> DataFrame:
     """One row per alternative to save, with the ``keep`` columns of its flyer.
 
     Prices are typed here: DECIMAL(10,2) and DECIMAL(3,2), rounding half up.
+    ``longo``: no new product can be made of it; ``apos_longo``: an earlier
+    alternative of the same product is like that.
     """
     return (
         gated.select(*keep, F.explode_outer("itens").alias("it"))
-        .select(*keep, "it", F.posexplode_outer("it.nomes").alias("_alt", "nome"))
-        .where(F.col("nome").isNotNull())
+        .select(*keep, "it", F.posexplode_outer(F.arrays_zip("it.nomes", "it.longos")).alias("_alt", "_nome"))
+        .where(F.col("_nome").isNotNull())
         .select(
             *keep,
             F.col("it.pos").alias("pos"),
             (F.col("_alt") + 1).alias("alternativa"),
-            "nome",
+            F.col("_nome.nomes").alias("nome"),
+            F.col("_nome.longos").alias("longo"),
+            F.exists(F.slice("it.longos", F.lit(1), F.col("_alt")), lambda x: x).alias("apos_longo"),
             F.col("it.marca").alias("marca"),
             F.col("it.categoria").alias("categoria"),
             F.col("it.preco").try_cast("decimal(10,2)").alias("preco"),

@@ -17,13 +17,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gondola.functions.columns import compute_once
 from gondola.functions.text import normalize_name
 from gondola.operators.answers import read_flyers
 from gondola.operators.dimensions import get_or_create_products, get_or_create_stores
 from gondola.operators.ids import assign_ids
-from gondola.operators.items import gate_items, saved_items
+from gondola.operators.items import gate_items, refuse_new, saved_items
 from gondola.operators.maintenance import log_flyers
-from gondola.session import prepare
+from gondola.session import prepare, stage
 
 ITEM_ORDER = ["caminho_arquivo", "imagem_id", "pos", "alternativa"]
 
@@ -63,8 +64,10 @@ def ingest(
     placed = sound.withColumn("chave", F.lower("loja")).join(
         stores.select("chave", "supermercado_id"), "chave", "left"
     )
+    named = saved_items(sound, "caminho_arquivo", "id").withColumnRenamed("id", "imagem_id")
     keys, new_products = get_or_create_products(
-        saved_items(sound, "caminho_arquivo", "id").withColumnRenamed("id", "imagem_id"),
+        # what is too long for a new product, or comes after it, only finds existing ones
+        named.withColumn("cria", ~F.col("longo") & ~F.col("apos_longo")),
         produtos,
         categorias,
         ITEM_ORDER,
@@ -76,15 +79,22 @@ def ingest(
     ).withColumnRenamed("id", "imagem_id")
 
     resolved = (
-        items.withColumn("nome_normalizado", normalize_name(F.col("nome")))
-        .join(keys, "nome_normalizado")
+        compute_once(items, nome_normalizado=normalize_name(F.col("nome")))
+        .join(keys, "nome_normalizado", "left")
         .withColumn(
             "novo", F.coalesce(F.struct(*ITEM_ORDER) == F.col("primeira"), F.lit(False))
         )
+        # an item that cannot create must come after the one that does
+        .withColumn(
+            "conhecido",
+            F.col("produto_id").isNotNull()
+            & (F.col("primeira").isNull() | (F.struct(*ITEM_ORDER) >= F.col("primeira"))),
+        )
         .drop("primeira", "nome_normalizado", "nome", "marca", "categoria")
         .withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
     )
-    numbered = assign_ids(resolved, precos)
+    saved, refused = refuse_new(stage(resolved, "itens"), "imagem_id", "conhecido")
+    numbered = assign_ids(saved.drop("longo", "apos_longo", "conhecido"), precos)
     return Ingest(
         log_flyers(flyers, now),
         new_stores,
@@ -92,25 +102,43 @@ def ingest(
         numbered.where("gravar").drop(
             "gravar", "novo", "pos", "alternativa", "nome_arquivo", "caminho_arquivo"
         ),
-        ingest_stats(placed, numbered),
+        ingest_stats(placed, numbered, refused),
     )
 
 
-def ingest_stats(flyers: DataFrame, rows: DataFrame) -> DataFrame:
-    """Figures per saved flyer; ``erros`` keeps the order of the product list."""
+def ingest_stats(flyers: DataFrame, rows: DataFrame, refused: DataFrame) -> DataFrame:
+    """Figures per saved flyer; ``erros`` keeps the order of the product list.
+
+    The message of a refused product replaces that of its price, which was not reached.
+    """
     counts = rows.groupBy("imagem_id").agg(
         F.count_if("novo").alias("produtos_novos"),
         F.count_if(~F.col("novo")).alias("produtos_existentes"),
         F.count_if("gravar").alias("precos_salvos"),
     )
+    late = refused.groupBy(F.col("imagem_id").alias("_imagem")).agg(
+        F.collect_list(F.struct("pos", F.lit(0).alias("i"), "erro")).alias("_recusas")
+    )
+    positions = F.transform("_recusas", lambda r: r["pos"])
+    errors = F.when(F.col("_recusas").isNull(), F.col("erros")).otherwise(
+        F.transform(
+            F.array_sort(
+                F.concat(F.filter("erros_pos", lambda e: ~F.array_contains(positions, e["pos"])), "_recusas")
+            ),
+            lambda e: e["erro"],
+        )
+    )
     figures = ("produtos_novos", "produtos_existentes", "precos_salvos")
-    return flyers.join(counts, flyers["id"] == counts["imagem_id"], "left").select(
+    joined = flyers.join(counts, flyers["id"] == counts["imagem_id"], "left").join(
+        late, flyers["id"] == late["_imagem"], "left"
+    )
+    return joined.select(
         F.col("id").alias("imagem_id"),
         "nome_arquivo",
         "supermercado_id",
         "total_produtos",
         *(F.coalesce(c, F.lit(0)).alias(c) for c in figures),
-        "erros",
+        errors.alias("erros"),
     )
 
 

@@ -98,8 +98,8 @@ panfletos AS (
          CAST(o_orderdate AS DATE) AS inicio,
          CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate + INTERVAL 7 DAY AS DATE) END AS fim,
          CASE WHEN tipo = 11 THEN 'Nenhum JSON encontrado na resposta'
-              WHEN tipo = 12 THEN 'JSON inválido' END AS erro_json,
-         CASE WHEN tipo IN (11, 12) THEN NULL
+              WHEN tipo IN (12, 19) THEN 'JSON inválido' END AS erro_json,
+         CASE WHEN tipo IN (11, 12, 19) THEN NULL
               WHEN tipo = 1 THEN 'Campo ''produtos'' não encontrado'
               WHEN tipo = 2 THEN 'Campo ''produtos'' deve ser uma lista'
               WHEN tipo = 3 OR coalesce(n, 0) = 0 THEN 'Nenhum produto encontrado'
@@ -114,12 +114,16 @@ panfletos AS (
 proprias AS (
   SELECT f.pedido, f.nome_arquivo, f.caminho_arquivo, l.* EXCLUDE (pedido, n)
   FROM linhas l JOIN panfletos f ON f.pedido = l.pedido
-  WHERE f.tipo NOT IN (4, 5, 6, 7, 8, 9, 10, 14, 15, 16, 17, 18) OR l.pos < l.n),
+  WHERE (f.tipo NOT IN (4, 5, 6, 7, 8, 9, 10, 14, 15, 16, 17, 18, 20) AND (f.tipo <> 21 OR f.n < 2)) OR l.pos < l.n),
 extras(tipo, nome, preco, categoria, em_promocao, confianca, gravar) AS (VALUES
   (14, 'item logico', 1.00, NULL, false, NULL, true),
   (15, 'item caro', NULL, 'Produtos Gourmet', false, NULL, false),
   (17, 'item unidade', 2.35, NULL, false, NULL, false),
   (18, 'item promocao', 3.46, NULL, NULL, 0.50, true)),
+conhecidas AS (
+  SELECT f.nome_arquivo, f.caminho_arquivo, f.pedido, f.n, upper(p_name) AS nome
+  FROM panfletos f JOIN linhas l ON l.pedido = f.pedido AND l.pos = 1
+  WHERE f.tipo = 21 AND f.n > 1 AND f.erro IS NULL),
 itens AS (
   SELECT p.nome_arquivo, p.caminho_arquivo, p.pedido, pos, 1 AS alternativa, p_name AS nome, marca, categoria,
          preco, preco_original, em_promocao, confianca, unidade, true AS gravar
@@ -131,12 +135,15 @@ itens AS (
   UNION ALL
   SELECT nome_arquivo, caminho_arquivo, pedido, n, 1, nome, NULL, categoria, CAST(preco AS DECIMAL(10,2)), NULL,
          em_promocao, CAST(confianca AS DECIMAL(3,2)), NULL, gravar
-  FROM panfletos f JOIN extras USING (tipo) WHERE f.erro IS NULL),
+  FROM panfletos f JOIN extras USING (tipo) WHERE f.erro IS NULL
+  UNION ALL
+  SELECT nome_arquivo, caminho_arquivo, pedido, n, 1, nome, NULL, NULL, 5.00, NULL, false, NULL, NULL, true
+  FROM conhecidas),
 mensagens AS (
   SELECT nome_arquivo, 'Erro ao processar produto ' || n || CASE tipo
            WHEN 10 THEN ': preço não é número' WHEN 15 THEN ': preco fora do limite'
-           WHEN 16 THEN ': texto maior que a coluna' ELSE ': unidade com mais de 50 caracteres' END AS mensagem
-  FROM panfletos WHERE erro IS NULL AND tipo IN (10, 15, 16, 17))"""
+           WHEN 16 THEN ': texto maior que a coluna' WHEN 20 THEN ': texto maior que a coluna' ELSE ': unidade com mais de 50 caracteres' END AS mensagem
+  FROM panfletos WHERE erro IS NULL AND tipo IN (10, 15, 16, 17, 20))"""
 
 EXISTENTES = """
 existentes AS (SELECT * FROM produtos WHERE p_size <= 25),
@@ -220,7 +227,7 @@ SELECT nome_arquivo, supermercado, n AS produtos FROM panfletos WHERE erro IS NU
 # ---- answers
 _add("parse_answers", [PANFLETOS], """
 SELECT nome_arquivo, erro_json AS erro, CASE WHEN erro_json IS NULL THEN supermercado END AS supermercado,
-       CASE WHEN tipo IN (1, 2, 11, 12) THEN NULL WHEN tipo = 3 THEN 0 ELSE n END AS produtos
+       CASE WHEN tipo IN (1, 2, 11, 12, 19) THEN NULL WHEN tipo = 3 THEN 0 ELSE n END AS produtos
 FROM panfletos
 """)
 _add("validate_answers", [PANFLETOS], """
@@ -240,6 +247,10 @@ SELECT nome_arquivo, n, CASE tipo WHEN 10 THEN 'item texto' WHEN 14 THEN 'item l
          WHEN 16 THEN repeat('x', 256) WHEN 17 THEN 'item unidade ou item outro' ELSE 'item promocao' END,
        NULL, CASE tipo WHEN 15 THEN 'Produtos Gourmet' END, CASE tipo WHEN 17 THEN repeat('u', 51) END
 FROM panfletos WHERE coalesce(erro_json, invalido) IS NULL AND tipo IN (10, 14, 15, 16, 17, 18)
+UNION ALL
+SELECT nome_arquivo, n, 'item longo', repeat('m', 101), NULL, NULL
+FROM panfletos WHERE coalesce(erro_json, invalido) IS NULL AND tipo = 20
+UNION ALL SELECT nome_arquivo, n, nome, repeat('m', 101), NULL, NULL FROM conhecidas
 """)
 _add("flyer_header", [PANFLETOS], """
 SELECT nome_arquivo, supermercado, CASE WHEN tipo <> 13 THEN inicio END AS validade_inicio,
@@ -253,11 +264,17 @@ SELECT doc_id, generate_subscripts(partes, 1) AS alternativa, unnest(partes) AS
                       ELSE [text] END AS partes
   FROM (SELECT doc_id, text, regexp_split_to_array(text, '(?i)\\s+ou\\s+') AS p FROM documents))
 """)
-_add("price_gate", [PANFLETOS], "SELECT nome_arquivo, mensagem FROM mensagens")
+_add("price_gate", [PANFLETOS], """
+SELECT nome_arquivo, mensagem FROM mensagens WHERE mensagem NOT LIKE '%: texto maior que a coluna'
+""")
 _add("optional_fields", [PANFLETOS], """
 SELECT nome_arquivo, pos, CAST(alternativa AS BIGINT) AS alternativa, nome, preco, preco_original, em_promocao,
        confianca, gravar
 FROM itens
+UNION ALL
+SELECT nome_arquivo, n, 1, CASE tipo WHEN 16 THEN repeat('x', 256) ELSE 'item longo' END,
+       CASE tipo WHEN 16 THEN 1.00 ELSE 4.00 END, NULL, false, NULL, true
+FROM panfletos WHERE erro IS NULL AND tipo IN (16, 20)
 """)
 _add("store_default", [PANFLETOS], """
 SELECT coalesce(CASE WHEN erro_json IS NULL THEN supermercado END, 'Desconhecido') AS loja,
@@ -469,7 +486,9 @@ _add("flyer_top3", [PANFLETOS], """
            WHEN 16 THEN repeat('x', 256) WHEN 17 THEN 'item unidade ou item outro' ELSE 'item promocao' END,
          CASE tipo WHEN 10 THEN 12.5 WHEN 14 THEN 1 WHEN 15 THEN 1000000000 WHEN 16 THEN 1 WHEN 17 THEN 2.345
               ELSE 3.455 END
-  FROM panfletos WHERE erro IS NULL AND tipo IN (10, 14, 15, 16, 17, 18)),
+  FROM panfletos WHERE erro IS NULL AND tipo IN (10, 14, 15, 16, 17, 18)
+  UNION ALL SELECT nome_arquivo, n, 'item longo', 4 FROM panfletos WHERE erro IS NULL AND tipo = 20
+  UNION ALL SELECT nome_arquivo, n, nome, 5 FROM conhecidas),
 postos AS (SELECT *, row_number() OVER (PARTITION BY nome_arquivo ORDER BY preco, pos) AS posto FROM listas)
 SELECT nome_arquivo, posto, nome, preco FROM postos WHERE posto <= 3
 """)

@@ -341,12 +341,13 @@ def product_lookup_sql(spark, d):
 @query
 def product_get_or_create(spark, d):
     keys, new = dimensions.get_or_create_products(
-        items.saved_items(_gated(spark, d), "caminho_arquivo"),
+        items.saved_items(_gated(spark, d), "caminho_arquivo").withColumn("cria", F.expr("not longo and not apos_longo")),
         t.produtos_existentes(spark, d),
         t.categorias(spark),
         ["caminho_arquivo", "pos", "alternativa"],
         t.NOW,
     )
+    keys = keys.where("produto_id is not null")
     return keys.join(new.withColumnRenamed("id", "produto_id"), ["produto_id", "nome_normalizado"], "left").select(
         "nome_normalizado", "produto_id", F.col("primeira").isNotNull().alias("novo"),
         "nome", "marca", "categoria", "categoria_id", "categoria_sugerida",

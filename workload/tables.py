@@ -44,8 +44,10 @@ LAST_PRODUCT = {
     16: '{"nome":"' + "x" * 256 + '","preco":1}',
     17: '{"nome":"item unidade ou item outro","preco":2.345,"unidade":"' + "u" * 51 + '"}',
     18: '{"nome":"item promocao","preco":3.455,"em_promocao":null,"confianca":"0.5"}',
+    # a brand too long for a new product: refused for an unknown name, not for a known one (kind 21)
+    20: '{"nome":"item longo","marca":"' + "m" * 101 + '","preco":4}',
 }
-NO_KEY, NOT_A_LIST, EMPTY_LIST, NO_BRACES, CUT_OFF, BAD_DATE = 1, 2, 3, 11, 12, 13
+NO_KEY, NOT_A_LIST, EMPTY_LIST, NO_BRACES, CUT_OFF, BAD_DATE, TRAILING, KNOWN = 1, 2, 3, 11, 12, 13, 19, 21
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -223,7 +225,7 @@ def respostas(spark: SparkSession, sf_dir: str) -> DataFrame:
         .repartition("l_orderkey")
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select("l_orderkey", F.struct(*line, F.to_json(product).alias("json"), "s_name").alias("linha"))
+        .select("l_orderkey", F.struct(*line, F.to_json(product).alias("json"), "s_name", "p_name").alias("linha"))
         .groupBy("l_orderkey")
         .agg(F.array_sort(F.collect_list("linha")).alias("linhas"))
     )
@@ -232,6 +234,11 @@ def respostas(spark: SparkSession, sf_dir: str) -> DataFrame:
     swap = F.try_element_at(
         F.create_map(*(F.lit(v) for pair in LAST_PRODUCT.items() for v in pair)), kind.cast("int")
     )
+    # the name of the flyer's first product again, with a brand that is too long
+    again = F.concat(
+        F.lit('{"nome":"'), F.upper(F.get("linhas", F.lit(0))["p_name"]), F.lit('","marca":"' + "m" * 101 + '","preco":5}')
+    )
+    swap = F.when(kind == KNOWN, F.when(F.size(own) > 1, again)).otherwise(swap)
     products = F.when(
         swap.isNotNull() & (F.size(own) > 0),
         F.concat(F.slice(own, F.lit(1), F.size(own) - 1), F.array(swap)),
@@ -262,6 +269,7 @@ def respostas(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == EMPTY_LIST, F.concat(opening, F.lit(',"produtos":[]}')))
         .when(kind == NO_BRACES, F.lit("Não consegui ler este panfleto."))
         .when(kind == CUT_OFF, F.concat(opening, F.lit(',"produtos":[{"nome":"a"}')))
+        .when(kind == TRAILING, F.concat(opening, F.lit(',"produtos":'), listed, F.lit("}] {x}")))
         .otherwise(F.concat(opening, F.lit(',"produtos":'), listed, F.lit("}")))
     )
     key = F.col("o_orderkey") % 3

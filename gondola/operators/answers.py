@@ -7,6 +7,8 @@ The product list of a flyer stays an array inside its row until
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,12 +216,22 @@ def _date_problem(kind: Column, text: Column) -> Column:
     )
 
 
+def _with_store(doc: Column, store: str) -> Column:
+    """The document with another store; what is no object stays as it is."""
+    fields = F.try_variant_get(doc, "$", "map<string,variant>")
+    name = F.create_map(F.lit("supermercado"), F.parse_json(F.lit(json.dumps(store))))
+    others = F.map_filter(fields, lambda key, _: key != "supermercado")
+    return F.coalesce(F.to_variant_object(F.map_concat(others, name)), doc)
+
+
 def read_header(parsed: DataFrame, override: str | None = None) -> DataFrame:
     """Add store name, validity dates and ``cabecalho_erro`` (bad date, NULL when fine).
 
-    ``override`` replaces the store of every flyer; an empty one does not.
+    ``override`` replaces the store of every flyer, also inside ``dados``; an empty one does not.
     ``loja`` is the name to look up: the store or, without one, the default.
     """
+    if override:
+        parsed = parsed.withColumn("dados", _with_store(F.col("dados"), override))
     doc = F.col("dados")
     start, end = "data_validade_inicio", "data_validade_fim"
     store = F.coalesce(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gondola import fixed_values as fx
 from gondola.functions.skew import per_key
+from gondola.functions.text import normalize_name
 
 FILLABLE = ("marca", "categoria_id", "codigo_barras", "descricao")
 
@@ -252,3 +253,10 @@ def merge_duplicates(
         move_prices(precos, replacement_ids(produtos, choices)),
         merge_stats(choices),
     )
+
+
+def merge_group(produtos: DataFrame, precos: DataFrame, name: str, now: dt.datetime) -> Merge:
+    """Merge the duplicates of one name only; all other rows stay as they are."""
+    group = produtos.where(F.col("nome_normalizado") == normalize_name(F.lit(name)))
+    used = precos.join(group.select(F.col("id").alias("produto_id")), "produto_id", "left_semi")
+    return merge_duplicates(produtos, precos, now, merge_choices(group, used))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gondola.fixed_values import STATUS_PENDING
+
 PRODUTOS = (
     "id bigint, nome string, nome_normalizado string, marca string, categoria string, "
     "categoria_id int, categoria_sugerida string, codigo_barras string, descricao string, "
@@ -39,18 +41,27 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
 
+# What a column gets that the input does not have; all others get NULL.
+DEFAULTS = {
+    "produtos": {"created_at": "localtimestamp()", "updated_at": "localtimestamp()"},
+    "supermercados": {"created_at": "localtimestamp()"},
+    "imagens": {"status": f"'{STATUS_PENDING}'", "created_at": "localtimestamp()"},
+    "precos": {"em_promocao": "false", "created_at": "localtimestamp()"},
+    "categorias": {"created_at": "localtimestamp()"},
+}
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Order and cast the columns as the stored table has them.
 
-    A column the input lacks becomes NULL.
+    A column the input lacks gets its default. A NULL that is there stays.
     """
     fields = empty_table(df.sparkSession, name).schema.fields
-    present = set(df.columns)
+    present, defaults = set(df.columns), DEFAULTS.get(name, {})
     return df.selectExpr(
         *(
-            f"cast(`{f.name}` as {f.dataType.simpleString()}) as `{f.name}`"
-            if f.name in present
-            else f"cast(null as {f.dataType.simpleString()}) as `{f.name}`"
+            f"cast({f'`{f.name}`' if f.name in present else defaults.get(f.name, 'null')} "
+            f"as {f.dataType.simpleString()}) as `{f.name}`"
             for f in fields
         )
     )

@@ -26,8 +26,12 @@ def select_images(files: DataFrame, path: str = "caminho_arquivo") -> DataFrame:
 def list_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Flyer images directly in ``folder``: path, size, time. The contents are not read.
 
-    Raises when the folder does not exist; a folder without images is empty.
+    Raises when the folder does not exist or is a file; a folder without images is empty.
     """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path) and not store.getFileStatus(path).isDirectory():
+        raise NotADirectoryError(f"Caminho não é uma pasta: {folder}")
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "false")

@@ -257,6 +257,8 @@ def test_folder(spark, tmp_path):
     (tmp_path / "sub" / "h.jpg").write_bytes(b"x")
     found = images.list_folder(spark, str(tmp_path))
     assert sorted(r.nome_arquivo for r in found.collect()) == ["a.jpg", "b.JPG", "d.webp"]
+    with pytest.raises(NotADirectoryError):
+        images.list_folder(spark, str(next(p for p in tmp_path.iterdir() if p.is_file())))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         images.list_folder(spark, str(tmp_path / "x"))
 

@@ -436,13 +436,29 @@ FROM precos WHERE imagem_id NOT IN (SELECT o_orderkey FROM orders)
 """)
 
 # ---- ingest
-_add("flyer_log", [PANFLETOS], """
-SELECT nome_arquivo, caminho_arquivo, CASE WHEN erro IS NULL THEN supermercado END AS supermercado_nome,
+for _name, _store in (("flyer_log", "supermercado"), ("flyer_log_manual", "'Campeão'")):
+    _add(_name, [PANFLETOS], f"""
+SELECT nome_arquivo, caminho_arquivo, CASE WHEN erro IS NULL THEN {_store} END AS supermercado_nome,
        CASE WHEN erro IS NULL THEN inicio END AS data_panfleto,
        CASE WHEN erro IS NULL THEN 'processado' ELSE 'erro' END AS status,
-       erro IS NULL AS tem_dados, erro AS erro_mensagem, TIMESTAMP '2002-01-01 00:00:00' AS processed_at
+       erro IS NULL AS tem_dados, CASE WHEN erro IS NULL THEN {_store} END AS loja_no_documento,
+       CASE WHEN erro IS NULL THEN n END AS produtos,
+       erro AS erro_mensagem, TIMESTAMP '2002-01-01 00:00:00' AS processed_at
 FROM panfletos
 """)
+_add("table_defaults", [PRECOS], """
+SELECT id, 'false' AS valor, true AS com_data FROM precos
+UNION ALL SELECT o_orderkey, 'pendente', true FROM orders
+""")
+_add("product_admission", [PRODUTOS_CRUS], """
+SELECT id, CASE WHEN id % 50 = 0 THEN 'nome nulo'
+  WHEN length(repeat(nome, p_size)) > 255 THEN 'nome com mais de 255 caracteres'
+  WHEN length(repeat(marca, p_size)) > 100 THEN 'marca com mais de 100 caracteres'
+  WHEN length(repeat(categoria_sugerida, greatest(p_size - 40, 1))) > 100
+    THEN 'categoria_sugerida com mais de 100 caracteres'
+  WHEN length(codigo_barras) + p_size > 13 THEN 'codigo_barras com mais de 13 caracteres' END AS problema
+FROM produtos_crus
+""")
 _add("ingest_stats", INGEST, """
 , marcados AS (SELECT o.nome_arquivo, o.gravar, k.novo AND o.vez = 1 AS novo
                FROM ordenados o JOIN chaves k ON k.chave = o.chave),
@@ -698,3 +714,11 @@ SELECT count(*) FILTER (lugar = 1) AS grupos_duplicados, count(*) FILTER (lugar
        CAST(coalesce(sum(total_precos) FILTER (lugar > 1), 0) AS BIGINT) AS precos_transferidos
 FROM membros
 """)
+_add("merge_one_group", MERGE, """
+SELECT id, nome, marca, categoria, categoria_id, codigo_barras, descricao,
+       CASE WHEN mudou THEN TIMESTAMP '2002-01-01 00:00:00' ELSE created_at END AS updated_at
+FROM preenchidos WHERE nome_normalizado = 'red widget'
+UNION ALL
+SELECT id, nome, marca, categoria, CAST(categoria_id AS INTEGER), codigo_barras, descricao, created_at
+FROM pontuados WHERE nome_normalizado IS DISTINCT FROM 'red widget' OR quantidade = 1
+""")

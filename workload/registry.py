@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gondola import schemas
 from gondola.functions import sql as sql_functions
 from gondola.functions import text as text_rules
 from gondola.operators import answers, categories, dimensions, duplicates, items, maintenance, reports
@@ -425,7 +426,7 @@ def fk_violations(spark, d):
 # ---- ingest ------------------------------------------------------------------
 
 
-def _ingest(spark, d):
+def _ingest(spark, d, store=None):
     return ingest_plan.ingest(
         t.respostas(spark, d),
         t.imagens(spark, d),
@@ -434,17 +435,54 @@ def _ingest(spark, d):
         t.precos(spark, d),
         t.categorias(spark),
         t.NOW,
+        store,
+    )
+
+
+def _log(spark, d, store=None):
+    return _ingest(spark, d, store).imagens.select(
+        "nome_arquivo", "caminho_arquivo", "supermercado_nome", "data_panfleto", "status",
+        F.col("dados_json").isNotNull().alias("tem_dados"),
+        F.try_variant_get("dados_json", "$.supermercado", "string").alias("loja_no_documento"),
+        F.size(F.try_variant_get("dados_json", "$.produtos", "array<variant>")).cast("bigint").alias("produtos"),
+        "erro_mensagem", "processed_at",
     )
 
 
 @query
 def flyer_log(spark, d):
-    return _ingest(spark, d).imagens.select(
-        "nome_arquivo", "caminho_arquivo", "supermercado_nome", "data_panfleto", "status",
-        F.col("dados_json").isNotNull().alias("tem_dados"), "erro_mensagem", "processed_at",
+    return _log(spark, d)
+
+
+@query
+def flyer_log_manual(spark, d):
+    return _log(spark, d, "Campeão")
+
+
+@query
+def table_defaults(spark, d):
+    """Prices and log rows that lack the columns with a default."""
+    prices = schemas.conform(t.precos(spark, d).drop("em_promocao", "created_at"), "precos")
+    log = schemas.conform(t.imagens(spark, d).drop("status", "created_at"), "imagens")
+    now = F.col("created_at").isNotNull().alias("com_data")
+    return prices.select("id", F.col("em_promocao").cast("string").alias("valor"), now).union(
+        log.select("id", "status", now)
     )
 
 
+@query
+def product_admission(spark, d):
+    size = F.col("p_size").cast("int")
+    wide = t.produtos_crus(spark, d).select(
+        "id",
+        F.expr("case when id % 50 > 0 then repeat(nome, p_size) end").alias("nome"),
+        F.repeat("marca", size).alias("marca"),
+        F.repeat("categoria_sugerida", F.greatest(size - 40, F.lit(1))).alias("categoria_sugerida"),
+        F.concat("codigo_barras", F.repeat(F.lit("0"), size)).alias("codigo_barras"),
+    )
+    return maintenance.admission_problem(wide).select("id", "problema")
+
+
 @query
 def ingest_stats(spark, d):
     return _ingest(spark, d).stats.select(
@@ -680,3 +718,11 @@ def merge_products(spark, d):
 @query
 def merge_stats(spark, d):
     return duplicates.merge_stats(_choices(spark, d))
+
+
+@query
+def merge_one_group(spark, d):
+    merge = duplicates.merge_group(t.produtos(spark, d), t.precos(spark, d), " Red  WIDGET ", t.NOW)
+    return merge.produtos.select(
+        "id", "nome", "marca", "categoria", "categoria_id", "codigo_barras", "descricao", "updated_at"
+    )

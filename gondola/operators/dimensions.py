@@ -119,9 +119,12 @@ def get_or_create_products(
     categorias: DataFrame,
     order: list[str],
     now: dt.datetime,
+    numbered: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Resolve item names to products.
 
+    New ids continue after the largest in ``numbered``, by default in ``produtos``.
+
     Returns (keys, new): ``keys`` has one row per normalised name with
     ``produto_id`` and ``primeira``, the position that created the product (NULL
     where it existed before); ``new`` are the product rows to append. The first
@@ -150,7 +153,7 @@ def get_or_create_products(
     keys = stage(firsts.join(existing, "nome_normalizado", "left"), "chaves")
     new = create_products(
         keys.where(F.col("_existente").isNull() & F.col("primeira").isNotNull()).select("item.*", "primeira"),
-        produtos,
+        produtos if numbered is None else numbered,
         categorias,
         now,
         [F.col("primeira")],
@@ -165,7 +168,8 @@ def get_or_create_products(
 
 
 def get_or_create_stores(
-    flyers: DataFrame, supermercados: DataFrame, order: list[str], now: dt.datetime, name: str = "loja"
+    flyers: DataFrame, supermercados: DataFrame, order: list[str], now: dt.datetime, name: str = "loja",
+    numbered: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """As ``get_or_create_products`` for stores: same name ignoring case, smallest id wins."""
     position = F.struct(*order)
@@ -180,7 +184,7 @@ def get_or_create_stores(
         keys.where(F.col("_existente").isNull()).select(
             "chave", "nome", "primeira", F.lit(now).cast("timestamp_ntz").alias("created_at")
         ),
-        supermercados,
+        supermercados if numbered is None else numbered,
         [F.col("primeira")],
     )
     known = keys.where(F.col("_existente").isNotNull()).select(

@@ -48,18 +48,22 @@ def ingest(
     categorias: DataFrame,
     now: dt.datetime,
     store_override: str | None = None,
+    largest: dict[str, DataFrame] | None = None,
 ) -> Ingest:
     """Ingest all flyers of ``answers`` on top of the stored tables.
 
-    Of ``imagens`` and ``precos`` only the largest ``id`` is read.
+    Of ``imagens`` and ``precos`` only the largest ``id`` is read. ``largest`` may give rows with
+    the largest ids of ``supermercados`` and ``produtos``, which then need no scan for them.
     """
+    largest = largest or {}
     prepare(answers.sparkSession)
     checked = read_flyers(answers, store_override).drop("texto")
     flyers = assign_ids(gate_items(checked), imagens)
     sound = flyers.where(F.col("erro").isNull())
 
     stores, new_stores = get_or_create_stores(
-        sound.select("loja", "caminho_arquivo", "id"), supermercados, ["caminho_arquivo", "id"], now
+        sound.select("loja", "caminho_arquivo", "id"), supermercados, ["caminho_arquivo", "id"], now,
+        numbered=largest.get("supermercados"),
     )
     placed = sound.withColumn("chave", F.lower("loja")).join(
         stores.select("chave", "supermercado_id"), "chave", "left"
@@ -72,6 +76,7 @@ def ingest(
         categorias,
         ITEM_ORDER,
         now,
+        numbered=largest.get("produtos"),
     )
     items = saved_items(
         placed,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from gondola.operators.duplicates import Merge, merge_choices, merge_duplicates
 from gondola.session import scratch, stage
-from gondola.sources.tables import PRICE_MONTH, read_table, write_table
+from gondola.sources.tables import read_table, write_table
 
 STATS = "estatisticas"
 
@@ -29,5 +29,5 @@ def merge_and_write(produtos: DataFrame, precos: DataFrame, base: str, now: dt.d
         write_table(merge.produtos, base, "produtos", mode="errorifexists")
     stored = {name: read_table(spark, base, name) for name in ("precos", "produtos")}
     return merge._replace(
-        produtos=stored["produtos"], precos=stored["precos"].drop(PRICE_MONTH), stats=spark.read.parquet(f"{base}/{STATS}")
+        produtos=stored["produtos"], precos=stored["precos"], stats=spark.read.parquet(f"{base}/{STATS}")
     )

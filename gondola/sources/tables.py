@@ -1,7 +1,8 @@
-"""Stored tables as Parquet folders.
+"""Stored tables as Parquet folders, one layout for jobs and for streaming.
 
-``precos`` is laid out by month of ``validade_fim``, so reports on valid
-prices read only the months they need.
+Every table is kept in batches, ``<table>/lote=<n>``; a job writes batch 0, a stream
+its own numbers. ``precos`` is split further by month of ``validade_fim``, so
+reports on valid prices read only the months they need.
 """
 
 from __future__ import annotations
@@ -14,33 +15,44 @@ from pyspark.sql import functions as F
 
 from gondola import schemas
 
+BATCH = "lote"
 PRICE_MONTH = "mes_fim"
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """The stored table, or an empty one of its schema when there is none yet."""
+def _stored(spark: SparkSession, base: str, name: str, before: int | None = None) -> DataFrame:
+    """All columns, the layout's too; an empty table when there is none yet."""
+    schema = f"{schemas.TABLES[name]}, {BATCH} bigint, {PRICE_MONTH} string"
     try:
-        found = spark.read.parquet(f"{base}/{name}")
+        found = spark.read.schema(schema).parquet(f"{base}/{name}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return schemas.empty_table(spark, name)
-    return found
+        return spark.createDataFrame([], schema)
+    return found if before is None else found.where(F.col(BATCH) < before)
 
 
-def write_table(df: DataFrame, base: str, name: str, mode: str = "append") -> None:
-    rows = schemas.conform(df, name)
+def read_table(spark: SparkSession, base: str, name: str, before: int | None = None) -> DataFrame:
+    """The stored table, or its batches before batch ``before``; empty when there is none yet."""
+    return _stored(spark, base, name, before).drop(BATCH, PRICE_MONTH)
+
+
+def write_table(df: DataFrame, base: str, name: str, mode: str = "append", batch: int = 0) -> None:
+    """Write into batch ``batch``; ``overwrite`` replaces that batch only.
+
+    Prices are dealt by month before they are written, large months to several tasks, so a
+    month gets few files whatever the number of tasks.
+    """
+    rows, path = schemas.conform(df, name), f"{base}/{name}/{BATCH}={batch}"
     if name == "precos":
-        rows = rows.withColumn(PRICE_MONTH, F.date_format("validade_fim", "yyyy-MM"))
-        rows.write.mode(mode).partitionBy(PRICE_MONTH).parquet(f"{base}/{name}")
+        month = F.date_format("validade_fim", "yyyy-MM")
+        dealt = rows.withColumn(PRICE_MONTH, month).hint("rebalance", F.col(PRICE_MONTH))
+        dealt.write.mode(mode).partitionBy(PRICE_MONTH).parquet(path)
     else:
-        rows.write.mode(mode).parquet(f"{base}/{name}")
+        rows.write.mode(mode).parquet(path)
 
 
 def read_valid_prices(spark: SparkSession, base: str, as_of: dt.date) -> DataFrame:
     """Stored prices that may be valid on ``as_of``: its month, later ones and open ends."""
-    prices = read_table(spark, base, "precos")
-    if PRICE_MONTH not in prices.columns:
-        return prices
-    month = F.col(PRICE_MONTH).cast("string")
-    return prices.where((month >= as_of.strftime("%Y-%m")) | month.isNull()).drop(PRICE_MONTH)
+    month = F.col(PRICE_MONTH)
+    prices = _stored(spark, base, "precos")
+    return prices.where((month >= as_of.strftime("%Y-%m")) | month.isNull()).drop(BATCH, PRICE_MONTH)

@@ -1,13 +1,14 @@
 """Incremental ingest: each run takes the answer files that arrived since the last one.
 
 Structured Streaming remembers the files already taken. Every micro-batch
-writes to its own sub-folder of each table, and reads only what earlier batches
+writes its own batch of each table, and reads only what earlier batches
 wrote, so repeating a batch after a failure replaces its output.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,50 +19,55 @@ from gondola import schemas
 from gondola.operators.categories import default_categories
 from gondola.plans.ingest import ingest
 from gondola.session import prepare, scratch
+from gondola.sources.tables import BATCH, read_table, write_table
 
 STATE = ("imagens", "supermercados", "produtos", "precos")
-# tables an ingest only needs the last id of
-NUMBERED = ("imagens", "precos")
 LAST_IDS = "ultimos_ids"
-BATCH = "lote"
 
 
 def read_state(spark: SparkSession, base: str, name: str, before: int | None = None) -> DataFrame:
     """Rows of a table from all batches, or from those before batch ``before``."""
-    return _read(spark, base, name, schemas.TABLES[name], before)
+    return read_table(spark, base, name, before)
 
 
-def _read(spark: SparkSession, base: str, name: str, schema: str, before: int | None) -> DataFrame:
+def _last_ids(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
+    """(tabela, id, lote): the largest ids of each batch, a row per table."""
+    schema = f"tabela string, id bigint, {BATCH} bigint"
     try:
-        rows = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(f"{base}/{name}")
+        found = spark.read.schema(schema).parquet(f"{base}/{LAST_IDS}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    if before is not None:
-        rows = rows.where(F.col(BATCH) < before)
-    return rows.drop(BATCH)
-
-
-def _write(df: DataFrame, base: str, name: str, batch: int) -> None:
-    schemas.conform(df, name).write.mode("overwrite").parquet(f"{base}/{name}/{BATCH}={batch}")
+        found = spark.createDataFrame([], schema)
+    return found if before is None else found.where(F.col(BATCH) < before)
 
 
 def _write_last_ids(spark: SparkSession, base: str, batch: int) -> None:
-    """Keep the largest ids of a batch, so that the next one need not scan the log and the prices."""
+    """Keep the largest ids of a batch, so that the next one need not scan the tables for them."""
     last = [
-        spark.read.parquet(f"{base}/{name}/{BATCH}={batch}").agg(
+        spark.read.schema("id bigint").parquet(f"{base}/{name}/{BATCH}={batch}").agg(
             F.lit(name).alias("tabela"), F.max("id").alias("id")
         )
-        for name in NUMBERED
+        for name in STATE
     ]
-    last[0].unionByName(last[1]).write.mode("overwrite").parquet(f"{base}/{LAST_IDS}/{BATCH}={batch}")
+    rows = reduce(DataFrame.unionByName, last).coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{base}/{LAST_IDS}/{BATCH}={batch}")
 
 
-def _last_ids(spark: SparkSession, base: str, name: str, before: int) -> DataFrame:
-    return _read(spark, base, LAST_IDS, "tabela string, id bigint", before).where(
-        F.col("tabela") == name
-    )
+def compact(spark: SparkSession, base: str, target: str) -> int:
+    """Write all batches below ``base`` as one below ``target``, a folder not used before.
+
+    Returns its number, that of the last batch. A stream goes on with ``target`` and its old
+    checkpoint; ``base`` stays as it is until nobody reads it. Last ids are written last: where they
+    are, the copy is whole.
+    """
+    last = _last_ids(spark, base).agg(F.max(BATCH)).head()[0]
+    if last is None:
+        raise ValueError(f"no batches below {base}")
+    for name in STATE:
+        write_table(read_table(spark, base, name, last + 1), target, name, "errorifexists", last)
+    _write_last_ids(spark, target, last)
+    return last
 
 
 def start_ingest(
@@ -82,18 +88,21 @@ def start_ingest(
             store(session, answers, batch)
 
     def store(session: SparkSession, answers: DataFrame, batch: int) -> None:
+        last = _last_ids(session, base, batch)
+        largest = {name: last.where(F.col("tabela") == name) for name in STATE}
         result = ingest(
             answers,
-            _last_ids(session, base, "imagens", batch),
+            largest["imagens"],
             read_state(session, base, "supermercados", before=batch),
             read_state(session, base, "produtos", before=batch),
-            _last_ids(session, base, "precos", batch),
+            largest["precos"],
             default_categories(session),
             now,
             store_override,
+            largest,
         )
         for name in STATE:
-            _write(getattr(result, name), base, name, batch)
+            write_table(getattr(result, name), base, name, "overwrite", batch)
         _write_last_ids(session, base, batch)
 
     return (

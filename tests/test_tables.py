@@ -14,7 +14,7 @@ from gondola.sinks import exports
 from gondola.sources import images
 from gondola.sources.answers import read_answer_files
 from gondola.sources.tables import read_table, read_valid_prices, write_table
-from gondola.streaming.incremental import read_state, start_ingest
+from gondola.streaming.incremental import compact, read_state, start_ingest
 
 NOW = dt.datetime(2025, 10, 15, 12, 0)
 
@@ -233,6 +233,23 @@ def test_incremental_runs(spark, tmp_path):
     assert read_state(spark, base, "imagens").select("id").distinct().count() == 4
 
 
+def test_streamed_prices_are_pruned_and_compacted(spark, tmp_path):
+    base, points, source = (str(tmp_path / n) for n in ("t", "c", "a"))
+    answers_of(spark, FLYERS[:2]).coalesce(1).write.parquet(source)
+    start_ingest(spark, source, base, points, NOW).awaitTermination()
+    answers_of(spark, FLYERS[2:]).coalesce(1).write.mode("append").parquet(source)
+    start_ingest(spark, source, base, points, NOW).awaitTermination()
+    plan = read_valid_prices(spark, base, dt.date(2025, 2, 1))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [((mes_fim" in plan
+    before = sorted(map(str, read_state(spark, base, "precos").collect()))
+    assert compact(spark, base, str(tmp_path / "novo")) == 1
+    assert sorted(map(str, read_state(spark, str(tmp_path / "novo"), "precos").collect())) == before
+    answers_of(spark, FLYERS[:1]).coalesce(1).write.mode("append").parquet(source)
+    start_ingest(spark, source, str(tmp_path / "novo"), points, NOW).awaitTermination()
+    ids = [r.id for r in read_state(spark, str(tmp_path / "novo"), "precos").collect()]
+    assert len(ids) == len(set(ids)) > len(before)
+
+
 def test_csv(spark, tmp_path):
     table = products(spark, (1, 'Arroz "T"', None, 0))
     stores = spark.createDataFrame([(1, "Loja; Á")], "id bigint, nome string")

@@ -16,7 +16,7 @@ CREATE OR REPLACE TEMPORARY FUNCTION buscar_produto_por_nome_normalizado(
 RETURNS TABLE (id BIGINT, nome STRING, marca STRING, categoria STRING, categoria_id INT,
                created_at TIMESTAMP_NTZ)
 RETURN SELECT p.id, p.nome, p.marca, p.categoria, p.categoria_id, p.created_at
-       FROM produtos p
+       FROM {view} p
        WHERE p.nome_normalizado = normalizar_nome(p_nome)
          AND (p_marca IS NULL OR p.marca IS NULL OR lower(p.marca) = lower(p_marca))
        ORDER BY p.created_at DESC, p.id DESC
@@ -24,13 +24,14 @@ RETURN SELECT p.id, p.nome, p.marca, p.categoria, p.categoria_id, p.created_at
 """
 
 
-def register(spark: SparkSession, produtos: DataFrame | None = None) -> None:
+def register(spark: SparkSession, produtos: DataFrame | None = None, view: str = "produtos") -> None:
     """Create ``normalizar_nome`` and, given products, the product look-up function.
 
+    The products become the temporary view ``view``, in place of any view of that name.
     The look-up is for single names; many requests at once belong to
     ``operators.dimensions.lookup_products_by_brand``.
     """
     spark.sql(NORMALIZE_NAME)
     if produtos is not None:
-        produtos.createOrReplaceTempView("produtos")
-        spark.sql(FIND_PRODUCT)
+        produtos.createOrReplaceTempView(view)
+        spark.sql(FIND_PRODUCT.format(view=f"`{view}`"))

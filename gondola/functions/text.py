@@ -44,10 +44,6 @@ def ellipsis(text: Column, width: int) -> Column:
     ).otherwise(text)
 
 
-def same_text(left: Column, right: Column) -> Column:
-    return F.lower(left) == F.lower(right)
-
-
 def contains_pattern(text: Column, fragment: str) -> Column:
     """Case-insensitive LIKE ``%fragment%``; ``%`` and ``_`` in it stay wildcards."""
     return F.like(F.lower(text), F.lower(F.lit(f"%{fragment}%")))

@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from gondola import fixed_values as fx
 from gondola.operators.dimensions import with_normalized_name
 
-PRICE_PARENTS = {
-    "produto_id": "produtos",
-    "supermercado_id": "supermercados",
-    "imagem_id": "imagens",
-}
-
 
 def log_flyers(flyers: DataFrame, now: dt.datetime) -> DataFrame:
     """Log rows for processed flyers: saved ones with their document, failed ones with the message."""

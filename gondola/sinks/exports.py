@@ -56,13 +56,6 @@ def write_csv(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def flyer_documents(flyers: DataFrame) -> DataFrame:
-    """One JSON text per sound flyer."""
-    return flyers.where(F.col("erro").isNull()).select(
-        "nome_arquivo", F.to_json("dados").alias("json")
-    )
-
-
 def write_json(flyers: DataFrame, path: str) -> None:
     """Flyer documents as JSON lines keyed by file name."""
     flyers.where(F.col("erro").isNull()).select("nome_arquivo", "dados").write.json(path)

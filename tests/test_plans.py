@@ -5,10 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_module
 from gondola.operators import dimensions, duplicates, reports
 from gondola.session import prepare
 from workload import tables as t
+from workload.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 EAGER = {"ingest_incremental"}
@@ -18,13 +18,29 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_cross_joins_and_no_python(spark, name):
-    plan = plan_of(entry_module.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "MapInPandas"):
         assert node not in plan, node
 
 
+@pytest.mark.parametrize("name", ["top_cheapest", "top_promotions"])
+def test_top_prices_are_taken_before_the_joins(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("lineitem.parquet") == 1
+    # read upwards: the scan of the prices, then the cut, and only then a shuffle
+    above = plan[: plan.index("lineitem.parquet")].splitlines()
+    nodes = [re.sub(r"^[^A-Za-z]*(\(\d+\) )?", "", line) for line in reversed(above)]
+    first = next(n for n in nodes if n.startswith(("Exchange", "TakeOrderedAndProject", "SortMergeJoin")))
+    assert first.startswith("TakeOrderedAndProject")
+
+
 def test_only_needed_columns_are_read(spark):
     plan = plan_of(reports.store_stats(t.supermercados(spark, SF_DIR), t.precos(spark, SF_DIR)))
     schema = re.search(r"ReadSchema: (struct<[^>]*l_suppkey[^>]*>)", plan).group(1)

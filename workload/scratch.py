@@ -11,7 +11,7 @@ def ensure(spark: SparkSession) -> SparkSession:
     """Keep the shared folder of the session if it has one; only a local session gets one of its own."""
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gondola-"))
     return spark

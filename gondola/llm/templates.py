@@ -1,8 +1,8 @@
 """Main text of web pages by removal of what the pages of a site share.
 
-Every page's elements are hashed with all they contain; Spark counts each hash per host. What
-recurs on many pages of a host is template. Extraction then drops template subtrees, elements
-that say by name that they are no article, and takes the article that is left.
+Every page's elements are hashed with all they contain; Spark counts each hash per host, copies
+of a page once. What recurs on many pages of a host is template. Extraction then drops template
+subtrees, elements that say by name that they are no article, and takes the articles that are left.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,12 @@ DROPPED_WORDS = frozenset(
     "search searchbox share sharing shares sharebar sidebar sidebars aside complementary contentinfo skip social socials "
     "sponsor sponsored sponsors subscribe subscription signup login toolbar topbar widget widgets hidden".split()
 )
+# Words of boxes whose articles are not the page's own.
+FOREIGN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox adslot comment comments commentlist disqus reply "
+    "replies respond promo promos promoted promotion promotions related recommended recommendations sponsor sponsored "
+    "sponsors teaser".split()
+)
 # An element with one of these words is looked into even if it has one of the words above.
 ARTICLE_WORDS = frozenset("article entry post story main body content".split())
 # Inside an article these hold its own words, whatever other pages of the site say.
@@ -40,7 +47,10 @@ OWN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption b
 
 @dataclass(frozen=True)
 class Settings:
-    """A subtree is template when so many pages of its host, and so large a share of them, have it."""
+    """A subtree is template when so many pages of its host, and so large a share of them, have it.
+
+    Pages of a host with the same text, before any template is known, are copies and count as one.
+    """
 
     min_pages: int = 3
     min_percent: float = 1.0
@@ -55,33 +65,44 @@ def _tag(html: str) -> Column:
     return F.xxhash64(html)
 
 
+def _signed(hash: int) -> int:
+    return hash - (1 << 64) if hash >> 63 else hash
+
+
 def page_hashes(pages: DataFrame) -> DataFrame:
-    """host, page_id, tag, and each distinct hash of the page's subtrees with text in them."""
+    """host, page_id, tag, content and the distinct hashes of the page's subtrees with text in them.
+
+    ``content`` is alike in copies: the hash of the page's text, or ``tag`` where it has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, hashes = [], []
-            for k, page in enumerate(batch.column(3).to_pylist()):
+            contents, hashes = [], []
+            for tag, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 root = parse(page or "")
                 hash_subtrees(root)
-                own = {e.hash for e in elements(root) if e.inside}
-                kept += [k] * len(own)
-                hashes += own
-            at = pa.array(kept, pa.int64())
+                hashes.append([_signed(h) for h in {e.hash for e in elements(root) if e.inside}])
+                text = _text(root, frozenset())
+                contents.append(_signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))) if text else tag)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at),
-                 pa.array([h - (1 << 64) if h >> 63 else h for h in hashes], pa.int64())],
-                names=["host", "page_id", "tag", "hash"],
-            )
+                [*batch.columns[:3], pa.array(contents, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["host", "page_id", "tag", "content", "hashes"],
+            )
 
     rows = pages.select(host_of(F.col("url")).alias("host"), "page_id", _tag("html").alias("tag"), "html")
-    return rows.mapInArrow(run, "host string, page_id long, tag long, hash long")
+    return rows.mapInArrow(run, "host string, page_id long, tag long, content long, hashes array<long>")
 
 
-def templates(hashes: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
+def templates(hashes: DataFrame, settings: Settings) -> DataFrame:
     """(host, hash) of the subtrees that recur across the pages of a host. Counted in part before any shuffle."""
-    sizes = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
-    counted = hashes.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_pages)
+    sizes = hashes.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    once = hashes.groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
+    counted = (
+        once.select("host", F.explode("hashes").alias("hash"))
+        .groupBy("host", "hash")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= settings.min_pages)
+    )
     return (
         counted.join(per_key(sizes, "host"), "host")
         .where(F.col("n") * 100 >= settings.min_percent * F.col("pages"))
@@ -89,6 +110,11 @@ def templates(hashes: DataFrame, pages: DataFrame, settings: Settings) -> DataFr
     )
 
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    style = attributes.get("style", "").replace(" ", "")
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
+
+
 def _dropped(node: Element, in_article: bool, template: frozenset[int]) -> bool:
     if node.name in DROPPED:
         return True
@@ -101,7 +127,7 @@ def _dropped(node: Element, in_article: bool, template: frozenset[int]) -> bool:
     if not node.attrs:
         return False
     attributes = node.attributes()
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
+    if _hidden(attributes):
         return True
     words = name_words(attributes)
     if not words & DROPPED_WORDS and (in_article or "header" not in words):
@@ -111,8 +137,14 @@ def _dropped(node: Element, in_article: bool, template: frozenset[int]) -> bool:
     )
 
 
-def _blocks(top: Element, in_article: bool, template: frozenset[int]) -> list[str]:
-    """Texts of the blocks below ``top`` in page order."""
+def _blocks(
+    top: Element,
+    in_article: bool,
+    template: frozenset[int],
+    articles: frozenset[Element] = frozenset(),
+    spared: frozenset[Element] = frozenset(),
+) -> list[str]:
+    """Texts of the blocks below ``top`` in page order; ``articles`` and what is ``spared`` are never dropped."""
     out: list[str] = []
     line: list[str] = []
 
@@ -129,7 +161,10 @@ def _blocks(top: Element, in_article: bool, template: frozenset[int]) -> list[st
             end()
         elif isinstance(node, str):
             line.append(node)
-        elif node is not top and _dropped(node, in_article, template):
+        elif node in articles and node is not top:
+            end()
+            out += _blocks(node, True, template)
+        elif node is not top and node not in spared and _dropped(node, in_article, template):
             if node.name in BLOCKS:
                 end()
         elif node.name == "br":
@@ -144,55 +179,107 @@ def _blocks(top: Element, in_article: bool, template: frozenset[int]) -> list[st
     return out
 
 
-def _lives(node: Element, template: frozenset[int]) -> bool:
-    """No ancestor is dropped."""
-    up = node.parent
-    while up is not None:
-        if _dropped(up, False, template):
-            return False
-        up = up.parent
-    return True
+FREE, BELOW, FOREIGN, NEVER = range(4)
+
+
+def _veto(node: Element, template: frozenset[int]) -> int:
+    """What an ancestor says of an article: nothing, that it is dropped itself, that all in it is foreign, or hidden."""
+    if not _dropped(node, False, template):
+        return FREE
+    return NEVER if _dropped(node, False, frozenset()) else BELOW
+
+
+def _tops(found: list[Element], template: frozenset[int]) -> dict[int, list[Element]]:
+    """The outermost of ``found`` in page order, by the strongest veto of their ancestors."""
+    known: dict[Element, int] = {}
+    vetoes = {}
+    for e in found:
+        path, up = [], e.parent
+        while up is not None and up not in known:
+            path.append(up)
+            up = up.parent
+        worst = known[up] if up is not None else FREE
+        for up in reversed(path):
+            known[up] = worst = max(worst, _veto(up, template))
+        vetoes[e] = worst
+    out: dict[int, list[Element]] = {}
+    for level in range(NEVER):
+        own = {e for e in found if vetoes[e] == level}
+        inner: set[Element] = set()
+        for e in found:  # page order: an outer one comes before those in it
+            if e in own:
+                up = e.parent
+                while up is not None and up not in own:
+                    up = up.parent
+                if up is not None:
+                    inner.add(e)
+        out[level] = [e for e in found if e in own and e not in inner]
+    return out
+
+
+def _text(root: Element, template: frozenset[int]) -> str:
+    def of(tops: list[Element], *kept: frozenset[Element], known: frozenset[int] = template) -> list[str]:
+        return [b for e in tops for b in _blocks(e, e is not root, known, *kept)]
+
+    def chars(blocks: list[str]) -> int:
+        return sum(map(len, blocks))
+
+    every = list(elements(root))
+    articles = _tops([e for e in every if e.name == "article" and not _comment(e)], template)
+    if out := max((of([e]) for e in articles[FREE]), key=chars, default=[]):
+        return "\n\n".join(out)
+    mains = _tops([e for e in every if e.name == "main" and not _comment(e)], template)
+    tops = mains[FREE] or mains[BELOW]
+    if not tops:
+        tops = _tops([e for e in every if e.attrs and e.attributes().get("role") == "main"], frozenset())
+        tops = tops[FREE] or tops[BELOW]
+    rest = of(tops)
+    if not rest:
+        tops, rest = [root], of([root])
+    # no article is free: those in dropped elements stand beside what else there is, and alone if they are more
+    for level in (BELOW, FOREIGN):
+        own = of(articles[level])
+        if not own or level == FOREIGN and chars(own) <= chars(rest):
+            continue
+        if level == BELOW and chars(own) >= chars(rest):
+            rest = own
+            break
+        spared = set()
+        for e in articles[level]:
+            up = e.parent
+            while up is not None and up not in spared:
+                spared.add(up)
+                up = up.parent
+        rest = of(tops, frozenset(articles[level]), frozenset(spared))
+        break
+    # nothing but template: rather the articles as they are than no text
+    return "\n\n".join(rest or of(articles[FREE] or articles[BELOW], known=frozenset()))
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article joined by an empty line; a page without one gives all that is no template."""
+    """Blocks of the articles in page order, joined by an empty line; a page without one gives all that is no template."""
     root = parse(page)
-    hash_subtrees(root)
-    for name in ("article", "main"):
-        found = [e for e in elements(root) if e.name == name and _lives(e, template) and not _comment(e)]
-        if name == "main" and not found:
-            found = [e for e in elements(root) if e.attrs and e.attributes().get("role") == "main"]
-        tops = [e for e in found if not any(_within(e, x) for x in found if x is not e)]
-        best = max((_blocks(e, True, template) for e in tops), key=lambda b: sum(map(len, b)), default=[])
-        if best:
-            return "\n\n".join(best)
-    return "\n\n".join(_blocks(root, False, template))
+    if template:
+        hash_subtrees(root)
+    return _text(root, template)
 
 
 def _comment(node: Element) -> bool:
     return bool(node.attrs and name_words(node.attributes()) & {"comment", "comments", "reply", "teaser", "related"})
 
 
-def _within(node: Element, other: Element) -> bool:
-    up = node.parent
-    while up is not None:
-        if up is other:
-            return True
-        up = up.parent
-    return False
-
-
 def extract(pages: DataFrame, settings: Settings | None = None) -> DataFrame:
     """page_id, url and main text for every row of ``pages`` (columns page_id, url, html).
 
-    Null html is empty and has the empty text. Pages without a host share one. Repeated rows count
-    once each as pages of their host and all come back.
+    Null html is empty and has the empty text. Pages without a host share one. Repeated rows, and
+    other copies, count as one page of their host; all come back.
     """
     settings = settings or Settings()
     rows = pages.select("page_id", "url", "html")
     hashes = stage(page_hashes(rows), "page-hashes")
-    known = templates(hashes, rows, settings)
-    marked = hashes.join(per_key(known, "host", "hash"), ["host", "hash"])
+    known = templates(hashes, settings)
+    each = hashes.select("host", "page_id", "tag", F.explode("hashes").alias("hash"))
+    marked = each.join(per_key(known, "host", "hash"), ["host", "hash"])
     # rows of one id and html are alike, so one list serves them all
     of_page = marked.groupBy("page_id", "tag").agg(F.collect_set("hash").alias("template"))
     keyed = rows.withColumn("tag", _tag("html"))

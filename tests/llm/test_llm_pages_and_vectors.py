@@ -69,6 +69,31 @@ def test_article_sentences_that_recur_stay(spark):
     assert {r.text for r in templates.extract(pages).collect()} == {f"We say this each time.\n\nnews {k}" for k in range(9)}
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div><article><p>own words</p><p>more</p></article></div>",
+        "<article><div>own words</div><section>more</section></article>",
+        "<div class='a'><div><p>own words</p></div><ul><li>more</li></ul></div>",
+    ],
+)
+def test_copies_of_a_page_count_once(spark, body):
+    rows = [(k, "http://h/", f"<head><title>{k // 3}</title></head><body><p>menu</p><div>{body}</div></body>") for k in range(6)]
+    rows += [(100 + k, "http://h/", f"<body><p>menu</p><article><p>page {k}</p></article></body>") for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in templates.extract(pages).collect()}
+    assert {out[k] for k in range(6)} == {"own words\n\nmore"}
+    assert [out[100 + k] for k in range(4)] == [f"page {k}" for k in range(4)]
+
+
+def test_a_template_around_the_only_article():
+    page = "<body><p>menu</p><div><article><p>own</p></article></div></body>"
+    root = templates.parse(page)
+    templates.hash_subtrees(root)
+    every = frozenset(e.hash for e in templates.elements(root))
+    assert templates.main_text(page, every) == "own"
+
+
 def brute_top(vectors, scale, k, queries):
     whole = {i: np.floor(np.array(v, float) * scale).astype(int) for i, v in vectors.items()}
     out = []

@@ -17,6 +17,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
+# names of a layout, like has-sidebar: they tell of something inside or beside
+LAYOUT = frozenset("has with without no".split())
 WORD_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 # Fixed values of the HTML standard.
@@ -144,9 +146,16 @@ def elements(root: Element) -> Iterator[Element]:
 
 
 def name_words(attributes: dict[str, str]) -> set[str]:
-    """``class``, ``id`` and ``role`` in lower-case words: ``siteHeader-main`` has site, header and main."""
-    text = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    return {w.lower() for w in WORD_PARTS.findall(text)}
+    """``class``, ``id`` and ``role`` in lower-case words: ``siteHeader-main`` has site, header and main.
+
+    A name with a word like ``has`` or ``with`` is left out.
+    """
+    out: set[str] = set()
+    for name in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split():
+        words = {w.lower() for w in WORD_PARTS.findall(name)}
+        if not words & LAYOUT:
+            out |= words
+    return out
 
 
 def tidy(texts: list[str]) -> str:

@@ -186,7 +186,12 @@ def _veto(node: Element, template: frozenset[int]) -> int:
     """What an ancestor says of an article: nothing, that it is dropped itself, that all in it is foreign, or hidden."""
     if not _dropped(node, False, template):
         return FREE
-    return NEVER if _dropped(node, False, frozenset()) else BELOW
+    if node.name == "header" or node.name in DROPPED and node.name != "form":
+        return NEVER
+    attributes = node.attributes() if node.attrs else {}
+    if _hidden(attributes):
+        return NEVER
+    return FOREIGN if name_words(attributes) & FOREIGN_WORDS else BELOW
 
 
 def _tops(found: list[Element], template: frozenset[int]) -> dict[int, list[Element]]:
@@ -226,7 +231,7 @@ def _text(root: Element, template: frozenset[int]) -> str:
 
     every = list(elements(root))
     articles = _tops([e for e in every if e.name == "article" and not _comment(e)], template)
-    if out := max((of([e]) for e in articles[FREE]), key=chars, default=[]):
+    if out := of(articles[FREE]):
         return "\n\n".join(out)
     mains = _tops([e for e in every if e.name == "main" and not _comment(e)], template)
     tops = mains[FREE] or mains[BELOW]

@@ -94,6 +94,28 @@ def test_a_template_around_the_only_article():
     assert templates.main_text(page, every) == "own"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>part one, longer</p></article><hr><article><p>part two</p></article>", "part one, longer\n\npart two"),
+        ("<main><p>one</p></main><main><p>second</p></main>", "one\n\nsecond"),
+        ("<article><p>a</p><article><p>inner</p></article></article><article>b</article>", "a\n\ninner\n\nb"),
+        ("<div class='has-sidebar'><article><p>own</p></article></div>", "own"),
+        ("<div id='page-with-nav'><article><p>own</p></article></div>", "own"),
+        ("<div class='sidebar-left'><h2>Site</h2><article><p>own words</p></article></div>", "own words"),
+        ("<div id='page' class='comments-open'><article><p>own</p></article></div>", "own"),
+        ("<form><div><article><p>own</p></article></div><input></form>", "own"),
+        ("<form><main><p>own</p></main></form>", "own"),
+        ("<p>the words of a page</p><div class='comments'><article><p>reader</p></article></div>", "the words of a page"),
+        ("<article><p>own</p></article><div class='related'><article><p>other</p></article></div>", "own"),
+        ("<article><p>own</p></article><aside><article><p>other</p></article></aside>", "own"),
+        ("<div hidden><article><p>no</p></article></div><p>yes</p>", "yes"),
+    ],
+)
+def test_every_live_article_whatever_its_wrapper_is_called(page, text):
+    assert templates.main_text(f"<body>{page}</body>") == text
+
+
 def brute_top(vectors, scale, k, queries):
     whole = {i: np.floor(np.array(v, float) * scale).astype(int) for i, v in vectors.items()}
     out = []

@@ -3,16 +3,17 @@
 Counts are quantised to levels of a logarithm; an n-gram of level q is put into the filter as the
 keys (n-gram, 1) ... (n-gram, q), so its count is found by probing until a key is missing.
 Tasks count their own rows first and send one sorted block per part of the hash space; each part
-is merged, quantised and turned into filter bits by one task. The filter is broadcast in shards
-of at most ``Settings.broadcast_bytes``; a token's bigram lies in one shard, so the sums of several
-passes add up. Exact unigram counts answer the base score: by broadcast within the same bound, by a
-join beyond it, with equal results.
+is merged, quantised and turned into filter bits by one task. The bigrams' filter is broadcast in
+shards of at most ``Settings.broadcast_bytes``; a token's bigram lies in one shard, so the sums of
+several passes add up. The unigrams' filter and their exact counts, which answer the base score, are
+broadcast where each is within the same bound; beyond it they are joined to the distinct words of
+each document, with equal results.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,6 +121,17 @@ class LeveledFilter:
         return count_of(self.levels(grams), self.base)
 
 
+class _OnePart(LeveledFilter):
+    """A single part; all n-grams asked for must be of it."""
+
+    def __init__(self, bits: bytes, base: float):
+        super().__init__([len(bits)], 1, base)
+        self.fill(0, bits)
+
+    def part(self, grams: np.ndarray) -> np.ndarray:
+        return np.zeros(len(grams), np.int64)
+
+
 def _short(grams: np.ndarray, part_bits: int) -> np.ndarray:
     """Keep the part and 32 more bits: enough, as few n-grams of a part agree in them."""
     drop = np.uint64(32 - part_bits)
@@ -155,6 +167,7 @@ class Model:
     tokens: int
     types: int
     documents: int
+    unigram_bytes: int  # of the unigrams' filter
     settings: Settings
 
     def shards(self) -> list[list[int]]:
@@ -193,16 +206,50 @@ class Model:
             grams[place], counts[place] = np.frombuffer(row.grams, np.uint64), np.frombuffer(row.counts, np.uint32)
         return grams, counts
 
-    def vocabulary_rows(self) -> DataFrame:
+    def unigrams_of(self, asked: DataFrame) -> DataFrame:
+        """gram, level in the filter and exact count for the distinct hashes ``asked`` (column gram), part by part."""
+        base = self.settings.unigram_base
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, grams, counts = -1, None, np.empty(0, np.uint64), np.empty(0, np.uint32)
             for batch in batches:
-                for grams, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = batch.column(0).to_numpy()
+                cuts = np.flatnonzero(np.diff(parts, prepend=-1) | (batch.column(1).to_numpy() == 0))
+                for start, end in zip(cuts, [*cuts[1:], len(parts)]):
+                    if parts[start] != now:
+                        now, held, grams = parts[start], None, np.empty(0, np.uint64)
+                    if batch.column(1)[start].as_py() == 0:  # the part itself comes before what is asked of it
+                        held = _OnePart(batch.column(3)[start].as_py(), base)
+                        grams = np.frombuffer(batch.column(4)[start].as_py(), np.uint64)
+                        counts = np.frombuffer(batch.column(5)[start].as_py(), np.uint32)
+                        start += 1
+                    if start == end:
+                        continue
+                    own = batch.column(2).slice(start, end - start)
+                    hashes = own.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    levels = held.levels(hashes) if held else np.zeros(len(hashes), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.frombuffer(grams, np.int64)), pa.array(np.frombuffer(counts, np.uint32).astype(np.int64))],
-                        names=["gram", "c"],
+                        [own, pa.array(levels), pa.array(_looked_up(hashes, grams, counts).astype(np.int64))],
+                        names=["gram", "level", "c"],
                     )
 
-        return self.parts.where("kind = 1").select("grams", "counts").mapInArrow(run, "gram long, c long")
+        ones = self.parts.where("kind = 1").selectExpr("part", "0 AS ask", "CAST(NULL AS long) AS gram", "bits", "grams", "counts")
+        part = F.shiftrightunsigned("gram", 64 - self.part_bits).cast("int").alias("part")
+        none = [F.lit(None).cast("binary").alias(c) for c in ("bits", "grams", "counts")]
+        return (
+            ones.union(asked.select(part, F.lit(1), "gram", *none))
+            .repartition(1 << self.part_bits, "part")
+            .sortWithinPartitions("part", "ask")
+            .mapInArrow(run, "gram long, level long, c long")
+        )
+
+
+def _looked_up(asked: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of what is asked for by the sorted ``grams``; 0 where there is none."""
+    if not len(grams):
+        return np.zeros(len(asked), np.uint32)
+    at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+    return np.where(grams[at] == asked, counts[at], 0)
 
 
 def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> Model:
@@ -292,14 +339,14 @@ def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id"
         .mapInArrow(merge, "kind int, part int, grams binary, counts binary, bits binary, types long, tokens long, ends long"),
         "model",
     )
-    known = parts.where("kind = 1").agg(F.sum("tokens"), F.sum("types"), F.sum("ends")).head()
+    known = parts.where("kind = 1").agg(F.sum("tokens"), F.sum("types"), F.sum("ends"), F.sum(F.octet_length("bits"))).head()
     return Model(parts, part_bits, *(int(x or 0) for x in known), settings)
 
 
 class _Lexicon:
     """Numbers of the words met so far by this task; asks the broadcasts once per word."""
 
-    def __init__(self, ones: LeveledFilter, exact: tuple | None, limit: int = 400_000):
+    def __init__(self, ones: LeveledFilter, exact: tuple, limit: int = 400_000):
         self.ones, self.exact, self.limit = ones, exact, limit
         self.reset()
 
@@ -313,12 +360,7 @@ class _Lexicon:
         own = np.array([int(END) if w is None else hashes[w] for w in words], np.uint64)
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         about = self.ones.counts(own)
-        if self.exact is not None:
-            grams, counts = self.exact
-            at = np.minimum(np.searchsorted(grams, own), max(0, len(grams) - 1))
-            known = np.where(grams[at] == own, counts[at], 0) if len(grams) else np.zeros(len(own), np.uint32)
-        else:
-            known = np.zeros(len(own), np.uint32)
+        known = _looked_up(own, *self.exact)
         first = not len(self.hash)
         self.hash = own if first else np.concatenate([self.hash, own])
         self.about = about if first else np.concatenate([self.about, about])
@@ -340,12 +382,13 @@ class _Lexicon:
         return out
 
 
-def _scores(rows: DataFrame, model: Model, shard: list[int], exact: bool) -> DataFrame:
-    """n_tokens, the model's log10 probability of the tokens in ``shard``, and the base score if ``exact``."""
-    context = rows.sparkSession.sparkContext
-    ones = context.broadcast(model.filter(1))
-    twos = context.broadcast(model.filter(2, shard))
-    vocabulary = context.broadcast(model.vocabulary()) if exact else None
+def _scores(rows: DataFrame, model: Model, shard: list[int], lexicon: Callable) -> DataFrame:
+    """n_tokens, the model's log10 probability of the tokens in ``shard``, and the base score.
+
+    ``lexicon()`` gives a function from a batch to its tokens' hashes, counts by level and exact counts, and the
+    tokens of each text.
+    """
+    twos = rows.sparkSession.sparkContext.broadcast(model.filter(2, shard))
     total, types, documents, part_bits = model.tokens, model.types, model.documents, model.part_bits
     prior = model.settings.prior
     below = total + 0.1 * (types + 1)
@@ -353,15 +396,12 @@ def _scores(rows: DataFrame, model: Model, shard: list[int], exact: bool) -> Dat
     owned[shard] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lexicon(ones.value, vocabulary.value if exact else None)
+        look_up = lexicon()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = [split_words(lower_ascii(t)) for t in text_bytes(batch.column(3))]
-            numbers = lexicon.numbers(words)
-            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            flat, about, known, lengths = look_up(batch)
             firsts = np.cumsum(lengths) - lengths
-            flat, about = lexicon.hash[numbers], lexicon.about[numbers]
             before = np.empty_like(about)
             before[1:] = about[:-1]
             before[firsts] = documents
@@ -371,7 +411,6 @@ def _scores(rows: DataFrame, model: Model, shard: list[int], exact: bool) -> Dat
             single = (about[here] + 0.1) / below
             logs = np.zeros(len(flat))
             logs[here] = np.log10((pairs + prior * single) / (before[here] + prior))
-            known = lexicon.known[numbers]
             base = np.log10((known + 0.1) / below)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -387,8 +426,26 @@ def _scores(rows: DataFrame, model: Model, shard: list[int], exact: bool) -> Dat
     return rows.mapInArrow(run, schema)
 
 
-def _base_by_join(rows: DataFrame, model: Model) -> DataFrame:
-    """(id, tag, n_known, base_score) with the vocabulary joined, whatever its size."""
+def _by_broadcast(rows: DataFrame, model: Model) -> Callable:
+    context = rows.sparkSession.sparkContext
+    ones, vocabulary = context.broadcast(model.filter(1)), context.broadcast(model.vocabulary())
+
+    def lexicon() -> Callable:
+        words_met = _Lexicon(ones.value, vocabulary.value)
+
+        def look_up(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            words = [split_words(lower_ascii(t)) for t in text_bytes(batch.column(3))]
+            numbers = words_met.numbers(words)
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            return words_met.hash[numbers], words_met.about[numbers], words_met.known[numbers], lengths
+
+        return look_up
+
+    return lexicon
+
+
+def _with_words(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with gram, level and c of each document's distinct words, joined whatever the vocabulary's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -396,35 +453,51 @@ def _base_by_join(rows: DataFrame, model: Model) -> DataFrame:
             if not batch.num_rows:
                 continue
             flat, lengths = _flat(text_bytes(batch.column(3)), hashes)
-            owner = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
             order = np.lexsort((flat, owner))
             flat, owner = flat[order], owner[order]
             new = np.ones(len(flat), np.bool_)
             new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
-            cut = np.flatnonzero(new)
-            at = pa.array(owner[cut].astype(np.int64))
+            at = pa.array(owner[new])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(as_signed(flat[cut])),
-                 pa.array(np.diff(np.append(cut, len(flat))))],
-                names=["id", "tag", "gram", "n"],
-            )
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(as_signed(flat[new]))],
+                names=["id", "tag", "gram"],
+            )
 
-    below = model.tokens + 0.1 * (model.types + 1)
-    used = rows.mapInArrow(run, "id long, tag long, gram long, n long")
-    c = F.coalesce("c", F.lit(0))
-    sums = (
-        used.join(per_key(model.vocabulary_rows(), "gram"), "gram", "left")
+    used = rows.mapInArrow(run, "id long, tag long, gram long")
+    found = model.unigrams_of(used.select("gram").distinct())
+    # a set, as repeated rows ask for the same words
+    words = (
+        used.join(per_key(found, "gram"), "gram")
         .groupBy("id", "tag")
-        .agg(
-            F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("n") * F.log10((c + 0.1) / below)).alias("base_score"),
-        )
+        .agg(F.sort_array(F.collect_set(F.struct("gram", "level", "c"))).alias("words"))
     )
-    times = rows.groupBy("id", "tag").agg(F.count("*").alias("times"))  # repeated rows were summed together
-    return sums.join(times, ["id", "tag"]).select(
-        "id", "tag", (F.col("n_known") / F.col("times")).cast("long").alias("n_known"),
-        (F.col("base_score") / F.col("times")).alias("base_score"),
-    )
+    return rows.join(per_key(words, "id", "tag"), ["id", "tag"]).select("id", "tag", "held_out", "text", "words")
+
+
+def _by_join(base: float) -> Callable:
+    """For rows of _with_words."""
+
+    def lexicon() -> Callable:
+        hashes = WordHashes()
+
+        def look_up(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            flat, lengths = _flat(text_bytes(batch.column(3)), hashes)
+            own = flat.view(np.int64)
+            words = batch.column(4)
+            sizes = words.value_lengths().to_numpy()
+            words = words.flatten()
+            grams, levels, counts = (words.field(k).to_numpy() for k in range(3))
+            place = np.empty(len(own), np.int64)
+            at = start = 0
+            for n, size in zip(lengths, sizes):
+                place[at : at + n] = start + np.searchsorted(grams[start : start + size], own[at : at + n])
+                at, start = at + n, start + size
+            return flat, count_of(levels, base)[place], counts[place], lengths
+
+        return look_up
+
+    return lexicon
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,20 +507,21 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     probabilities are equal. Null and repeated ids keep their rows.
     """
     rows = _keyed(docs, key, text)
-    exact = model.types * 12 <= model.settings.broadcast_bytes
+    if max(model.types * 12, model.unigram_bytes) <= model.settings.broadcast_bytes:
+        lexicon = _by_broadcast(rows, model)
+    else:
+        rows, lexicon = stage(_with_words(rows, model), "document-words"), _by_join(model.settings.unigram_base)
     shards = model.shards()
-    out = _scores(rows, model, shards[0], exact)
+    out = _scores(rows, model, shards[0], lexicon)
     if len(shards) > 1:
         more = None
         for shard in shards[1:]:
-            part = stage(_scores(rows, model, shard, False).select("id", "tag", "score"), "shard-scores")
+            part = stage(_scores(rows, model, shard, lexicon).select("id", "tag", "score"), "shard-scores")
             more = part if more is None else more.union(part)
         more = more.groupBy("id", "tag").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
         # n is the number of equal rows times the number of further shards
         more = more.select("id", "tag", (F.col("s") * (len(shards) - 1) / F.col("n")).alias("more"))
         out = out.join(more, ["id", "tag"]).withColumn("score", F.col("score") + F.col("more")).drop("more")
-    if not exact:
-        out = out.drop("n_known", "base_score").join(_base_by_join(rows, model), ["id", "tag"])
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",

@@ -133,6 +133,20 @@ def test_language_model(spark, bound):
         assert sorted(f"{r.doc_id} {r.score:.6f}" for r in whole) == sorted(f"{r.doc_id} {r.score:.6f}" for r in found)
 
 
+def test_unigrams_beyond_the_bound_are_joined(spark, monkeypatch):
+    docs = h.documents(spark)
+
+    def scores(bound):
+        settings = language_model.Settings(broadcast_bytes=bound, bits_per_key=3)  # many false positives
+        found = language_model.score(docs, language_model.train(docs, settings)).collect()
+        return sorted(f"{r.doc_id} {r.n_tokens} {r.n_known} {r.base_score:.6f} {r.score:.6f}" for r in found)
+
+    whole, asked, filter_of = scores(1 << 20), [], language_model.Model.filter
+    monkeypatch.setattr(language_model.Model, "filter", lambda self, kind, parts=None: asked.append(kind) or filter_of(self, kind, parts))
+    assert scores(10_000) == whole
+    assert set(asked) == {2}
+
+
 def test_language_model_without_rows(spark):
     model = language_model.train(h.empty(spark))
     assert (model.tokens, model.types) == (0, 0)

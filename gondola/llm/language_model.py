@@ -195,15 +195,22 @@ class Model:
             found.fill(row.part, row.bits)
         return found
 
+    def _count_type(self) -> type:
+        """No count is above that of all tokens."""
+        return np.uint32 if self.tokens <= 0xFFFFFFFF else np.uint64
+
+    def vocabulary_bytes(self) -> int:
+        return self.types * (8 + np.dtype(self._count_type()).itemsize)
+
     def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of all types and their counts; 12 bytes each, within broadcast_bytes."""
+        """Sorted hashes of all types and their counts; within broadcast_bytes, see vocabulary_bytes."""
         ones = self.parts.where("kind = 1")
         sizes = {r.part: r.types for r in ones.select("part", "types").collect()}
         ends = np.cumsum([sizes.get(k, 0) for k in range(1 << self.part_bits)])
-        grams, counts = np.empty(self.types, np.uint64), np.empty(self.types, np.uint32)
+        grams, counts = np.empty(self.types, np.uint64), np.empty(self.types, self._count_type())
         for row in ones.select("part", "grams", "counts").toLocalIterator():
             place = slice(ends[row.part] - sizes[row.part], ends[row.part])
-            grams[place], counts[place] = np.frombuffer(row.grams, np.uint64), np.frombuffer(row.counts, np.uint32)
+            grams[place], counts[place] = np.frombuffer(row.grams, np.uint64), np.frombuffer(row.counts, np.uint64)
         return grams, counts
 
     def unigrams_of(self, asked: DataFrame) -> DataFrame:
@@ -211,7 +218,7 @@ class Model:
         base = self.settings.unigram_base
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, held, grams, counts = -1, None, np.empty(0, np.uint64), np.empty(0, np.uint32)
+            now, held, grams, counts = -1, None, np.empty(0, np.uint64), np.empty(0, np.uint64)
             for batch in batches:
                 parts = batch.column(0).to_numpy()
                 cuts = np.flatnonzero(np.diff(parts, prepend=-1) | (batch.column(1).to_numpy() == 0))
@@ -221,7 +228,7 @@ class Model:
                     if batch.column(1)[start].as_py() == 0:  # the part itself comes before what is asked of it
                         held = _OnePart(batch.column(3)[start].as_py(), base)
                         grams = np.frombuffer(batch.column(4)[start].as_py(), np.uint64)
-                        counts = np.frombuffer(batch.column(5)[start].as_py(), np.uint32)
+                        counts = np.frombuffer(batch.column(5)[start].as_py(), np.uint64)
                         start += 1
                     if start == end:
                         continue
@@ -247,11 +254,29 @@ class Model:
 def _looked_up(asked: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Counts of what is asked for by the sorted ``grams``; 0 where there is none."""
     if not len(grams):
-        return np.zeros(len(asked), np.uint32)
+        return np.zeros(len(asked), counts.dtype)
     at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
     return np.where(grams[at] == asked, counts[at], 0)
 
 
+def _merged(kind: int, part: int, part_bits: int, settings: Settings, grams: list[bytes], counts: list[bytes]) -> list:
+    """The row of a part from the blocks of all tasks. Their counts are of 32 bits each, the sums kept of 64."""
+    raw = np.frombuffer(b"".join(grams), np.uint64 if kind == 1 else np.uint32)
+    values, place = np.unique(raw, return_inverse=True)
+    sums = np.zeros(len(values), np.int64)
+    np.add.at(sums, place, np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
+    if kind == 1:
+        full, base = values, settings.unigram_base
+    else:
+        high = np.uint64(part) << np.uint64(64 - part_bits)
+        full = high | (values.astype(np.uint64) << np.uint64(32 - part_bits))
+        base = settings.bigram_base
+    bits = leveled_bits(full, sums, base, settings.bits_per_key).tobytes()
+    ends = int(sums[full == END].sum()) if kind == 1 else 0
+    kept = (full.tobytes(), sums.astype(np.uint64).tobytes()) if kind == 1 else (None, None)
+    return [kind, part, *kept, bits, len(values), int(sums.sum()), ends]
+
+
 def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> Model:
     """Count the tokens and bigrams of all documents that are not held out."""
     settings = settings or Settings()
@@ -294,27 +319,12 @@ def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id"
             yield block(1, np.concatenate(ones))
             yield block(2, np.concatenate(twos))
 
-    def merged(kind: int, part: int, grams: list[bytes], counts: list[bytes]) -> list:
-        raw = np.frombuffer(b"".join(grams), np.uint64 if kind == 1 else np.uint32)
-        values, place = np.unique(raw, return_inverse=True)
-        sums = np.zeros(len(values), np.int64)
-        np.add.at(sums, place, np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
-        if kind == 1:
-            full, base = values, settings.unigram_base
-        else:
-            full = (np.uint64(part) << shift) | (values.astype(np.uint64) << np.uint64(32 - part_bits))
-            base = settings.bigram_base
-        bits = leveled_bits(full, sums, base, settings.bits_per_key).tobytes()
-        ends = int(sums[full == END].sum()) if kind == 1 else 0
-        kept = (full.tobytes(), np.minimum(sums, 0xFFFFFFFF).astype(np.uint32).tobytes()) if kind == 1 else (None, None)
-        return [kind, part, *kept, bits, len(values), int(sums.sum()), ends]
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, grams, counts = None, [], []
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([v], f.type) for v, f in zip(merged(*now, grams, counts), kinds)], schema=kinds
+                [pa.array([v], f.type) for v, f in zip(_merged(*now, part_bits, settings, grams, counts), kinds)], schema=kinds
             )
 
         for batch in batches:
@@ -507,7 +517,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     probabilities are equal. Null and repeated ids keep their rows.
     """
     rows = _keyed(docs, key, text)
-    if max(model.types * 12, model.unigram_bytes) <= model.settings.broadcast_bytes:
+    if max(model.vocabulary_bytes(), model.unigram_bytes) <= model.settings.broadcast_bytes:
         lexicon = _by_broadcast(rows, model)
     else:
         rows, lexicon = stage(_with_words(rows, model), "document-words"), _by_join(model.settings.unigram_base)

@@ -147,6 +147,19 @@ def test_unigrams_beyond_the_bound_are_joined(spark, monkeypatch):
     assert set(asked) == {2}
 
 
+def test_counts_beyond_32_bits(spark):
+    settings = language_model.Settings()
+    gram, most = np.uint64(5), 0xFFFFFFFF
+    blocks = [gram.tobytes()] * 3, [np.uint32(most).tobytes()] * 3
+    row = language_model._merged(1, 0, 6, settings, *blocks)
+    schema = "kind int, part int, grams binary, counts binary, bits binary, types long, tokens long, ends long"
+    model = language_model.Model(spark.createDataFrame([row], schema), 6, row[6], 1, 1, len(row[4]), settings)
+    assert model.tokens == 3 * most
+    assert [x.tolist() for x in model.vocabulary()] == [[5], [3 * most]]
+    found = model.unigrams_of(spark.createDataFrame([(5,), (6,)], "gram long")).collect()
+    assert sorted((r.gram, r.c) for r in found) == [(5, 3 * most), (6, 0)]
+
+
 def test_language_model_without_rows(spark):
     model = language_model.train(h.empty(spark))
     assert (model.tokens, model.types) == (0, 0)

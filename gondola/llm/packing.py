@@ -53,15 +53,19 @@ class Choice:
 class PieceIds:
     """Token ids of texts as little-endian bytes, by what is known of the parts between spaces.
 
-    Only parts that are new reach the tokenizer; the store starts afresh when full.
+    Only parts that are new reach the tokenizer; the store starts afresh when full. With ``marks`` the
+    names of special tokens in a text become their ids, as by default in the tokenizer; else they are plain text.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, limit: int = 1_000_000, marks: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
+        self.tokenizer.encode_special_tokens = not marks
+        # what the tokenizer takes out of a text before all else changes how spaces beside it are cut
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if marks or not t.special]
+        self.taken = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
         self.limit = limit
         self.parts: dict[str, bytes] = {}
 
@@ -69,8 +73,13 @@ class PieceIds:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return (array("I", e.ids).tobytes() for e in encoded)
 
+    def _cut(self, text: str) -> list[str]:
+        if self.taken is not None and self.taken.search(text):
+            return [text]
+        return CUT.split(text) if ODD.search(text) else text.split(" ")
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
+        cut = [self._cut(t) for t in texts]
         firsts = list({c[0] for c in cut})
         firsts = dict(zip(firsts, self.ids(firsts)))
         rest = set().union(*(c[1:] for c in cut))
@@ -90,7 +99,7 @@ _encoders: dict[str, PieceIds] = {}
 def encoder(path: str) -> PieceIds:
     """One per worker process; tasks of the same worker share what is known."""
     if path not in _encoders:
-        _encoders[path] = PieceIds(path)
+        _encoders[path] = PieceIds(path, marks=True)
     return _encoders[path]
 
 
@@ -105,6 +114,7 @@ def pieces(
 ) -> DataFrame:
     """Token ids of every text and ``end_id``, cut into pieces of ``size`` (the first may be shorter).
 
+    Ids are those of the tokenizer's plain encode without added tokens: a special token's name is its id.
     Null texts are empty: one piece that holds the end only. Null and repeated ids keep their rows.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -216,6 +216,18 @@ def test_piece_ids_are_the_tokenizers(text):
     assert found == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+MARKED = ["see <|endoftext|> x", "a  <|endoftext|>", "<|endoftext|>  b c", "no mark  here", "x<|endoftext|>y \n <|endoftext|>", "<|endoftext"]
+
+
+def test_pieces_are_those_of_the_plain_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    found = {r.doc_id: r.ids for r in packing.pieces(docs, PATH).collect()}
+    assert found == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(MARKED)}
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_respects_every_capacity(rule):
     draw = np.random.default_rng(3)

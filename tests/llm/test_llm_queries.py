@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and the pipeline against a plain version of its rules."""
 
+import html
 import re
 
 import corpus_pipeline
@@ -40,6 +41,25 @@ def test_other_queries_give_a_row_each(spark, name):
     assert name != "op8_sentencepiece" or all(r.round_trip for r in rows)
 
 
+def plain_article(page):
+    """Blocks of the one article element of a page, by regular expressions only."""
+    inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    inside = re.sub(r"<!--.*?-->|<(script|style|aside|nav|form)\b.*?</\1>", "", inside, flags=re.S)
+    inside = re.sub(r"<br\s*/?>", " ", inside)
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|table|tr|td|pre|hr|figure)\b[^>]*>", inside)
+    texts = [" ".join(html.unescape(re.sub(r"</?[a-z][^>]*>", "", b)).split()) for b in blocks]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_template_removal_equals_plain_articles(spark):
+    pages = {r.page_id: r.html for r in read(spark, SF_DIR, "pages").collect()}
+    found = {r.page_id: (r.text, r.n_chars) for r in QUERIES["op2_template_removal"](spark, SF_DIR).collect()}
+    assert len(found) == len(pages) > 0
+    for page_id, page in pages.items():
+        text = plain_article(page)
+        assert found[page_id] == (text, len(text))
+
+
 def test_pipeline_stages(spark):
     docs = read(spark, SF_DIR, "documents")
     columns = docs.columns

@@ -44,9 +44,25 @@ def ellipsis(text: Column, width: int) -> Column:
     ).otherwise(text)
 
 
+def _like_pattern(fragment: str) -> str:
+    """A LIKE pattern for texts that contain ``fragment``.
+
+    In a fragment ``%`` and ``_`` are wildcards, and a backslash takes the character after it
+    literally; one at the end stands for itself.
+    """
+    out, literal = "", False
+    for c in fragment:
+        if c == "\\" and not literal:
+            literal = True
+            continue
+        out += "\\" + c if literal and c in "%_\\" else c
+        literal = False
+    return "%" + out + ("\\\\" if literal else "") + "%"
+
+
 def contains_pattern(text: Column, fragment: str) -> Column:
-    """Case-insensitive LIKE ``%fragment%``; ``%`` and ``_`` in it stay wildcards."""
-    return F.like(F.lower(text), F.lower(F.lit(f"%{fragment}%")))
+    """Case-insensitive search for a user's ``fragment``; see ``_like_pattern`` for its special characters."""
+    return F.like(F.lower(text), F.lower(F.lit(_like_pattern(fragment))))
 
 
 def file_name(path: Column) -> Column:

@@ -18,6 +18,7 @@ from gondola.functions.skew import per_key
 from gondola.functions.text import normalize_name
 from gondola.operators.categories import resolve_category
 from gondola.operators.ids import assign_ids
+from gondola.schemas import NAME_BUCKET, name_bucket
 from gondola.session import stage
 
 _FOUND = ("id", "nome", "marca", "categoria", "categoria_id", "created_at")
@@ -52,6 +53,15 @@ def lookup_products(requests: DataFrame, produtos: DataFrame, name: str = "nome"
     return asked.join(latest, F.col("_pedido") == F.col("_chave"), "left").drop("_chave", "_pedido")
 
 
+def latest_by_brand(produtos: DataFrame) -> DataFrame:
+    """One row per normalised name and brand (ignoring case): the newest product as struct ``produto``."""
+    return (
+        produtos.where(F.col("nome_normalizado").isNotNull())
+        .groupBy("nome_normalizado", F.lower("marca").alias("_marca"))
+        .agg(F.max_by(F.struct(*_FOUND), _recency()).alias("produto"))
+    )
+
+
 def lookup_products_by_brand(
     requests: DataFrame, produtos: DataFrame, name: str = "nome", brand: str = "marca"
 ) -> DataFrame:
@@ -61,12 +71,7 @@ def lookup_products_by_brand(
     newest product can win, so the answer is the newest of at most two rows
     found by equality: the request never meets all products of its name.
     """
-    newest = F.max_by(F.struct(*_FOUND), _recency())
-    by_brand = (
-        produtos.where(F.col("nome_normalizado").isNotNull())
-        .groupBy("nome_normalizado", F.lower("marca").alias("_marca"))
-        .agg(newest.alias("produto"))
-    )
+    by_brand = latest_by_brand(produtos)
     recency = F.struct("produto.created_at", "produto.id")
     by_name = by_brand.groupBy(F.col("nome_normalizado").alias("_nome")).agg(
         F.max_by("produto", recency).alias("_qualquer"),
@@ -113,6 +118,19 @@ def create_products(
     return assign_ids(stamped, produtos, order_by)
 
 
+def products_named(produtos: DataFrame, names: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Products whose normalised name is among ``names`` (staged, one row per name).
+
+    Only these go on to the comparison, so a small batch does not shuffle a large product table.
+    Where the table is stored in ``buckets`` of the name, only the buckets the names fall in are read;
+    their numbers, at most ``buckets`` integers, are all that reaches the driver.
+    """
+    if buckets and NAME_BUCKET in produtos.columns:
+        needed = names.select(name_bucket(F.col("nome_normalizado"), buckets).alias("b")).distinct().collect()
+        produtos = produtos.where(F.col(NAME_BUCKET).isin([row.b for row in needed]))
+    return produtos.join(names.select("nome_normalizado"), "nome_normalizado", "left_semi")
+
+
 def get_or_create_products(
     items: DataFrame,
     produtos: DataFrame,
@@ -120,10 +138,12 @@ def get_or_create_products(
     order: list[str],
     now: dt.datetime,
     numbered: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Resolve item names to products.
 
-    New ids continue after the largest in ``numbered``, by default in ``produtos``.
+    New ids continue after the largest in ``numbered``, by default in ``produtos``. ``buckets``: see
+    ``products_named``.
 
     Returns (keys, new): ``keys`` has one row per normalised name with
     ``produto_id`` and ``primeira``, the position that created the product (NULL
@@ -144,10 +164,7 @@ def get_or_create_products(
         ),
         "nomes",
     )
-    # only products with a name of this batch are compared, so a small batch
-    # does not shuffle a large product table
-    named = produtos.join(firsts.select("nome_normalizado"), "nome_normalizado", "left_semi")
-    existing = latest_products(named).select(
+    existing = latest_products(products_named(produtos, firsts, buckets)).select(
         "nome_normalizado", F.col("produto.id").alias("_existente")
     )
     keys = stage(firsts.join(existing, "nome_normalizado", "left"), "chaves")

@@ -13,7 +13,7 @@ _ROW_BITS = 33  # low bits of monotonically_increasing_id: row number in its par
 def assign_ids(
     rows: DataFrame, existing: DataFrame, order_by: list[Column] | None = None
 ) -> DataFrame:
-    """Add ``id``: gap-free numbers that continue after the largest id in ``existing``.
+    """Add ``id``: numbers that continue after the largest id in ``existing``, without a gap among ``rows``.
 
     With ``order_by`` the ids follow that order (range partitioning, so a
     distributed sort); without it they follow the order the rows are written in

@@ -392,7 +392,7 @@ def mapped_labels(report: DataFrame) -> DataFrame:
 
 
 def unmapped_examples(produtos: DataFrame, limit: int = 20, examples: int = 3) -> DataFrame:
-    """Unmapped suggestions with their first ``examples`` distinct names."""
+    """Unmapped suggestions with their first ``examples`` distinct names; only names of the top ones are ranked."""
     rows = _unmapped(produtos)
     counts = (
         rows.groupBy("categoria_sugerida")
@@ -402,7 +402,8 @@ def unmapped_examples(produtos: DataFrame, limit: int = 20, examples: int = 3) -
     )
     rank = F.row_number().over(Window.partitionBy("categoria_sugerida").orderBy("nome"))
     first = (
-        rows.distinct()
+        _of_groups(rows, counts, ["categoria_sugerida"])
+        .distinct()
         .withColumn("_posto", rank)
         .where(F.col("_posto") <= examples)
         .groupBy("categoria_sugerida")

@@ -24,7 +24,7 @@ from gondola.operators.dimensions import get_or_create_products, get_or_create_s
 from gondola.operators.ids import assign_ids
 from gondola.operators.items import gate_items, refuse_new, saved_items
 from gondola.operators.maintenance import log_flyers
-from gondola.session import prepare, stage
+from gondola.session import prepare
 
 ITEM_ORDER = ["caminho_arquivo", "imagem_id", "pos", "alternativa"]
 
@@ -49,11 +49,14 @@ def ingest(
     now: dt.datetime,
     store_override: str | None = None,
     largest: dict[str, DataFrame] | None = None,
+    buckets: int | None = None,
 ) -> Ingest:
     """Ingest all flyers of ``answers`` on top of the stored tables.
 
     Of ``imagens`` and ``precos`` only the largest ``id`` is read. ``largest`` may give rows with
     the largest ids of ``supermercados`` and ``produtos``, which then need no scan for them.
+    ``buckets``: how ``produtos`` is stored (``dimensions.products_named``). Prices are numbered
+    once, when the resolved rows are staged; rows that are not saved leave gaps in their ids.
     """
     largest = largest or {}
     prepare(answers.sparkSession)
@@ -77,6 +80,7 @@ def ingest(
         ITEM_ORDER,
         now,
         numbered=largest.get("produtos"),
+        buckets=buckets,
     )
     items = saved_items(
         placed,
@@ -98,16 +102,16 @@ def ingest(
         .drop("primeira", "nome_normalizado", "nome", "marca", "categoria")
         .withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
     )
-    saved, refused = refuse_new(stage(resolved, "itens"), "imagem_id", "conhecido")
-    numbered = assign_ids(saved.drop("longo", "apos_longo", "conhecido"), precos)
+    saved, refused = refuse_new(assign_ids(resolved, precos), "imagem_id", "conhecido")
     return Ingest(
         log_flyers(flyers, now),
         new_stores,
         new_products,
-        numbered.where("gravar").drop(
-            "gravar", "novo", "pos", "alternativa", "nome_arquivo", "caminho_arquivo"
+        saved.where("gravar").drop(
+            "gravar", "novo", "pos", "alternativa", "nome_arquivo", "caminho_arquivo",
+            "longo", "apos_longo", "conhecido",
         ),
-        ingest_stats(placed, numbered, refused),
+        ingest_stats(placed, saved, refused),
     )
 
 

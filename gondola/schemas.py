@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gondola.fixed_values import STATUS_PENDING
 
@@ -37,6 +38,14 @@ TABLES = {
 }
 
 
+# Stored products are split by this hash of their normalised name.
+NAME_BUCKET = "balde"
+
+
+def name_bucket(normalized: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(normalized), F.lit(buckets)).cast("int")
+
+
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 

@@ -1,73 +1,23 @@
 """Incremental ingest: each run takes the answer files that arrived since the last one.
 
-Structured Streaming remembers the files already taken. Every micro-batch
-writes its own batch of each table, and reads only what earlier batches
-wrote, so repeating a batch after a failure replaces its output.
+Structured Streaming remembers the files already taken. Every micro-batch is one commit on the
+stored tables (``plans.stored.ingest_into``), on top of whatever jobs, merges and other streams have
+committed before. The version records the batch under the id of the stream, which its
+checkpoint keeps, so a batch repeated after a failure is taken once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gondola import schemas
-from gondola.operators.categories import default_categories
-from gondola.plans.ingest import ingest
-from gondola.session import prepare, scratch
-from gondola.sources.tables import BATCH, read_table, write_table
+from gondola.plans.stored import ingest_into
+from gondola.session import prepare
 
-STATE = ("imagens", "supermercados", "produtos", "precos")
-LAST_IDS = "ultimos_ids"
-
-
-def read_state(spark: SparkSession, base: str, name: str, before: int | None = None) -> DataFrame:
-    """Rows of a table from all batches, or from those before batch ``before``."""
-    return read_table(spark, base, name, before)
-
-
-def _last_ids(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
-    """(tabela, id, lote): the largest ids of each batch, a row per table."""
-    schema = f"tabela string, id bigint, {BATCH} bigint"
-    try:
-        found = spark.read.schema(schema).parquet(f"{base}/{LAST_IDS}")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        found = spark.createDataFrame([], schema)
-    return found if before is None else found.where(F.col(BATCH) < before)
-
-
-def _write_last_ids(spark: SparkSession, base: str, batch: int) -> None:
-    """Keep the largest ids of a batch, so that the next one need not scan the tables for them."""
-    last = [
-        spark.read.schema("id bigint").parquet(f"{base}/{name}/{BATCH}={batch}").agg(
-            F.lit(name).alias("tabela"), F.max("id").alias("id")
-        )
-        for name in STATE
-    ]
-    rows = reduce(DataFrame.unionByName, last).coalesce(1)
-    rows.write.mode("overwrite").parquet(f"{base}/{LAST_IDS}/{BATCH}={batch}")
-
-
-def compact(spark: SparkSession, base: str, target: str) -> int:
-    """Write all batches below ``base`` as one below ``target``, a folder not used before.
-
-    Returns its number, that of the last batch. A stream goes on with ``target`` and its old
-    checkpoint; ``base`` stays as it is until nobody reads it. Last ids are written last: where they
-    are, the copy is whole.
-    """
-    last = _last_ids(spark, base).agg(F.max(BATCH)).head()[0]
-    if last is None:
-        raise ValueError(f"no batches below {base}")
-    for name in STATE:
-        write_table(read_table(spark, base, name, last + 1), target, name, "errorifexists", last)
-    _write_last_ids(spark, target, last)
-    return last
+STREAM_ID = "sql.streaming.queryId"  # local property of the thread that runs a micro-batch
 
 
 def start_ingest(
@@ -84,26 +34,10 @@ def start_ingest(
 
     def save(answers: DataFrame, batch: int) -> None:
         session = answers.sparkSession
-        with scratch(session):
-            store(session, answers, batch)
-
-    def store(session: SparkSession, answers: DataFrame, batch: int) -> None:
-        last = _last_ids(session, base, batch)
-        largest = {name: last.where(F.col("tabela") == name) for name in STATE}
-        result = ingest(
-            answers,
-            largest["imagens"],
-            read_state(session, base, "supermercados", before=batch),
-            read_state(session, base, "produtos", before=batch),
-            largest["precos"],
-            default_categories(session),
-            now,
-            store_override,
-            largest,
-        )
-        for name in STATE:
-            write_table(getattr(result, name), base, name, "overwrite", batch)
-        _write_last_ids(session, base, batch)
+        stream = session.sparkContext.getLocalProperty(STREAM_ID)
+        if not stream:
+            raise RuntimeError("a micro-batch runs without the id of its stream")
+        ingest_into(session, base, answers, now, store_override, (stream, batch))
 
     return (
         spark.readStream.schema(schemas.RESPOSTAS)

@@ -4,6 +4,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gondola import fixed_values as fx
 from gondola import schemas
@@ -125,14 +126,19 @@ def test_gate(spark):
         flyer('{"nome":"e","preco":1,"marca":"' + "m" * 101 + '"}'),
         flyer('{"nome":"f","preco":1,"em_promocao":"talvez"}', '{"nome":"g","preco":1,"em_promocao":"sim"}'),
     )
-    assert [(r.nome_arquivo, r.nome, r.gravar) for r in rows] == [
-        ("0.jpg", "b", True),
-        ("1.jpg", "a", False),
-        ("3.jpg", "c", False),
-        ("3.jpg", "d", False),
-        ("4.jpg", "a", True),
-        ("6.jpg", "f", False),
-        ("6.jpg", "g", False),
+    long = "y" * 256
+    # too long for a new product is no error yet: the product may exist (test_long_texts_are_refused_after_the_look_up)
+    assert [(r.nome_arquivo, r.nome, r.gravar, r.longo, r.apos_longo) for r in rows] == [
+        ("0.jpg", "b", True, False, False),
+        ("1.jpg", "a", False, False, False),
+        ("3.jpg", "c", False, False, False),
+        ("3.jpg", "d", False, False, False),
+        ("4.jpg", "a", True, False, False),
+        ("4.jpg", long, True, True, False),
+        ("4.jpg", "b", True, False, True),
+        ("5.jpg", "e", True, True, False),
+        ("6.jpg", "f", False, False, False),
+        ("6.jpg", "g", False, False, False),
     ]
     assert str(rows[0].preco) == "1.00"
     assert errors[0] == ["Erro ao processar produto 1: preço não é número"]
@@ -142,8 +148,30 @@ def test_gate(spark):
         "Erro ao processar produto 1: preco_original não é número",
         "Erro ao processar produto 2: confianca fora do limite",
     ]
-    assert errors[4] == ["Erro ao processar produto 1: texto maior que a coluna"]
-    assert errors[5] == ["Erro ao processar produto 1: texto maior que a coluna"]
+    assert errors[4] == errors[5] == []
+
+
+@pytest.mark.parametrize(
+    ("known", "names", "refused"),
+    [
+        (set(), ["a"], [("4.jpg", 1), ("5.jpg", 1)]),
+        ({"y" * 256, "b"}, ["a", "b", "y" * 256], [("5.jpg", 1)]),
+        ({"y" * 256, "e"}, ["a", "e", "y" * 256], [("4.jpg", 1)]),
+    ],
+)
+def test_long_texts_are_refused_after_the_look_up(spark, known, names, refused):
+    """Too long for a new product: an error unless the product exists; what follows in the item goes too."""
+    texts = {
+        "4.jpg": flyer('{"nome":"a ou ' + "y" * 256 + ' ou b","preco":1}'),
+        "5.jpg": flyer('{"nome":"e","preco":1,"marca":"' + "m" * 101 + '"}'),
+    }
+    rows = spark.createDataFrame([(n, f"/f/{n}", x) for n, x in texts.items()], "nome_arquivo string, caminho_arquivo string, texto string")
+    found = items.saved_items(items.gate_items(answers.read_flyers(rows)), "nome_arquivo")
+    creates = ~F.col("longo") & ~F.col("apos_longo")
+    saved, stops = items.refuse_new(found.withColumn("conhecido", creates | F.col("nome").isin(list(known))), "nome_arquivo", "conhecido")
+    assert sorted(r.nome for r in saved.collect()) == names
+    message = "Erro ao processar produto 1: texto maior que a coluna"
+    assert sorted((r.nome_arquivo, r.pos, r.erro) for r in stops.collect()) == [(*r, message) for r in refused]
 
 
 def test_gate_without_validation(spark):

@@ -9,12 +9,12 @@ from gondola.operators import dimensions, duplicates, maintenance, reports
 from gondola.operators.categories import default_categories
 from gondola.operators.ids import assign_ids
 from gondola.plans.ingest import batch_summary, ingest
-from gondola.plans.merge import merge_and_write
+from gondola.plans.stored import ingest_into, merge_stored
 from gondola.sinks import exports
 from gondola.sources import images
 from gondola.sources.answers import read_answer_files
 from gondola.sources.tables import read_table, read_valid_prices, write_table
-from gondola.streaming.incremental import compact, read_state, start_ingest
+from gondola.streaming.incremental import start_ingest
 
 NOW = dt.datetime(2025, 10, 15, 12, 0)
 
@@ -116,13 +116,6 @@ def test_merge(spark):
         duplicates.require_unique_names(table)
 
 
-def test_merge_and_write(spark, tmp_path):
-    table = products(spark, (1, "Arroz", None, 0), (2, "arroz", "X", 1))
-    merge_and_write(table, prices(spark, (1, 1), (2, 2)), str(tmp_path / "v2"), NOW)
-    assert read_table(spark, str(tmp_path / "v2"), "produtos").count() == 1
-    assert {r.produto_id for r in read_table(spark, str(tmp_path / "v2"), "precos").collect()} == {2}
-
-
 def test_links_give_all_pairs(spark):
     table = products(spark, *((i, ["a", "A ", "b"][i % 3], None, i) for i in range(12)), (20, "só", None, 30))
     rows = [(r.id, r.nome_normalizado) for r in table.collect()]
@@ -217,39 +210,6 @@ def test_ingest_does_not_depend_on_partitions(spark):
     assert outcome(1, "1") == outcome(9, "64")
 
 
-def test_incremental_runs(spark, tmp_path):
-    base, points, source = (str(tmp_path / n) for n in ("t", "c", "a"))
-    answers_of(spark, FLYERS[:2]).coalesce(1).write.parquet(source)
-    start_ingest(spark, source, base, points, NOW).awaitTermination()
-    assert read_state(spark, base, "produtos").count() == 2
-    answers_of(spark, FLYERS[2:]).coalesce(1).write.mode("append").parquet(source)
-    start_ingest(spark, source, base, points, NOW).awaitTermination()
-    start_ingest(spark, source, base, points, NOW).awaitTermination()
-    assert [(r.id, r.nome) for r in read_state(spark, base, "produtos").orderBy("id").collect()] == [
-        (1, "Arroz"), (2, "Feijão"), (3, "Picanha"), (4, "Sal"),
-    ]
-    assert read_state(spark, base, "precos").count() == 6
-    assert read_state(spark, base, "imagens").where("dados_json is not null").count() == 3
-    assert read_state(spark, base, "imagens").select("id").distinct().count() == 4
-
-
-def test_streamed_prices_are_pruned_and_compacted(spark, tmp_path):
-    base, points, source = (str(tmp_path / n) for n in ("t", "c", "a"))
-    answers_of(spark, FLYERS[:2]).coalesce(1).write.parquet(source)
-    start_ingest(spark, source, base, points, NOW).awaitTermination()
-    answers_of(spark, FLYERS[2:]).coalesce(1).write.mode("append").parquet(source)
-    start_ingest(spark, source, base, points, NOW).awaitTermination()
-    plan = read_valid_prices(spark, base, dt.date(2025, 2, 1))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [((mes_fim" in plan
-    before = sorted(map(str, read_state(spark, base, "precos").collect()))
-    assert compact(spark, base, str(tmp_path / "novo")) == 1
-    assert sorted(map(str, read_state(spark, str(tmp_path / "novo"), "precos").collect())) == before
-    answers_of(spark, FLYERS[:1]).coalesce(1).write.mode("append").parquet(source)
-    start_ingest(spark, source, str(tmp_path / "novo"), points, NOW).awaitTermination()
-    ids = [r.id for r in read_state(spark, str(tmp_path / "novo"), "precos").collect()]
-    assert len(ids) == len(set(ids)) > len(before)
-
-
 def test_csv(spark, tmp_path):
     table = products(spark, (1, 'Arroz "T"', None, 0))
     stores = spark.createDataFrame([(1, "Loja; Á")], "id bigint, nome string")
@@ -312,18 +272,6 @@ def test_global_stats_of_nothing(spark):
     }
 
 
-def test_repeated_batch_replaces_its_output(spark, tmp_path):
-    """A batch that failed before its commit runs again: nothing is doubled, ids stay."""
-    base, source = str(tmp_path / "t"), str(tmp_path / "a")
-    answers_of(spark, FLYERS).coalesce(1).write.parquet(source)
-    start_ingest(spark, source, base, str(tmp_path / "c1"), NOW).awaitTermination()
-    first = {n: sorted(r.id for r in read_state(spark, base, n).collect()) for n in ("produtos", "precos", "imagens")}
-    # a fresh checkpoint makes the stream start again at batch 0
-    start_ingest(spark, source, base, str(tmp_path / "c2"), NOW).awaitTermination()
-    again = {n: sorted(r.id for r in read_state(spark, base, n).collect()) for n in ("produtos", "precos", "imagens")}
-    assert first == again
-
-
 def test_labels_of_another_width_and_names_of_the_top(spark):
     rows = [(f"nome {i:02d}", "Xis") for i in range(30)] + [("só um", "Ipsilon")]
     table = spark.createDataFrame(rows, "nome string, categoria_sugerida string").withColumn("categoria", F.lit("Outros"))
@@ -339,13 +287,16 @@ def test_labels_of_another_width_and_names_of_the_top(spark):
 def test_scratch_must_be_configured_and_is_freed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path / "scratch"))
     table = products(spark, (1, "Arroz", None, 0), (2, "arroz", "X", 1))
-    merged = merge_and_write(table, prices(spark, (1, 1), (2, 2)), str(tmp_path / "v2"), NOW)
-    assert merged.stats.head().produtos_removidos == 1
-    assert merged.precos.count() == 2
+    write_table(table, str(tmp_path / "v2"), "produtos")
+    write_table(prices(spark, (1, 1), (2, 2)), str(tmp_path / "v2"), "precos")
+    assert merge_stored(spark, str(tmp_path / "v2"), NOW).stats.produtos_removidos == 1
+    assert read_table(spark, str(tmp_path / "v2"), "precos").count() == 2
     answer = '{"supermercado":"A","produtos":[{"nome":"Arroz","preco":1}]}'
     spark.createDataFrame([("f", "/f", answer)], schemas.RESPOSTAS).write.parquet(str(tmp_path / "in"))
     start_ingest(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), NOW).awaitTermination()
-    assert read_state(spark, str(tmp_path / "t"), "precos").count() == 1
+    assert read_table(spark, str(tmp_path / "t"), "precos").count() == 1
+    answers = spark.read.schema(schemas.RESPOSTAS).parquet(str(tmp_path / "in"))
+    assert ingest_into(spark, str(tmp_path / "t"), answers, NOW).precos_salvos == 1
     assert list((tmp_path / "scratch" / "gondola").iterdir()) == []
     monkeypatch.undo()
 

@@ -73,6 +73,20 @@ def test_contains_pattern_keeps_wildcards(spark):
     assert one(spark, "Feijão", lambda c: text.contains_pattern(c, "arroz")) is False
 
 
+@pytest.mark.parametrize(
+    "name, fragment, found",
+    [
+        ("100% Cacau", r"100\%", True), ("100 Cacau", r"100\%", False), ("1000 Cacau", "100%cacau", True),
+        ("a_b", r"A\_B", True), ("axb", r"a\_b", False), ("axb", "a_b", True),
+        ("a\\b", r"a\\b", True), ("ab", r"a\\b", False), ("ab", r"a\b", True), ("a\\b", r"a\b", False),
+        ("leite\\", "leite\\", True), ("leite em pó", "leite\\", False), ("leite%", "leite\\", False),
+        ("x\\", "\\\\", True), ("x", "\\", False), ("x", "", True),
+    ],
+)
+def test_backslash_in_a_fragment(spark, name, fragment, found):
+    assert one(spark, name, lambda c: text.contains_pattern(c, fragment)) is found
+
+
 def test_file_name(spark):
     assert one(spark, "/a/b/c.jpg", text.file_name) == "c.jpg"
 

@@ -202,6 +202,11 @@ SELECT caminho, split_part(caminho, '/', 4) AS nome_arquivo FROM (
          CASE o_orderpriority WHEN '1-URGENT' THEN '.jpg' WHEN '2-HIGH' THEN '.JPEG' ELSE '.webp' END AS caminho
   FROM orders WHERE o_orderpriority NOT IN ('3-MEDIUM', '4-NOT SPECIFIED'))
 """.replace("SELECT caminho,", "SELECT caminho AS caminho_arquivo,", 1))
+_add("src_folder_listing", [], """
+SELECT nome AS nome_arquivo, CAST(length(nome) AS BIGINT) AS tamanho FROM (
+  SELECT 'f' || o_orderkey || CASE o_orderpriority WHEN '1-URGENT' THEN '.jpg' WHEN '2-HIGH' THEN '.JPEG' ELSE '.webp' END AS nome
+  FROM orders WHERE o_orderpriority NOT IN ('3-MEDIUM', '4-NOT SPECIFIED') AND o_orderdate < TIMESTAMP '1998-01-01')
+""")
 _add("src_raw_answers", [PANFLETOS], """
 SELECT nome_arquivo, caminho_arquivo, pedido % 3 = 0 AS em_bloco,
        tipo NOT IN (1, 2, 11) AS tem_lista,
@@ -375,6 +380,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, e.id AS produto_id, e.nom
 FROM pedidos q LEFT JOIN achados a ON a.chave = q.chave AND a.marca IS NOT DISTINCT FROM q.marca
 LEFT JOIN produtos e ON e.id = a.id
 """)
+SQL["product_lookup_lateral"] = SQL["product_lookup_brand"]
 _add("product_lookup_sql", PROD, """
 SELECT id, nome, marca, categoria, CAST(categoria_id AS INTEGER) AS categoria_id, created_at FROM produtos
 WHERE nome_normalizado = 'red widget' AND (marca IS NULL OR lower(marca) = 'brand#17')
@@ -424,6 +430,9 @@ WHERE produto_id NOT IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')
   AND supermercado_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
   AND imagem_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
 """)
+SQL["flyer_log_update_stored"] = SQL["flyer_log_update"]
+SQL["product_update_stored"] = SQL["product_update"]
+SQL["cascade_delete_stored"] = SQL["cascade_delete_compacted"] = SQL["cascade_delete"]
 _add("fk_violations", [PRECOS], """
 SELECT 'produto_id' AS coluna, CAST(count(*) AS BIGINT) AS precos, count(DISTINCT produto_id) AS ausentes
 FROM precos WHERE produto_id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)
@@ -492,6 +501,15 @@ SELECT lower(nome) AS nome_normalizado, CAST(1 AS BIGINT) AS produtos, count(*)
        CAST(sum(preco) AS DOUBLE) AS soma
 FROM itens WHERE gravar GROUP BY 1
 """)
+SQL["ingest_after_job"] = SQL["ingest_incremental"]
+_add("merge_stored", [*STAR, PANFLETOS], """
+, antes AS (SELECT nome_normalizado, count(*) AS n, count(DISTINCT precos.id) AS u
+          FROM precos JOIN produtos p ON p.id = produto_id GROUP BY 1),
+depois AS (SELECT lower(nome) AS nome_normalizado, count(*) AS n FROM itens WHERE gravar GROUP BY 1)
+SELECT nome_normalizado, CAST(1 AS BIGINT) AS produtos, coalesce(a.n, 0) AS precos_antes,
+       coalesce(d.n, 0) AS precos_novos, coalesce(a.u, 0) + coalesce(d.n, 0) AS ids
+FROM antes a FULL JOIN depois d USING (nome_normalizado)
+""")
 _add("flyer_top3", [PANFLETOS], """
 , listas AS (
   SELECT p.nome_arquivo, pos, CASE WHEN l_linenumber % 5 = 0 THEN p_name || ' OU ' || p_type ELSE p_name END AS nome,

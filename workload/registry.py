@@ -12,11 +12,13 @@ from gondola.functions import sql as sql_functions
 from gondola.functions import text as text_rules
 from gondola.operators import answers, categories, dimensions, duplicates, items, maintenance, reports
 from gondola.plans import ingest as ingest_plan
+from gondola.plans import stored
 from gondola.session import scratch_path
 from gondola.sinks import exports
 from gondola.sources import images
 from gondola.sources.answers import read_answer_table
-from gondola.streaming.incremental import read_state, start_ingest
+from gondola.sources.tables import read_table, write_table
+from gondola.streaming.incremental import start_ingest
 from workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,14 @@ def src_folder_inventory(spark, d):
     return images.select_images(t.arquivos(spark, d))
 
 
+@query
+def src_folder_listing(spark, d):
+    """A real folder of the manifest's files: extensions of all kinds and cases, and a sub-folder to be left out."""
+    folder = scratch_path(t.prepare(spark), "panfletos")
+    t.write_files(t.arquivos(spark, d), folder)
+    return images.list_folder(spark, folder).select("nome_arquivo", F.col("length").alias("tamanho"))
+
+
 @query
 def src_raw_answers(spark, d):
     path = scratch_path(t.prepare(spark), "respostas")
@@ -339,6 +349,18 @@ def product_lookup_sql(spark, d):
     return spark.sql("SELECT * FROM buscar_produto_por_nome_normalizado('  Red   WIDGET ', 'brand#17')")
 
 
+@query
+def product_lookup_lateral(spark, d):
+    """The SQL function over a whole table of requests."""
+    sql_functions.register(t.prepare(spark), t.produtos(spark, d))
+    _requests(spark, d).createOrReplaceTempView("pedidos")
+    return spark.sql("""
+        SELECT q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey, p.id AS produto_id, p.nome AS produto_nome,
+               p.marca AS produto_marca, p.categoria_id
+        FROM pedidos q LEFT JOIN LATERAL buscar_produto_por_nome_normalizado(q.nome, q.marca) p
+    """)
+
+
 @query
 def product_get_or_create(spark, d):
     keys, new = dimensions.get_or_create_products(
@@ -376,29 +398,35 @@ def store_upsert(spark, d):
     return dimensions.upsert_stores(t.supermercados_existentes(spark, d), incoming, t.NOW).drop("created_at")
 
 
-@query
-def flyer_log_update(spark, d):
-    log = t.imagens(spark, d)
-    updates = log.where("status = 'pendente'").select(
+def _log_updates(log):
+    return log.where("status = 'pendente'").select(
         "id",
         F.when(F.col("id") % 2 == 0, "erro").otherwise("processado").alias("status"),
         F.lit(None).cast("variant").alias("dados_json"),
         F.when(F.col("id") % 2 == 0, "sem resposta").alias("erro_mensagem"),
     )
-    return maintenance.update_flyer_log(log, updates, t.NOW).select(
+
+
+@query
+def flyer_log_update(spark, d):
+    log = t.imagens(spark, d)
+    return maintenance.update_flyer_log(log, _log_updates(log), t.NOW).select(
         "id", "nome_arquivo", "status", "erro_mensagem", "processed_at"
     )
 
 
-@query
-def product_update(spark, d):
-    produtos = t.produtos(spark, d)
-    updates = produtos.where("p_type = 'SMALL'").select(
+def _product_updates(produtos):
+    return produtos.where("p_type = 'SMALL'").select(
         "id",
         F.concat(F.lit("Novo  "), "nome").alias("nome"),
         F.when(F.col("marca").isNull(), "Sem Marca").alias("marca"),
     )
-    return maintenance.update_products(produtos, updates, t.NOW).select(
+
+
+@query
+def product_update(spark, d):
+    produtos = t.produtos(spark, d)
+    return maintenance.update_products(produtos, _product_updates(produtos), t.NOW).select(
         "id", "nome", "nome_normalizado", "marca", "updated_at"
     )
 
@@ -516,8 +544,12 @@ def ingest_incremental(spark, d):
     start_ingest(
         spark, f"{root}/respostas", f"{root}/tabelas", f"{root}/pontos", t.NOW, files_per_batch=2
     ).awaitTermination()
-    prices = read_state(spark, f"{root}/tabelas", "precos")
-    products = read_state(spark, f"{root}/tabelas", "produtos").select(
+    return _price_sums(spark, f"{root}/tabelas")
+
+
+def _price_sums(spark, base):
+    prices = read_table(spark, base, "precos")
+    products = read_table(spark, base, "produtos").select(
         F.col("id").alias("produto_id"), "nome_normalizado"
     )
     return prices.join(products, "produto_id").groupBy("nome_normalizado").agg(
@@ -527,6 +559,98 @@ def ingest_incremental(spark, d):
     )
 
 
+@query
+def ingest_after_job(spark, d):
+    """A job, two streams with checkpoints of their own, and a compaction between them, on one set of tables."""
+    root = scratch_path(t.prepare(spark), "partes")
+    answers = t.respostas(spark, d).withColumn("parte", F.pmod(F.xxhash64("nome_arquivo"), F.lit(3)))
+    answers.write.partitionBy("parte").parquet(f"{root}/respostas")
+    parts = [f"{root}/respostas/parte={k}" for k in range(3)]
+    base = f"{root}/tabelas"
+    stored.ingest_into(spark, base, spark.read.schema(schemas.RESPOSTAS).parquet(parts[0]), t.NOW)
+    start_ingest(spark, parts[1], base, f"{root}/pontos1", t.NOW).awaitTermination()
+    stored.compact(spark, base)
+    start_ingest(spark, parts[2], base, f"{root}/pontos2", t.NOW).awaitTermination()
+    return _price_sums(spark, base)
+
+
+def _store_star(spark, d):
+    """The derived tables as stored ones."""
+    base = scratch_path(t.prepare(spark), "tabelas")
+    for name, rows in (
+        ("produtos", t.produtos(spark, d)), ("precos", t.precos(spark, d)),
+        ("supermercados", t.supermercados(spark, d)), ("imagens", t.imagens(spark, d)),
+    ):
+        write_table(rows, base, name)
+    return base
+
+
+@query
+def merge_stored(spark, d):
+    """A merge of stored tables, then an ingest on top of it: products, prices and their ids."""
+    base = _store_star(spark, d)
+    stored.merge_stored(spark, base, t.NOW)
+    before = read_table(spark, base, "precos")
+    last = before.agg(F.max("id")).scalar()
+    stored.ingest_into(spark, base, t.respostas(spark, d), t.NOW)
+    after = read_table(spark, base, "precos")
+    named = read_table(spark, base, "produtos").select(F.col("id").alias("produto_id"), "nome_normalizado")
+    return (
+        after.withColumn("antes", F.col("id") <= last)
+        .join(named, "produto_id")
+        .groupBy("nome_normalizado")
+        .agg(
+            F.count_distinct("produto_id").alias("produtos"),
+            F.count_if("antes").alias("precos_antes"),
+            F.count_if(~F.col("antes")).alias("precos_novos"),
+            F.count_distinct("id").alias("ids"),
+        )
+    )
+
+
+@query
+def flyer_log_update_stored(spark, d):
+    base = scratch_path(t.prepare(spark), "tabelas")
+    log = t.imagens(spark, d)
+    for part in (log.where("id % 2 = 0"), log.where("id % 2 = 1")):
+        write_table(part, base, "imagens")
+    stored.update_log(spark, base, _log_updates(log), t.NOW)
+    return read_table(spark, base, "imagens").select("id", "nome_arquivo", "status", "erro_mensagem", "processed_at")
+
+
+@query
+def product_update_stored(spark, d):
+    base = scratch_path(t.prepare(spark), "tabelas")
+    write_table(t.produtos(spark, d), base, "produtos")
+    stored.update_stored_products(spark, base, _product_updates(t.produtos(spark, d)), t.NOW)
+    return read_table(spark, base, "produtos").select("id", "nome", "nome_normalizado", "marca", "updated_at")
+
+
+def _deleted_star(spark, d):
+    base = _store_star(spark, d)
+    stored.delete_rows(
+        spark, base,
+        produtos=t.produtos_crus(spark, d).where("p_type = 'PROMO'"),
+        supermercados=t.supermercados(spark, d).where("s_acctbal < 0"),
+        imagens=t.imagens(spark, d).where("status = 'erro'"),
+    )
+    return base
+
+
+@query
+def cascade_delete_stored(spark, d):
+    return read_table(spark, _deleted_star(spark, d), "precos").select(
+        "id", "produto_id", "supermercado_id", "imagem_id", "preco"
+    )
+
+
+@query
+def cascade_delete_compacted(spark, d):
+    base = _deleted_star(spark, d)
+    stored.compact(spark, base)
+    return read_table(spark, base, "precos").select("id", "produto_id", "supermercado_id", "imagem_id", "preco")
+
+
 @query
 def flyer_top3(spark, d):
     return answers.cheapest_items(answers.read_flyers(t.respostas(spark, d))).select(

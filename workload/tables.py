@@ -196,6 +196,26 @@ def arquivos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_files(manifest: DataFrame, folder: str) -> None:
+    """Make the manifest's files real: those before 1998 in ``folder``, the others in a sub-folder of it.
+
+    Each file holds its own name. Tasks write them through the store of the folder, which all see.
+    """
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(f"{root}/depois", recursive=True)
+        for row in rows:
+            name = row.caminho_arquivo.rsplit("/", 1)[1]
+            place = root if row.caminho_arquivo < "/flyers/1998" else f"{root}/depois"
+            with store.open_output_stream(f"{place}/{name}") as out:
+                out.write(name.encode())
+
+    manifest.foreachPartition(write)
+
+
 def respostas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model answer per order: its lines are the products of the flyer.
 

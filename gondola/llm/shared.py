@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from pathlib import Path
 
@@ -112,3 +113,27 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
 
 def as_signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
+
+
+def release_memory() -> None:
+    """Give freed memory back at the end of a task: idle workers stay, and would hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What the tasks of one operator keep in this worker for its next task.
+
+    A worker serves one operator after the other; the first task of another one lets go of the rest.
+    """
+    if operator not in _kept:
+        _kept.clear()
+        release_memory()
+        _kept[operator] = {}
+    return _kept[operator]

@@ -3,10 +3,12 @@ import itertools
 import random
 
 import helpers as h
+import numpy as np
 import pytest
 
 from gondola.llm import near_dedup, substring_dedup
 from gondola.llm.near_dedup import Settings
+from gondola.llm.shared import WordHashes
 
 
 def brute_groups(rows, words):
@@ -95,7 +97,7 @@ def brute_removed(rows, window):
     return gone
 
 
-@pytest.mark.parametrize("window", [4, 20])
+@pytest.mark.parametrize("window", [1, 4, 20, 23])
 def test_removed_words(spark, window):
     rows = [(r[0], r[1]) for r in h.rows()]
     expected = brute_removed(rows, window)
@@ -123,6 +125,74 @@ def test_a_tiny_filter_loses_nothing(spark):
     assert sorted(map(str, wide)) == sorted(map(str, tight))
 
 
+def test_lengths_double():
+    assert substring_dedup.level_lengths(20) == [5, 10, 20]
+    assert substring_dedup.level_lengths(50) == [7, 13, 25, 50]
+    assert substring_dedup.level_lengths(4) == [4]
+
+
+def unlike(k, n):
+    return [f"u{k}x{i}" for i in range(n)]
+
+
+def test_levels_hold_what_repeats_at_every_shorter_length(spark):
+    """Passages of 6, 12 and 30 words in otherwise different texts: each level knows only those that reach it."""
+    rows, doc_id = [], 0
+    for passages, n in ((4, 6), (3, 12), (2, 30)):
+        for p in range(passages):
+            for _ in range(2):
+                doc_id += 1
+                rows.append((doc_id, " ".join(unlike(doc_id, 25) + [f"p{n}n{p}w{i}" for i in range(n)] + unlike(-doc_id, 25))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    levels = substring_dedup.repeated_levels(docs, 20)
+    assert [x.length for x in levels] == [5, 10]
+    # of 6 words only a fifth can repeat; at 10 words nothing of those passages is left
+    assert levels[0].repeated > levels[1].repeated >= 2
+    found = substring_dedup.remove_repeats(docs, 20).collect()
+    assert sum(r.n_removed for r in found) == 2 * 30
+    short = [(i, t) for i, t in rows if i <= 8]
+    only = spark.createDataFrame(short, "doc_id long, text string")
+    levels = substring_dedup.repeated_levels(only, 40)
+    assert [(x.length, x.repeated > 0) for x in levels] == [(5, True), (10, False)]  # the level of 20 is not looked at
+    assert not any(r.n_removed for r in substring_dedup.remove_repeats(only, 40).collect())
+
+
+def test_nothing_repeats_after_the_first_level(spark):
+    docs = spark.createDataFrame([(k, " ".join(unlike(k, 60))) for k in range(9)], "doc_id long, text string")
+    assert [(x.length, x.repeated) for x in substring_dedup.repeated_levels(docs, 20)] == [(5, 0)]
+    assert substring_dedup.later_windows(docs, 20).collect() == []
+
+
+def test_candidates_are_hashed_alike_at_every_level():
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices("abcde", k=n)).encode() for n in (3, 19, 20, 90, 400)]
+    lengths = substring_dedup.level_lengths(20)
+    c = substring_dedup.Candidates(texts, WordHashes(), lengths)
+    assert len(c.alive) == 1 + 71 + 381
+    every = type("All", (), {"contains": staticmethod(lambda names: np.ones(len(names), bool))})
+    words = [w for t in texts for w in t.split()]
+    for length in lengths:
+        place, names = c.named()
+        assert all(a <= p <= a + 20 - length for a, p in zip(c.alive, place, strict=True))
+        seen = {}
+        for p, name in zip(place.tolist(), names.tolist(), strict=True):
+            assert seen.setdefault(tuple(words[p : p + length]), name) == name
+        assert len(set(seen.values())) == len(seen)
+        if length < 20:
+            c.keep(every, names)
+
+
+@pytest.mark.parametrize("task_windows", [1, 50])
+def test_small_tasks_lose_nothing(spark, task_windows):
+    rows = [(r[0], r[1]) for r in h.rows() if r[1] != h.LONG]
+    rows += [(100 + k, " ".join(f"s{i % 30}" for i in range(k, k + 45))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    gone = brute_removed(rows, 20)
+    for r in substring_dedup.remove_repeats(docs, 20, task_windows=task_windows).collect():
+        text = next((t for i, t in rows if i == r.doc_id and len(h.words(t)) == r.n_words))
+        assert r.n_removed == len(gone.get((r.doc_id, text), ()))
+
+
 def test_rewrite_cuts_the_passage_and_keeps_columns(spark):
     docs = h.documents(spark)
     out = {r.doc_id: r for r in substring_dedup.rewrite(docs, 50).where("doc_id in (8, 9, 7)").collect()}

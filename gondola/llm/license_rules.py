@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 V = r"(?: v(?:ersion)?)?"
-OLD = r"(?: or(?: \(at your option\))?(?: any)? later(?: version)?)?"
+OLD = r"(?: or(?: at your option)?(?: any)? later(?: version)?)?"
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ TRIGGERS = (
     "licen", "spdx", "reserved", "domain", "proprietary", "copyright", "permission", "redistribut", "warranty",
     "gpl", "copyleft", "under",
 )
-MAX_MATCH_WORDS = 32
+MAX_MATCH_WORDS = 40  # no match of a rule is longer
 
 
 def rules() -> list[Rule]:

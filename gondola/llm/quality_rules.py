@@ -223,10 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: FitSettings | None = None)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     stats = statistics(texts).join(F.broadcast(sample), "doc_id")
     values = features()
-    picked = stats.where(~base_failed()).select("bad", *(values[f].alias(f) for f in FEATURES))
-    # at most sample_rows rows of six numbers, save for repeated ids
-    found = picked.limit(2 * settings.sample_rows).collect()
-    return learn([(row[0], tuple(row)[1:]) for row in found], settings)
+    picked = stats.where(~base_failed()).select("doc_id", F.struct("bad", *(values[f].alias(f) for f in FEATURES)).alias("row"))
+    # one text of an id, that of the smallest values: at most sample_rows rows of six numbers
+    found = [tuple(r.row) for r in picked.groupBy("doc_id").agg(F.min("row").alias("row")).collect()]
+    return learn([(row[0], row[1:]) for row in found], settings)
 
 
 def base_failed() -> Column:

@@ -2,7 +2,9 @@
 
 Inner products become distances: every vector gets one more coordinate, the root of what its
 squared length lacks to the largest one, so that the nearest candidates are those of the highest
-score. Rows are dealt to trees of a bounded size by their nearest pivot. A tree is stored as
+score. Rows are dealt to cells by their nearest pivot, and in a cell to trees of a bounded size by their
+distance to it: a tree is a ring, known by its smallest and largest distance. A query goes only to rings
+that these distances, its own to the cell's pivot, and its k-th best so far do not rule out. A tree is stored as
 pages: routing nodes with pivots, covering radii and distances to their own pivot, and leaves with
 vectors and distances to the leaf's pivot. A search opens nodes in order of their lower bound and
 skips whatever the stored distances already rule out; scores are exact integers.
@@ -33,6 +35,7 @@ class Settings:
     pivots: int = 32  # cells by nearest pivot
     pivot_sample: int = 4096  # rows the pivots are chosen from
     tree_rows: int = 8192  # a larger cell becomes several trees
+    rings: int = 256  # by distance at most; more trees share a ring
     page: int = 64  # entries of a node
     blocks: int = 32  # queries are dealt into so many blocks when they meet the trees
 
@@ -198,9 +201,10 @@ def _pivots(vectors: DataFrame, settings: Settings, width: int, longest: float)
 
 @dataclass
 class Index:
-    """Stored pages (tree, number, page) and the roots (tree, cell); ``cells`` are the pivots."""
+    """Stored pages (tree, number, page) and rings (tree, cell, low, high); ``cells`` are the pivots."""
 
     pages: DataFrame
+    rings: DataFrame
     cells: np.ndarray
     width: int
     longest: float
@@ -222,12 +226,11 @@ def build_index(vectors: DataFrame, settings: Settings | None = None) -> Index |
         for f in frames:
             points = _lifted(_matrix(f["v"], width), longest)
             d = (points**2).sum(axis=1)[:, None] + (cells**2).sum(axis=1)[None, :] - 2 * points @ cells.T
-            yield pd.DataFrame({"id": f["id"], "v": f["v"], "cell": d.argmin(axis=1)})
+            away = np.sqrt(np.maximum(d.min(axis=1), 0))
+            yield pd.DataFrame({"id": f["id"], "v": f["v"], "cell": d.argmin(axis=1), "away": away})
 
-    placed = stage(vectors.mapInPandas(place, "id long, v array<long>, cell int"), "cells")
-    sizes = {r.cell: math.ceil(r.n / settings.tree_rows) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    wide = F.create_map(*(F.lit(int(x)) for pair in sizes.items() for x in pair))[F.col("cell")]
-    trees = placed.withColumn("tree", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), wide))
+    placed = stage(vectors.mapInPandas(place, "id long, v array<long>, cell int, away double"), "cells")
+    trees = _dealt_to_trees(placed, settings)
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         matrix = _lifted(_matrix(frame["v"], width), longest)
@@ -235,39 +238,85 @@ def build_index(vectors: DataFrame, settings: Settings | None = None) -> Index |
         stored = pages_of(root, matrix, frame["id"].to_numpy())
         return pd.DataFrame({"tree": frame["tree"].iloc[0], "number": range(len(stored)), "page": stored})
 
-    grown = trees.groupBy("tree").applyInPandas(grow, "tree long, number int, page binary")
-    return Index(stage(grown, "pages"), cells, width, longest, settings)
+    grown = trees.drop("away").groupBy("tree").applyInPandas(grow, "tree long, number int, page binary")
+    rings = trees.groupBy("tree", "cell").agg(F.min("away").alias("low"), F.max("away").alias("high"))
+    return Index(stage(grown, "pages"), stage(rings, "rings"), cells, width, longest, settings)
+
+
+def _dealt_to_trees(placed: DataFrame, settings: Settings) -> DataFrame:
+    """Adds ``tree``: the cell, the ring in it, and where a ring is too large a share of it by hash.
+
+    The rings' bounds are approximate quantiles: at most ``pivots`` times ``rings`` numbers.
+    """
+    steps = [k / settings.rings for k in range(1, settings.rings)]
+    found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("away", steps, 1000).alias("q")).collect()
+    bounds, wide = {}, {}
+    for r in found:
+        trees = math.ceil(r.n / settings.tree_rows)
+        rings = min(trees, settings.rings)
+        bounds[r.cell] = [r.q[k * settings.rings // rings - 1] for k in range(1, rings)]
+        wide[r.cell] = math.ceil(trees / rings)
+    none = F.array().cast("array<double>")
+    of_cell = F.create_map(*(x for c, b in bounds.items() for x in (F.lit(c), F.array(*map(F.lit, b)) if b else none)))
+    shares = F.create_map(*(F.lit(x) for pair in wide.items() for x in pair))
+    ring = F.size(F.filter(of_cell[F.col("cell")], lambda b: b < F.col("away"))).cast("long")
+    share = F.pmod(F.xxhash64("id"), shares[F.col("cell")])
+    return placed.withColumn("tree", F.col("cell").cast("long") * (1 << 40) + ring * (1 << 24) + share)
+
+
+def _ring_bounds(index: Index, asked: DataFrame) -> DataFrame:
+    """(query_id, cell, other, tree, nearest) for the rings of the cells in ``apart``; queries meet rings in blocks.
+
+    By the triangle inequality no point of a ring is nearer than the query's distance to the pivot less
+    the ring's largest one, or the ring's smallest one less that distance.
+    """
+    blocks = F.sequence(F.lit(0), F.lit(index.settings.blocks - 1))
+    rings = index.rings.select("tree", F.col("cell").alias("other"), "low", "high", F.explode(blocks).alias("block"))
+    give = F.lit(10 * SLACK) * (F.col("d") + F.lit(math.sqrt(index.longest) + 1))
+    nearest = F.greatest(F.col("d") - F.col("high"), F.col("low") - F.col("d")) - give
+    block = F.pmod(F.xxhash64("query_id"), F.lit(index.settings.blocks)).cast("int")
+    return asked.withColumn("block", block).join(rings, ["other", "block"]).withColumn("nearest", nearest)
+
+
+def pairs_to_search(index: Index, asked: DataFrame) -> DataFrame:
+    """(query_id, tree): the trees a query's ``reach`` touches, by stored distances alone, without its ``home``.
+
+    ``asked`` has query_id, reach, home and apart, the distances to all cells' pivots.
+    """
+    each = asked.select("query_id", "reach", "home", F.posexplode("apart").alias("other", "d"))
+    return _ring_bounds(index, each).where("nearest <= reach and tree <> home").select("query_id", "tree")
 
 
 def top_k(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every query, its own id left out.
 
-    Every query first searches the trees of its nearest cell; the distance of its k-th best so
-    far limits the search of all others. ``queries`` has id and v as ``whole_vectors`` gives them.
+    Every query first searches its home, the ring of its nearest cell that its own distance falls in; the
+    distance of its k-th best so far limits which others it is sent to, and the search there. ``queries`` has id and v as
+    ``whole_vectors`` gives them.
     """
     width, longest, cells = index.width, index.longest, index.cells
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             points = np.column_stack([_matrix(f["v"], width).astype(np.float64), np.zeros(len(f))])
-            d = (cells**2).sum(axis=1)[None, :] - 2 * points @ cells.T
-            yield pd.DataFrame({"query_id": f["id"], "v": f["v"], "cell": d.argmin(axis=1), "reach": math.inf})
-
-    asked = stage(queries.mapInPandas(place, "query_id long, v array<long>, cell int, reach double"), "queries")
-    trees = index.pages.where("number = 0").select("tree", F.shiftright("tree", 32).cast("int").alias("cell"))
-    near = _search(index, asked.join(trees, "cell"), k)
-    near = stage(near, "near")
+            d = (points**2).sum(axis=1)[:, None] + (cells**2).sum(axis=1)[None, :] - 2 * points @ cells.T
+            d = np.sqrt(np.maximum(d, 0))
+            yield pd.DataFrame({"query_id": f["id"], "v": f["v"], "cell": d.argmin(axis=1), "apart": list(d)})
+
+    asked = stage(queries.mapInPandas(place, "query_id long, v array<long>, cell int, apart array<double>"), "queries")
+    own = asked.select("query_id", F.col("cell").alias("other"), F.get("apart", "cell").alias("d"))
+    homes = _ring_bounds(index, own).groupBy("query_id").agg(F.min_by("tree", F.struct("nearest", "tree")).alias("home"))
+    asked = stage(asked.join(homes, "query_id"), "homes")
+    first = asked.select("query_id", "v", F.lit(math.inf).alias("reach"), F.col("home").alias("tree"))
+    near = stage(_search(index, first, k), "near")
     worst = near.groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score"), False).alias("s"))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(length + longest - 2 * F.get("s", F.lit(k - 1)), F.lit(0.0))))
-    limited = asked.drop("reach").join(worst, "query_id", "left").select(
-        "query_id", "v", "cell", F.coalesce(reach * (1 + 10 * SLACK) + 1e-6, F.lit(math.inf)).alias("reach")
+    limited = asked.join(worst, "query_id", "left").select(
+        "query_id", "v", "home", "apart", F.coalesce(reach * (1 + 10 * SLACK) + 1e-6, F.lit(math.inf)).alias("reach")
     )
-    # the stated query set against all trees, dealt out in blocks of queries
-    blocks = F.sequence(F.lit(0), F.lit(index.settings.blocks - 1))
-    other = trees.select("tree", F.col("cell").alias("own"), F.explode(blocks).alias("block"))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(index.settings.blocks)).cast("int")
-    far = limited.withColumn("block", block).join(other, "block").where("cell <> own")
+    limited = stage(limited, "limited")
+    far = pairs_to_search(index, limited).join(limited.select("query_id", "v", "reach"), "query_id")
     found = near.union(_search(index, far, k))
     place_of = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(place_of)).where(F.col("rank") <= k)

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,47 @@ def test_very_deep_pages_are_read():
     assert templates.main_text("<div>" * 20_000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * 250_000, '<a "' * 250_000 + "'>", "<a" * 500_000 + ' ">', "<a " * 300_000 + '">',
+     "<div>" * 100_000 + "</span>" * 70_000, "<b>" * 100_000 + "<div></div>" * 60_000,
+     "<ul><li><ul>" + "<b>" * 100_000 + "<li></li>" * 60_000, "<table><tr><td>" * 60_000, "<article>" * 100_000,
+     "<div>" * 60_000 + "<article>" * 60_000],
+)
+def test_hostile_pages_take_time_in_proportion(page):
+    def seconds(text):
+        began = time.thread_time()
+        templates.main_text(text, frozenset({1}))
+        return time.thread_time() - began
+
+    assert seconds(page) < 20 * max(0.05, seconds(page[: len(page) // 8]))
+
+
+def menus(k, body):
+    """A page without article, main, class or id: only what recurs tells the menu from the text."""
+    links = "".join(f"<li><a href='/{n}'>section {n}</a></li>" for n in range(4))
+    return f"<body><div><ul>{links}</ul></div><div><p>{body}</p></div><div><p>All of this is ours</p></div></body>"
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_templates_decide_where_no_tag_does(spark, bound):
+    """The result changes with the template step, is the same by broadcast and by join, and for any order of rows."""
+    rows = [(k, f"http://h{k % 3}/{k}", menus(k, f"own words of {k}")) for k in range(60)]
+    # copies of one text with other surroundings: which of them counts must not depend on the order
+    rows += [(100 + k, "http://h0/c", menus(0, "a copied text").replace("All", f"All{k}")) for k in range(5)]
+    settings = templates.Settings(broadcast_bytes=bound)
+
+    def run(rows, parts, settings=settings):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        return {r.page_id: r.text for r in templates.extract(pages, settings).collect()}
+
+    found = run(rows, 1)
+    assert all(found[k] == f"own words of {k}" for k in range(60))
+    without = run(rows, 1, templates.Settings(min_pages=10_000, broadcast_bytes=bound))
+    assert "section 0" in without[0] and "All of this is ours" in without[0]
+    assert run(rows[::-1], 7) == found
+
+
 def test_templates_are_found_by_host(spark):
     def page(k, body):
         return f"<body><div><p>Welcome to our site</p><a>menu</a></div><div>{body}</div><div>Imprint {k % 2}</div></body>"
@@ -160,6 +202,31 @@ def test_pruning_saves_distances():
     assert len(opened) < len(pages) / 2
 
 
+def test_queries_go_to_few_trees(spark, monkeypatch):
+    """On clustered vectors the rings' bounds rule out most trees before any query is sent there."""
+    draw = np.random.default_rng(5)
+    clouds = draw.normal(size=(12, 8)) * 3
+    vectors = {i: (clouds[i % 12] + 0.05 * draw.normal(size=8)).tolist() for i in range(1800)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(4)
+    whole = metric_tree.whole_vectors(rows, 1024)
+    index = metric_tree.build_index(whole, Settings(pivots=16, tree_rows=40, rings=8, page=8, blocks=3))
+    sent = []
+
+    def counted(index, asked):
+        out = metric_tree_pairs(index, asked)
+        sent.append(out.count())
+        return out
+
+    metric_tree_pairs = metric_tree.pairs_to_search
+    monkeypatch.setattr(metric_tree, "pairs_to_search", counted)
+    found = metric_tree.top_k(index, whole.where("id % 20 = 0"), 10).collect()
+    queries = [i for i in vectors if i % 20 == 0]
+    assert sorted(map(tuple, found)) == brute_top(vectors, 1024, 10, queries)
+    trees = index.rings.count()
+    assert trees > 30
+    assert sent[0] + len(queries) < len(queries) * trees / 2
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [1.0, 2.0]), (1, [0.5, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]),

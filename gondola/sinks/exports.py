@@ -41,10 +41,10 @@ def export_rows(
 def write_csv(rows: DataFrame, path: str) -> bool:
     """Write the export as CSV files in the order of the rows; nothing when there are none.
 
-    Every file carries the header. Returns whether anything was written.
+    Every file carries the header. Returns whether anything was written. The rows are computed once:
+    whether there are any is seen from what was written, and an empty export is taken back.
     """
-    if rows.isEmpty():
-        return False
+    spark = rows.sparkSession
     (
         rows.withColumn("em_promocao", F.initcap(F.col("em_promocao").cast("string")))
         .write.option("header", True)
@@ -53,7 +53,11 @@ def write_csv(rows: DataFrame, path: str) -> bool:
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
     )
-    return True
+    if not spark.read.option("header", True).csv(path, schema="produto string").isEmpty():
+        return True
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return False
 
 
 def write_json(flyers: DataFrame, path: str) -> None:

@@ -214,10 +214,16 @@ def get_or_create_stores(
 
 
 def upsert_stores(
-    supermercados: DataFrame, incoming: DataFrame, now: dt.datetime, order: str = "ordem"
+    supermercados: DataFrame,
+    incoming: DataFrame,
+    now: dt.datetime,
+    order: str = "ordem",
+    numbered: DataFrame | None = None,
 ) -> DataFrame:
     """Insert stores, or overwrite ``rede`` where name, city and state all agree.
 
+    New ids continue after the largest in ``numbered``, by default in ``supermercados``.
+
     A NULL city or state never agrees with anything, so such rows are always
     added. Among several incoming rows of one store the last ``rede`` counts,
     also when it is NULL.
@@ -243,7 +249,7 @@ def upsert_stores(
         *keys, F.col("_rede").alias("rede"), order
     )
     always = incoming.where(~complete).select(*keys, "rede", order)
-    new = assign_ids(added.unionByName(always), supermercados, [F.col(order)])
+    new = assign_ids(added.unionByName(always), supermercados if numbered is None else numbered, [F.col(order)])
     return stored.unionByName(
         new.select("id", *keys, "rede", F.lit(now).cast("timestamp_ntz").alias("created_at"))
     )

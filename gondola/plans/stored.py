@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gondola import schemas
 from gondola.operators.categories import default_categories
+from gondola.operators.dimensions import upsert_stores
 from gondola.operators.duplicates import merge_choices, merge_stats, merged_products, move_prices, replacement_ids
 from gondola.operators.maintenance import update_flyer_log, update_products
 from gondola.plans.ingest import batch_summary, ingest
@@ -112,6 +113,28 @@ def _update(spark, base, name, updates, rule) -> int:
     return written
 
 
+def upsert_stored_stores(spark: SparkSession, base: str, incoming: DataFrame, now: dt.datetime, order: str = "ordem") -> int:
+    """``dimensions.upsert_stores`` on the stored stores; returns how many folders were written anew.
+
+    Folders without a store that comes in stay as they are; new stores get a folder of their own, and
+    ids that no store ever had.
+    """
+    change = Change(prepare(spark), base)
+    known = change.read("supermercados")
+    keys = ["nome", "cidade", "estado"]
+    with scratch(spark):
+        rows = stage(upsert_stores(known, incoming, now, order, change.last_id("supermercados")), "lojas")
+        met = stage(known.join(incoming.select(keys), keys, "left_semi").select("id"), "encontradas")
+        written = change.rewrite("supermercados", met, lambda old: rows.join(old.select("id"), "id", "left_semi"))
+        new = stage(rows.join(known.select("id"), "id", "left_anti"), "novas")
+        if not new.isEmpty():
+            change.append("supermercados", new)
+        elif not written:
+            return 0
+        change.commit()
+    return written
+
+
 def delete_rows(spark: SparkSession, base: str, **ids: DataFrame) -> int:
     """Delete products, stores, flyers or prices (table name -> rows with ``id``); prices go with what they name.
 

@@ -197,6 +197,23 @@ def test_updates_write_only_the_folders_they_change(spark, base):
     assert versions.read_version(spark, base).number == version
 
 
+def test_stores_are_inserted_or_updated_in_place(spark, base):
+    schema = "id bigint, nome string, cidade string, estado string, rede string"
+    write_table(spark.createDataFrame([(1, "A", "X", "SP", "r1"), (2, "B", "X", "SP", "r2")], schema), base, "supermercados")
+    write_table(spark.createDataFrame([(3, "C", "X", "SP", "r3"), (4, "D", None, "SP", "r4")], schema), base, "supermercados")
+    stored.delete_rows(spark, base, supermercados=spark.createDataFrame([(4,)], "id bigint"))
+    before = folders(spark, base, "supermercados")
+    rows = [("B", "X", "SP", "n2", 1), ("E", "X", "SP", "n5", 2), ("E", "X", "SP", None, 3), ("B", None, "SP", "n6", 4)]
+    incoming = spark.createDataFrame(rows, "nome string, cidade string, estado string, rede string, ordem int")
+    assert stored.upsert_stored_stores(spark, base, incoming, NOW) == 1
+    assert before[1] in folders(spark, base, "supermercados") and before[0] not in folders(spark, base, "supermercados")
+    found = {r.id: (r.nome, r.cidade, r.rede) for r in read_table(spark, base, "supermercados").collect()}
+    assert found == {1: ("A", "X", "r1"), 2: ("B", "X", "n2"), 3: ("C", "X", "r3"), 5: ("E", "X", None), 6: ("B", None, "n6")}
+    version = versions.read_version(spark, base).number
+    assert stored.upsert_stored_stores(spark, base, incoming.where("ordem < 0"), NOW) == 0
+    assert versions.read_version(spark, base).number == version
+
+
 def test_deleted_rows_stay_away_before_and_after_compaction(spark, base):
     write_table(products(spark, *((k, f"P{k}", None, k) for k in range(1, 7))), base, "produtos")
     write_table(prices(spark, *((k, k % 6 + 1, k % 3 + 1, k % 4 + 1, f"2025-1{k % 3}-01") for k in range(30)), (40, None, None, None, None)), base, "precos")

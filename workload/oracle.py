@@ -430,6 +430,7 @@ WHERE produto_id NOT IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')
   AND supermercado_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
   AND imagem_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
 """)
+SQL["store_upsert_stored"] = SQL["store_upsert"]
 SQL["flyer_log_update_stored"] = SQL["flyer_log_update"]
 SQL["product_update_stored"] = SQL["product_update"]
 SQL["cascade_delete_stored"] = SQL["cascade_delete_compacted"] = SQL["cascade_delete"]

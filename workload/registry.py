@@ -388,16 +388,28 @@ def store_get_or_create(spark, d):
     )
 
 
-@query
-def store_upsert(spark, d):
-    incoming = t.supermercados(spark, d).select(
+def _incoming_stores(spark, d):
+    return t.supermercados(spark, d).select(
         "nome", "cidade", "estado",
         F.when(F.col("id") % 7 != 0, F.concat(F.lit("Nova "), "rede")).alias("rede"),
         F.col("id").alias("ordem"),
     )
+
+
+@query
+def store_upsert(spark, d):
+    incoming = _incoming_stores(spark, d)
     return dimensions.upsert_stores(t.supermercados_existentes(spark, d), incoming, t.NOW).drop("created_at")
 
 
+@query
+def store_upsert_stored(spark, d):
+    base = scratch_path(t.prepare(spark), "tabelas")
+    write_table(t.supermercados_existentes(spark, d), base, "supermercados")
+    stored.upsert_stored_stores(spark, base, _incoming_stores(spark, d), t.NOW)
+    return read_table(spark, base, "supermercados").drop("created_at")
+
+
 def _log_updates(log):
     return log.where("status = 'pendente'").select(
         "id",

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.shared import keyed_text
+from gondola.llm.shared import keyed_text, worker_cache
 from gondola.session import stage
 
 # Before a space that a visible character follows, the tokenizer always begins a new piece.
@@ -93,14 +93,12 @@ class PieceIds:
             yield firsts[first] + b"".join(map(known, others))
 
 
-_encoders: dict[str, PieceIds] = {}
-
-
 def encoder(path: str) -> PieceIds:
     """One per worker process; tasks of the same worker share what is known."""
-    if path not in _encoders:
-        _encoders[path] = PieceIds(path, marks=True)
-    return _encoders[path]
+    known = worker_cache("packing")
+    if path not in known:
+        known[path] = PieceIds(path, marks=True)
+    return known[path]
 
 
 def pieces(

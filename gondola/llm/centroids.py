@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from gondola.session import scratch_path, stage
 
-# Components beyond this bound could make a squared distance of 64 components leave 64 bits.
-LARGEST = 1 << 27
+# Squared lengths up to this bound (just below 2**60) keep squared distances in 62 bits, components in 30.
+LONGEST = 1.1e18
 # More than what rounding can add to a bound or to a move (distances stay below 2**31).
 MARGIN = 1e-5
 STATE = "block long, clusters binary, heap_keys binary, heap_rows binary, heap_sizes array<int>, moved long, sums binary"
@@ -53,15 +53,15 @@ class Settings:
 def whole_vectors(vectors: DataFrame, settings: Settings, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(scale * x) of the vectors that take part, a row for each such row.
 
-    Vectors that are null, of another length, that hold null or non-finite components or one whose
-    integer is beyond LARGEST take no part. Null and repeated ids are rows like any other.
+    Vectors that are null, of another length, that hold null or non-finite components, or that are so
+    long that a distance might not fit in 64 bits (LONGEST) take no part. Null and repeated ids are rows
+    like any other.
     """
     x = F.col(f"`{column}`")
     scaled = F.transform(x, lambda c: F.floor(c.cast("double") * settings.scale))
-    sound = lambda c: (
-        c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double") * settings.scale) < float(LARGEST))
-    )
-    usable = x.isNotNull() & (F.size(x) == settings.components) & F.forall(x, sound)
+    # null with a null component; neither NaN nor infinity is below the bound
+    length = F.aggregate(x, F.lit(0.0), lambda a, c: a + (c.cast("double") * settings.scale) * (c.cast("double") * settings.scale))
+    usable = (F.size(x) == settings.components) & (length < LONGEST)
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.when(usable, scaled).alias("v"))
     return rows.where("v is not null")
 

@@ -125,7 +125,7 @@ def vector_rows(n, spread, components=4):
     rows = [(k, [float(np.float32(pick.gauss(k % 5, spread))) for _ in range(components)], "x", 1) for k in range(n)]
     rows += [rows[0], (None, rows[1][1], None, None), (7, [float("nan")] * components, "x", 1), (8, None, "x", 1)]
     rows += [(9, [1.0] * (components + 1), "x", 1), (10, [1.0] * (components - 1) + [None], "x", 1), (11, [float("inf")] * components, "x", 1)]
-    return rows + [(500 + k, [0.5] * components, "copy", 2) for k in range(40)] + [(600, [3e9] * components, "", 0)]
+    return rows + [(500 + k, [0.5] * components, "copy", 2) for k in range(40)] + [(600, [3e9] * components, "", 0), (601, [-9e5] + [0.0] * (components - 1), "", 0)]
 
 
 @pytest.mark.parametrize(("n", "spread", "k", "block"), [(300, 0.3, 5, 16), (300, 2.0, 8, 64), (60, 0.0, 8, 7), (3, 1.0, 8, 4)])
@@ -136,7 +136,8 @@ def test_clusters_equal_plain_rounds(spark, n, spread, k, block):
     found = centroids.cluster(vectors, settings)
     scaled = [
         (i, [int(np.floor(1024 * x)) for x in v]) for i, v, *_ in rows
-        if v is not None and len(v) == 4 and all(x is not None and np.isfinite(x) and abs(1024 * x) < centroids.LARGEST for x in v)
+        if v is not None and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v)
+        and sum((1024 * x) ** 2 for x in v) < centroids.LONGEST
     ]
     assigned, means = plain_lloyd(scaled, settings)
     assert sorted((str(r.vec_id), r.cluster, r.distance) for r in found.rows.collect()) == assigned

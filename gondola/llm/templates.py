@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions.skew import per_key
 from gondola.llm.html_blocks import BLOCKS, Element, elements, hash_subtrees, name_words, parse, tidy
+from gondola.llm.shared import release_memory
 from gondola.session import stage
 
 # Never part of an article.
@@ -50,10 +51,13 @@ class Settings:
     """A subtree is template when so many pages of its host, and so large a share of them, have it.
 
     Pages of a host with the same text, before any template is known, are copies and count as one.
+    Templates of all hosts up to ``broadcast_bytes`` are sent to the tasks that read the pages; beyond
+    that they are joined to the pages, which are shuffled for it.
     """
 
     min_pages: int = 3
     min_percent: float = 1.0
+    broadcast_bytes: int = 16 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -96,7 +100,8 @@ def page_hashes(pages: DataFrame) -> DataFrame:
 def templates(hashes: DataFrame, settings: Settings) -> DataFrame:
     """(host, hash) of the subtrees that recur across the pages of a host. Counted in part before any shuffle."""
     sizes = hashes.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    once = hashes.groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
+    # of copies with different surroundings that of the smallest tag, whatever order the rows come in
+    once = hashes.groupBy("host", "content").agg(F.min_by("hashes", "tag").alias("hashes"))
     counted = (
         once.select("host", F.explode("hashes").alias("hash"))
         .groupBy("host", "hash")
@@ -210,15 +215,21 @@ def _tops(found: list[Element], template: frozenset[int]) -> dict[int, list[Elem
     out: dict[int, list[Element]] = {}
     for level in range(NEVER):
         own = {e for e in found if vetoes[e] == level}
-        inner: set[Element] = set()
-        for e in found:  # page order: an outer one comes before those in it
-            if e in own:
-                up = e.parent
-                while up is not None and up not in own:
-                    up = up.parent
-                if up is not None:
-                    inner.add(e)
-        out[level] = [e for e in found if e in own and e not in inner]
+        inside: dict[Element, bool] = {}  # whether an element, or one around it, is of this level
+        tops = []
+        for e in found:
+            if e not in own:
+                continue
+            path, up = [], e.parent
+            while up is not None and up not in inside:
+                path.append(up)
+                up = up.parent
+            within = inside[up] if up is not None else False
+            for up in reversed(path):
+                inside[up] = within = within or up in own
+            if not within:
+                tops.append(e)
+        out[level] = tops
     return out
 
 
@@ -282,7 +293,42 @@ def extract(pages: DataFrame, settings: Settings | None = None) -> DataFrame:
     settings = settings or Settings()
     rows = pages.select("page_id", "url", "html")
     hashes = stage(page_hashes(rows), "page-hashes")
-    known = templates(hashes, settings)
+    known = stage(templates(hashes, settings), "templates")
+    held = known.agg(F.coalesce(F.sum(F.octet_length("host") + F.lit(16)), F.lit(0)).alias("n")).head().n
+    if held <= settings.broadcast_bytes:
+        return _with_sent_templates(rows, known)
+    return _with_joined_templates(rows, hashes, known)
+
+
+_TEXTS = "page_id long, url string, text string"
+
+
+def _with_sent_templates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages are read where they lie; ``known`` is within broadcast_bytes, see extract."""
+    of_host: dict[str, list[int]] = {}
+    for row in known.groupBy("host").agg(F.collect_list("hash").alias("hashes")).collect():
+        of_host[row.host] = row.hashes
+    sent = rows.sparkSession.sparkContext.broadcast(of_host)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, frozenset[int]] = {}
+        for batch in batches:
+            texts = []
+            for host, page in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
+                if host not in sets:
+                    if len(sets) >= 1000:
+                        sets.clear()
+                    sets[host] = frozenset(h % (1 << 64) for h in sent.value.get(host, ()))
+                texts.append(main_text(page or "", sets[host]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
+            )
+        release_memory()
+
+    return rows.withColumn("host", host_of(F.col("url"))).mapInArrow(run, _TEXTS)
+
+
+def _with_joined_templates(rows: DataFrame, hashes: DataFrame, known: DataFrame) -> DataFrame:
     each = hashes.select("host", "page_id", "tag", F.explode("hashes").alias("hash"))
     marked = each.join(per_key(known, "host", "hash"), ["host", "hash"])
     # rows of one id and html are alike, so one list serves them all
@@ -301,4 +347,4 @@ def extract(pages: DataFrame, settings: Settings | None = None) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
             )
 
-    return whole.mapInArrow(run, "page_id long, url string, text string")
+    return whole.mapInArrow(run, _TEXTS)

@@ -89,7 +89,13 @@ class Vocabulary:
             elif kind == USER_DEFINED:
                 self.pieces[text] = (len(text.encode()) * highest - 0.1, k)
         self.longest = max(map(len, self.pieces), default=1)
-        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        # characters lead from node to node; what a node has under None is the piece that ends there
+        self.tree: dict = {}
+        for text, piece in self.pieces.items():
+            node = self.tree
+            for character in text:
+                node = node.setdefault(character, {})
+            node[None] = piece
         # no piece goes over a space that follows another character, or over a line end
         self.breaks = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.line_breaks = not any("\n" in p for p in self.pieces)
@@ -136,22 +142,22 @@ class Viterbi:
         return out
 
     def _open(self, at: int) -> None:
-        text, pieces, prefixes, best = self.text, self.v.pieces, self.v.prefixes, self.best
-        base, single = best[at], False
-        for end in range(at + 1, min(len(text), at + self.v.longest) + 1):
-            part = text[at:end]
-            if part not in prefixes:
+        text, best, back = self.text, self.best, self.back
+        base, single, node = best[at], False, self.v.tree
+        for end in range(at, len(text)):
+            node = node.get(text[end])
+            if node is None:
                 break
-            found = pieces.get(part)
+            found = node.get(None)
             if found is not None:
-                single = single or end == at + 1
-                score = base + found[0]
-                if best[end] is None or score > best[end]:
-                    best[end], self.back[end] = score, (at, found[1])
+                single = single or end == at
+                score, known = base + found[0], best[end + 1]
+                if known is None or score > known:
+                    best[end + 1], back[end + 1] = score, (at, found[1])
         if not single:
             score = base + self.v.unknown_score
             if best[at + 1] is None or score > best[at + 1]:
-                best[at + 1], self.back[at + 1] = score, (at, -1)
+                best[at + 1], back[at + 1] = score, (at, -1)
 
     def _certain(self, at: int) -> int:
         """The last boundary on the best paths to all positions a piece may still reach or start from."""

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from gondola.functions.skew import per_key
 from gondola.llm.filters import positions
-from gondola.llm.shared import WordHashes, as_signed, join_hashes, lower_ascii, split_words, text_bytes
+from gondola.llm.shared import (
+    WordHashes, as_signed, join_hashes, lower_ascii, release_memory, split_words, text_bytes, worker_cache,
+)
 from gondola.session import stage
 
 END, BEGIN = np.uint64(0x5EED0E0D), np.uint64(0x5EEDBE61)  # hashes of the two marks no word is
@@ -34,11 +36,12 @@ NO_ID = -(1 << 63)
 class Settings:
     bits_per_key: float = 8.0
     unigram_base: float = 1.1  # ratio of neighbouring levels
-    bigram_base: float = 2.0
+    bigram_base: float = 1.5
     prior: float = 2.0  # weight of the unigram estimate, in counts
     broadcast_bytes: int = 96 << 20
     part_bytes: int = 32 << 20  # text per part of the hash space
-    task_tokens: int = 2_000_000  # tokens a task counts before it sends blocks
+    task_tokens: int = 1_500_000  # tokens a task counts before it sends blocks
+    task_words: int = 200_000  # different words a task remembers
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -61,11 +64,11 @@ def level_of(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def count_of(levels: np.ndarray, base: float) -> np.ndarray:
-    """The middle of a level's counts; 0 for level 0."""
+def span_of(levels: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest count of a level; 0 and 0 for level 0."""
     low = np.ceil(base ** (levels - 1.0) - 1e-9)
     high = np.maximum(low, np.ceil(base**levels * 1.0 - 1e-9) - 1)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+    return np.where(levels > 0, low, 0.0), np.where(levels > 0, high, 0.0)
 
 
 def level_keys(grams: np.ndarray, level: int) -> np.ndarray:
@@ -117,8 +120,8 @@ class LeveledFilter:
             out[left] = level
         return out
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        return count_of(self.levels(grams), self.base)
+    def at_least(self, grams: np.ndarray) -> np.ndarray:
+        return span_of(self.levels(grams), self.base)[0]
 
 
 class _OnePart(LeveledFilter):
@@ -303,7 +306,8 @@ def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id"
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ones, twos, held = WordHashes(), [], [], 0
+        worker_cache("language-model")
+        hashes, ones, twos, held = WordHashes(settings.task_words), [], [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -318,6 +322,8 @@ def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id"
         if held:
             yield block(1, np.concatenate(ones))
             yield block(2, np.concatenate(twos))
+        del hashes, ones, twos
+        release_memory()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, grams, counts = None, [], []
@@ -337,6 +343,8 @@ def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id"
                 counts.append(c)
         if now:
             yield out()
+        del grams, counts
+        release_memory()
 
     kinds = pa.schema(
         [("kind", pa.int32()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()),
@@ -356,24 +364,24 @@ def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id"
 class _Lexicon:
     """Numbers of the words met so far by this task; asks the broadcasts once per word."""
 
-    def __init__(self, ones: LeveledFilter, exact: tuple, limit: int = 400_000):
+    def __init__(self, ones: LeveledFilter, exact: tuple, limit: int):
         self.ones, self.exact, self.limit = ones, exact, limit
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.hash = self.about = self.known = np.empty(0)
+        self.hash = self.level = self.known = np.empty(0)
         self.add([None])  # number 0 is the end
 
     def add(self, words: list[bytes | None]) -> None:
         hashes = WordHashes()
         own = np.array([int(END) if w is None else hashes[w] for w in words], np.uint64)
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        about = self.ones.counts(own)
+        level = self.ones.levels(own)
         known = _looked_up(own, *self.exact)
         first = not len(self.hash)
         self.hash = own if first else np.concatenate([self.hash, own])
-        self.about = about if first else np.concatenate([self.about, about])
+        self.level = level if first else np.concatenate([self.level, level])
         self.known = known if first else np.concatenate([self.known, known])
 
     def numbers(self, words: list[list[bytes]]) -> np.ndarray:
@@ -395,12 +403,15 @@ class _Lexicon:
 def _scores(rows: DataFrame, model: Model, shard: list[int], lexicon: Callable) -> DataFrame:
     """n_tokens, the model's log10 probability of the tokens in ``shard``, and the base score.
 
-    ``lexicon()`` gives a function from a batch to its tokens' hashes, counts by level and exact counts, and the
+    p(word | context) = (pairs + prior * p(word)) / (context + prior), p(word) = (count + 0.1) / (N + 0.1 (V + 1)):
+    pairs and count by the smallest of their level, the context by the largest of its level. So the words
+    that may follow a context never have more than all probability, but for false hits of the filter.
+    ``lexicon()`` gives a function from a batch to its tokens' hashes, levels and exact counts, and the
     tokens of each text.
     """
     twos = rows.sparkSession.sparkContext.broadcast(model.filter(2, shard))
     total, types, documents, part_bits = model.tokens, model.types, model.documents, model.part_bits
-    prior = model.settings.prior
+    prior, unigram_base = model.settings.prior, model.settings.unigram_base
     below = total + 0.1 * (types + 1)
     owned = np.zeros(1 << part_bits, np.bool_)
     owned[shard] = True
@@ -410,15 +421,16 @@ def _scores(rows: DataFrame, model: Model, shard: list[int], lexicon: Callable)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat, about, known, lengths = look_up(batch)
+            flat, levels, known, lengths = look_up(batch)
             firsts = np.cumsum(lengths) - lengths
-            before = np.empty_like(about)
-            before[1:] = about[:-1]
+            low, high = span_of(np.arange(levels.max(initial=0) + 1), unigram_base)
+            before = np.empty(len(flat))
+            before[1:] = high[levels[:-1]]
             before[firsts] = documents
             grams = _short(join_hashes(_contexts(flat, lengths), flat), part_bits)
             here = np.flatnonzero(owned[twos.value.part(grams)])
-            pairs = np.minimum(twos.value.counts(grams[here]), before[here])
-            single = (about[here] + 0.1) / below
+            pairs = np.minimum(twos.value.at_least(grams[here]), before[here])
+            single = (low[levels[here]] + 0.1) / below
             logs = np.zeros(len(flat))
             logs[here] = np.log10((pairs + prior * single) / (before[here] + prior))
             base = np.log10((known + 0.1) / below)
@@ -431,6 +443,8 @@ def _scores(rows: DataFrame, model: Model, shard: list[int], lexicon: Callable)
                 ],
                 names=["id", "tag", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
+        del look_up
+        release_memory()
 
     schema = "id long, tag long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return rows.mapInArrow(run, schema)
@@ -439,15 +453,17 @@ def _scores(rows: DataFrame, model: Model, shard: list[int], lexicon: Callable)
 def _by_broadcast(rows: DataFrame, model: Model) -> Callable:
     context = rows.sparkSession.sparkContext
     ones, vocabulary = context.broadcast(model.filter(1)), context.broadcast(model.vocabulary())
+    task_words = model.settings.task_words
 
     def lexicon() -> Callable:
-        words_met = _Lexicon(ones.value, vocabulary.value)
+        worker_cache("language-model")
+        words_met = _Lexicon(ones.value, vocabulary.value, task_words)
 
         def look_up(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             words = [split_words(lower_ascii(t)) for t in text_bytes(batch.column(3))]
             numbers = words_met.numbers(words)
             lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            return words_met.hash[numbers], words_met.about[numbers], words_met.known[numbers], lengths
+            return words_met.hash[numbers], words_met.level[numbers], words_met.known[numbers], lengths
 
         return look_up
 
@@ -485,11 +501,11 @@ def _with_words(rows: DataFrame, model: Model) -> DataFrame:
     return rows.join(per_key(words, "id", "tag"), ["id", "tag"]).select("id", "tag", "held_out", "text", "words")
 
 
-def _by_join(base: float) -> Callable:
+def _by_join(task_words: int) -> Callable:
     """For rows of _with_words."""
 
     def lexicon() -> Callable:
-        hashes = WordHashes()
+        hashes = WordHashes(task_words)
 
         def look_up(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             flat, lengths = _flat(text_bytes(batch.column(3)), hashes)
@@ -503,7 +519,7 @@ def _by_join(base: float) -> Callable:
             for n, size in zip(lengths, sizes):
                 place[at : at + n] = start + np.searchsorted(grams[start : start + size], own[at : at + n])
                 at, start = at + n, start + size
-            return flat, count_of(levels, base)[place], counts[place], lengths
+            return flat, levels[place], counts[place], lengths
 
         return look_up
 
@@ -520,7 +536,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     if max(model.vocabulary_bytes(), model.unigram_bytes) <= model.settings.broadcast_bytes:
         lexicon = _by_broadcast(rows, model)
     else:
-        rows, lexicon = stage(_with_words(rows, model), "document-words"), _by_join(model.settings.unigram_base)
+        rows, lexicon = stage(_with_words(rows, model), "document-words"), _by_join(model.settings.task_words)
     shards = model.shards()
     out = _scores(rows, model, shards[0], lexicon)
     if len(shards) > 1:

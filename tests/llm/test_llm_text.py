@@ -1,3 +1,4 @@
+import collections
 import re
 import zlib
 
@@ -76,6 +77,7 @@ def test_license_scan(spark):
         "released under a license; all rights reserved; ALL RIGHTS RESERVED",
         "Permission is hereby granted, free of charge, to any person obtaining a copy",
         "K is the Kelvin sign; mit licenİce; GPLv3 gpl 2",
+        "under the GNU General Public License, or (at your option) any later version, thanks",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in licenses.scan(docs).collect():
@@ -91,16 +93,39 @@ def test_license_scan(spark):
     found = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
     assert "Apache-2.0" in found[len(h.rows())] and found[len(h.rows()) + 1] == ["MIT"]
     assert "LGPL-2.1" in found[len(h.rows()) + 2]
+    last = [r for r in licenses.scan(docs).collect() if r.doc_id == len(texts) - 1][0]
+    assert ("GPL", 2, 13) in [(d.label, d.start, d.end) for d in last.detections]
     assert licenses.scan(h.empty(spark)).collect() == []
 
 
+def most_spaces(parsed):
+    """How many spaces a match can hold at most."""
+    total = 0
+    for op, value in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            total += value == ord(" ")
+        elif kind == "NOT_LITERAL":
+            total += value != ord(" ")
+        elif kind == "IN":
+            total += any((str(o), v) == ("LITERAL", 32) or str(o) == "RANGE" and v[0] <= 32 <= v[1] for o, v in value)
+        elif kind == "BRANCH":
+            total += max(map(most_spaces, value[1]))
+        elif kind == "SUBPATTERN":
+            total += most_spaces(value[-1])
+        elif kind == "MAX_REPEAT":
+            one = most_spaces(value[2])
+            total += one * int(value[1]) if one else 0
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+    return total
+
+
 def test_rules_are_many_and_short_enough():
     found = license_rules.rules()
     assert len(found) >= 200
     assert len({r.number for r in found}) == len(found)
-    for rule in found:
-        longest = sum(1 + x.count(" ") for x in re.findall(r"[^|]+", rule.regex))
-        assert re.compile(rule.regex) and longest < 400
+    assert max(most_spaces(re._parser.parse(rule.regex)) + 1 for rule in found) <= license_rules.MAX_MATCH_WORDS
 
 
 @pytest.mark.parametrize("bound", [1 << 20, 300])
@@ -169,11 +194,52 @@ def test_language_model_without_rows(spark):
 
 def test_levels_keep_small_counts():
     counts = np.arange(1, 2000)
-    for base in (2.0, 1.1):
-        levels = language_model.level_of(counts, base)
-        back = language_model.count_of(levels, base)
-        assert levels[0] == 1 and back[0] == 1
-        assert (np.abs(back - counts) <= counts * (base - 1) / 2 + 1).all()
+    for base in (2.0, 1.5, 1.1):
+        low, high = language_model.span_of(language_model.level_of(counts, base), base)
+        assert low[0] == high[0] == 1
+        assert ((low <= counts) & (counts <= high) & (high - low <= counts * (base - 1) + 1)).all()
+    assert [x.tolist() for x in language_model.span_of(np.array([0]), 2.0)] == [[0], [0]]
+
+
+def plain_model(rows, settings):
+    """p(word, context) from plain counts of the training rows, quantised as the filter's levels are; None is the end and the begin."""
+    ones, twos, documents = collections.Counter(), collections.Counter(), 0
+    for doc_id, text in rows:
+        if zlib.crc32(str(doc_id).encode()) % 10:
+            tokens = [*h.words(h.lower(text)), None]
+            ones.update(tokens)
+            twos.update(zip([None, *tokens[:-1]], tokens))
+            documents += 1
+    below = sum(ones.values()) + 0.1 * (len(ones) + 1)
+
+    def span(count, base):
+        return [x.item() for x in language_model.span_of(language_model.level_of(np.array([count]), base) if count else np.array([0]), base)]
+
+    def p(word, context):
+        seen = documents if context is None else span(ones[context], settings.unigram_base)[1]
+        single = (span(ones[word], settings.unigram_base)[0] + 0.1) / below
+        return (min(seen, span(twos[context, word], settings.bigram_base)[0]) + settings.prior * single) / (seen + settings.prior)
+
+    return p, ones
+
+
+@pytest.mark.parametrize("bound", [1 << 24, 20_000])
+def test_model_score_equals_plain_counts(spark, bound):
+    """With bits enough to exclude false hits; and what may follow a context never exceeds 1."""
+    draw = np.random.default_rng(8)
+    ranks = (draw.pareto(0.9, (250, 40)) * 3).astype(int) % 180
+    rows = [(k, " ".join(f"W{x}" for x in r[: k % 41])) for k, r in enumerate(ranks.tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    settings = language_model.Settings(bits_per_key=200, broadcast_bytes=bound)
+    found = {r.doc_id: r.score for r in language_model.score(docs, language_model.train(docs, settings)).collect()}
+    p, ones = plain_model(rows, settings)
+    for doc_id, text in rows:
+        tokens = [*h.words(h.lower(text)), None]
+        plain = sum(np.log10(p(w, c)) for c, w in zip([None, *tokens[:-1]], tokens))
+        assert found[doc_id] == pytest.approx(plain, rel=1e-9)
+    words = [*ones, "no such word"]
+    sums = [sum(p(w, c) for w in words) for c in ones]
+    assert max(sums) <= 1 + 1e-9 and min(sums) > 0.3
 
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")

@@ -132,3 +132,19 @@ def test_hot_name_is_split_in_merge(spark, split_hot_keys):
     )
     assert {r.produto1_id: r.n for r in links.collect()}[0] == 99_999
     assert "skew=true" in plan_of(links)
+
+
+def test_store_default_makes_the_answers_once(spark):
+    assert plan_of(QUERIES["store_default"](spark, SF_DIR)).count("lineitem.parquet") == 1
+
+
+def test_lines_go_to_their_order_as_columns(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(t.respostas(spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [m.start() for m in re.finditer(r"Exchange hashpartitioning\(l_orderkey", plan)]
+    assert len(shuffles) == 1 and "StructsToJson" in plan[: shuffles[0]]
+    assert "StructsToJson" not in plan[shuffles[0] :]  # below: on the way to the order

@@ -180,16 +180,14 @@ def optional_fields(spark, d):
 
 @query
 def store_default(spark, d):
-    flyers = t.respostas(spark, d)
-    own = answers.read_header(answers.parse_answers(flyers))
-    given = answers.read_header(answers.parse_answers(flyers), override="Campeão")
+    own = answers.read_header(answers.parse_answers(t.respostas(spark, d))).select("dados", F.col("loja").alias("resposta"))
+    # on top of the first reading, so the answers are made and parsed once
+    both = answers.read_header(own, override="Campeão").select("resposta", F.col("loja").alias("manual"))
     return (
-        own.groupBy("loja")
+        both.select(F.stack(F.lit(2), F.lit("resposta"), "resposta", F.lit("manual"), "manual").alias("origem", "loja"))
+        .groupBy("origem", "loja")
         .agg(F.count("*").alias("panfletos"))
-        .withColumn("origem", F.lit("resposta"))
-        .unionByName(
-            given.groupBy("loja").agg(F.count("*").alias("panfletos")).withColumn("origem", F.lit("manual"))
-        )
+        .select("loja", "panfletos", "origem")
     )
 
 

@@ -239,12 +239,12 @@ def respostas(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("unidade"),
         (1 - F.col("l_discount").cast("decimal(3,2)")).cast("decimal(3,2)").alias("confianca"),
     )
-    # shuffled by order while the rows are still narrow; the grouping below reuses it
+    # the narrow join comes first, and the rows go to their order as columns: they are wider as JSON
     lines = (
         read(spark, sf_dir, "lineitem")
-        .repartition("l_orderkey")
-        .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .repartition("l_orderkey")
         .select("l_orderkey", F.struct(*line, F.to_json(product).alias("json"), "s_name", "p_name").alias("linha"))
         .groupBy("l_orderkey")
         .agg(F.array_sort(F.collect_list("linha")).alias("linhas"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gondola.operators import dimensions, duplicates, reports
 from gondola.session import prepare
+from workload import registry
 from workload import tables as t
 from workload.registry import QUERIES
 
@@ -148,3 +149,24 @@ def test_lines_go_to_their_order_as_columns(spark):
     shuffles = [m.start() for m in re.finditer(r"Exchange hashpartitioning\(l_orderkey", plan)]
     assert len(shuffles) == 1 and "StructsToJson" in plan[: shuffles[0]]
     assert "StructsToJson" not in plan[shuffles[0] :]  # below: on the way to the order
+
+
+def test_waiting_answer_files_grow_with_the_tasks(spark, monkeypatch):
+    class Taken(Exception):
+        pass
+
+    def take(spark, path, *_, files_per_batch):
+        raise Taken(len(spark.read.parquet(path).inputFiles()), files_per_batch)
+
+    monkeypatch.setattr(registry, "start_ingest", take)
+    for partitions, coalesced, files in (("12", "false", 12), ("1", "true", 4)):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        try:
+            with pytest.raises(Taken) as taken:
+                QUERIES["ingest_incremental"](spark, SF_DIR)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert taken.value.args == (files, files // 2)

@@ -550,9 +550,12 @@ def batch_summary(spark, d):
 def ingest_incremental(spark, d):
     t.prepare(spark)
     root = scratch_path(spark, "incremental")
-    t.respostas(spark, d).repartition(4, "caminho_arquivo").write.parquet(f"{root}/respostas")
+    # four files at least, and one per task where there are more tasks: files and reading tasks grow with the input
+    most = max(1, -(-t.read(spark, d, "orders").count() // 4))
+    t.respostas(spark, d).write.option("maxRecordsPerFile", most).parquet(f"{root}/respostas")
+    files = len(spark.read.parquet(f"{root}/respostas").inputFiles())
     start_ingest(
-        spark, f"{root}/respostas", f"{root}/tabelas", f"{root}/pontos", t.NOW, files_per_batch=2
+        spark, f"{root}/respostas", f"{root}/tabelas", f"{root}/pontos", t.NOW, files_per_batch=max(1, -(-files // 2))
     ).awaitTermination()
     return _price_sums(spark, f"{root}/tabelas")
 

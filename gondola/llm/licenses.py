@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from gondola.functions.columns import compute_once
 from gondola.llm.license_rules import BASE_PHRASES, MAX_MATCH_WORDS, TRIGGERS, Rule, rules
 
-# Words of lower-cased text, and the same with capitals still in it.
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+def _run_of(characters: str) -> str:
+    """A run of ASCII characters, listed one by one: Java then tests a character by one look-up in a table."""
+    return "[" + "".join(f"\\x{ord(c):02X}" for c in characters) + "]+"
+
+
+# Between the words of lower-cased text, and the same with capitals still in it.
+NOT_WORD = _run_of("".join(c for c in map(chr, range(128)) if not c.isdigit() and not c.islower()))
+ANY_CASE_NOT_WORD = _run_of("".join(c for c in map(chr, range(128)) if not c.isalnum()))
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK = "\u0001"  # not a word character, so never in the words themselves
 WEIGHTS = {4: 1.0, 3: 0.9, 2: 0.7, 1: 0.4}  # how sure a form of mention is
@@ -69,7 +74,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", found: list[R
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     rows = compute_once(
         rows,
-        n_words=F.regexp_count("t", F.lit(ANY_CASE_WORD)).cast("long"),
+        # with a space at both ends there is one gap more than words
+        n_words=(F.regexp_count(F.concat(F.lit(" "), "t", F.lit(" ")), F.lit(ANY_CASE_NOT_WORD)) - 1).cast("long"),
         # one space before, between and after the words, only where a rule may match
         words=F.when(
             trigger,

@@ -14,9 +14,9 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,6 +28,7 @@ from gondola.session import stage
 # Before a space that a visible character follows, the tokenizer always begins a new piece.
 CUT = re.compile(r" (?=\S)")
 ODD = re.compile(r" (?:\s|\Z)")  # where a plain split at spaces would cut elsewhere
+SPACE = "\u0120"  # how a space is written in the names of byte-level tokens
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,9 @@ class Choice:
 class PieceIds:
     """Token ids of texts as little-endian bytes, by what is known of the parts between spaces.
 
-    Only parts that are new reach the tokenizer; the store starts afresh when full. With ``marks`` the
-    names of special tokens in a text become their ids, as by default in the tokenizer; else they are plain text.
+    Only parts that are new reach the tokenizer, those of a text in one call; the store starts afresh when full.
+    With ``marks`` the names of special tokens in a text become their ids, as by default in the tokenizer; else they
+    are plain text.
     """
 
     def __init__(self, tokenizer_path: str, limit: int = 1_000_000, marks: bool = False):
@@ -66,6 +68,9 @@ class PieceIds:
         # what the tokenizer takes out of a text before all else changes how spaces beside it are cut
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if marks or not t.special]
         self.taken = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.with_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.with_space[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.limit = limit
         self.parts: dict[str, bytes] = {}
 
@@ -78,19 +83,30 @@ class PieceIds:
             return [text]
         return CUT.split(text) if ODD.search(text) else text.split(" ")
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of parts that follow a space. Every part has a token that begins with its space, most have no other."""
+        (data,) = self.ids([" " + " ".join(fresh)])
+        starts = 4 * np.flatnonzero(self.with_space[np.frombuffer(data, "<u4")])
+        if len(starts) == len(fresh):
+            ends = [*starts[1:].tolist(), len(data)]
+            self.parts.update(zip(fresh, [data[i:j] for i, j in zip(starts.tolist(), ends)]))
+        else:  # spaces inside a part: not to be told from those between parts
+            self.parts.update(zip(fresh, self.ids([" " + p for p in fresh])))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        firsts = []
         cut = [self._cut(t) for t in texts]
-        firsts = list({c[0] for c in cut})
-        firsts = dict(zip(firsts, self.ids(firsts)))
-        rest = set().union(*(c[1:] for c in cut))
-        fresh = list(rest - self.parts.keys())
-        if len(self.parts) + len(fresh) > self.limit:
-            self.parts.clear()
-            fresh = list(rest)
-        self.parts.update(zip(fresh, self.ids([" " + p for p in fresh])))
-        known = self.parts.__getitem__
-        for first, *others in cut:
-            yield firsts[first] + b"".join(map(known, others))
+        for c in cut:
+            firsts.append(c[0])
+            del c[0]
+        for first, rest in zip(self.ids(firsts), cut):
+            fresh = list(set(filterfalse(self.parts.__contains__, rest)))
+            if len(self.parts) + len(fresh) > self.limit:
+                self.parts.clear()
+                fresh = list(set(rest))
+            if fresh:
+                self._learn(fresh)
+            yield first + b"".join(map(self.parts.__getitem__, rest))
 
 
 def encoder(path: str) -> PieceIds:
@@ -101,6 +117,12 @@ def encoder(path: str) -> PieceIds:
     return known[path]
 
 
+def _lists(lengths: list[int], ids: bytes) -> pa.Array:
+    """Ids as lists of these lengths, one after the other."""
+    ends = pa.array(np.cumsum([0, *lengths]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(ids, "<i4")))
+
+
 def pieces(
     docs: DataFrame,
     tokenizer_path: str,
@@ -123,26 +145,26 @@ def pieces(
         known = encoder(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
+            all_ids = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode(texts)):
                 ids += end
                 n = len(ids) // 4
                 at, number = 0, 0
                 while at < n:
                     length = n % size or size if at == 0 else size
-                    part = ids[4 * at : 4 * (at + length)]
-                    row = (doc_id, number, at, length, zlib.crc32(part))
+                    row = (doc_id, number, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]))
                     for column, value in zip(out, row):
                         column.append(value)
-                    if with_ids:
-                        out[5].append(np.frombuffer(part, "<u4").astype(np.int32))
                     at, number = at + length, number + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                if with_ids:
+                    all_ids.append(ids)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(out, kinds)]
+            if with_ids:
+                columns.append(_lists(out[3], b"".join(all_ids)))
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            n_columns = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out[:n_columns], kinds)], names=list(names[:n_columns])
-            )
+            yield pa.RecordBatch.from_arrays(columns, names=list(names[: len(columns)]))
 
     return keyed_text(docs, key, text).mapInArrow(run, schema)
 
@@ -213,16 +235,23 @@ def pack(
     groups = max(1, math.ceil(cut.count() / group_rows))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(frames)  # group_rows rows
-        if not frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)  # group_rows rows
+        if not batches:
             return
-        rows = pd.concat(frames, ignore_index=True)
-        bins, offsets = best_fit(rows["length"].to_numpy(np.int64), capacity, choice)
-        first = TaskContext.get().partitionId() << 32
-        yield rows.assign(sequence_id=first + bins, offset=offsets)
+        lengths = np.concatenate([b.column("length").to_numpy() for b in batches])
+        bins, offsets = best_fit(lengths, capacity, choice)
+        bins += TaskContext.get().partitionId() << 32
+        at = 0
+        for batch in batches:
+            rows = slice(at, at + batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(bins[rows]), pa.array(offsets[rows])],
+                names=[*batch.schema.names, "sequence_id", "offset"],
+            )
+            at += batch.num_rows
 
-    return cut.repartition(groups).mapInPandas(run, schema + ", sequence_id long, offset long")
+    return cut.repartition(groups).mapInArrow(run, schema + ", sequence_id long, offset long")
 
 
 def summary(packed: DataFrame, capacity: Capacity | None = None) -> DataFrame:

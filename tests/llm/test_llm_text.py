@@ -282,6 +282,22 @@ def test_piece_ids_are_the_tokenizers(text):
     assert found == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_parts_of_a_text_reach_the_tokenizer_in_one_call():
+    known = packing.PieceIds(PATH, limit=8)
+    texts = ["a b c d", "b c d e a", "x  y z", "z it's", "k l m n o p q r s t"]
+    asked, plain = [], known.ids
+
+    def ids(pieces):
+        asked.append(pieces)
+        return plain(pieces)
+
+    known.ids = ids
+    assert list(known.encode(texts)) == list(plain(texts))
+    assert asked[0] == ["a", "b", "x ", "z", "k"]
+    assert [sorted(p.split()) for p, in asked[1:3]] == [["b", "c", "d"], ["a", "e"]]
+    assert len(known.parts) == 9  # of the text that alone exceeds the limit
+
+
 MARKED = ["see <|endoftext|> x", "a  <|endoftext|>", "<|endoftext|>  b c", "no mark  here", "x<|endoftext|>y \n <|endoftext|>", "<|endoftext"]
 
 

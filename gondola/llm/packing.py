@@ -236,6 +236,7 @@ def pack(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("best-fit")  # lets go of the parts the encoder knows
         batches = list(batches)  # group_rows rows
         if not batches:
             return

@@ -49,10 +49,9 @@ def src_folder_inventory(spark, d):
 
 @query
 def src_folder_listing(spark, d):
-    """A real folder of the manifest's files: extensions of all kinds and cases, and a sub-folder to be left out."""
-    folder = scratch_path(t.prepare(spark), "panfletos")
-    t.write_files(t.arquivos(spark, d), folder)
-    return images.list_folder(spark, folder).select("nome_arquivo", F.col("length").alias("tamanho"))
+    """Real folders of the manifest's files, one portion at a time: extensions of all kinds and cases, and a sub-folder to be left out."""
+    found = t.listed_files(t.prepare(spark), t.arquivos(spark, d))
+    return found.select("nome_arquivo", F.col("length").alias("tamanho"))
 
 
 @query

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gondola import session
 from gondola.operators.categories import default_categories, resolve_category
 from gondola.operators.dimensions import with_normalized_name
+from gondola.session import scratch, scratch_path
+from gondola.sources.images import file_name, list_folder
 from workload.scratch import ensure
 
 
@@ -202,20 +204,48 @@ def write_files(manifest: DataFrame, folder: str) -> None:
     Each file holds its own name. Tasks write them through the store of the folder, which all see.
     """
 
-    def write(rows) -> None:
+    def place():
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         store.create_dir(f"{root}/depois", recursive=True)
+        return store, root
+
+    def write(rows) -> None:
+        store, root = place()
         for row in rows:
             name = row.caminho_arquivo.rsplit("/", 1)[1]
-            place = root if row.caminho_arquivo < "/flyers/1998" else f"{root}/depois"
-            with store.open_output_stream(f"{place}/{name}") as out:
+            where = root if row.caminho_arquivo < "/flyers/1998" else f"{root}/depois"
+            with store.open_output_stream(f"{where}/{name}") as out:
                 out.write(name.encode())
 
+    place()  # also without rows
     manifest.foreachPartition(write)
 
 
+def listed_files(spark: SparkSession, manifest: DataFrame, portion_files: int = 50_000) -> DataFrame:
+    """What ``list_folder`` finds of the manifest's files, made real and listed some ``portion_files`` at a time.
+
+    A small file takes a whole block of disk, so the files of a portion go once their listing is written:
+    the disk they take does not grow with the manifest. The manifest is dealt to its portions once.
+    """
+    portions = max(1, -(-manifest.count() // portion_files))
+    root = scratch_path(spark, "panfletos")
+    # by the name in the folder: rows that name the same file share its portion
+    portion = F.pmod(F.xxhash64(file_name(F.col("caminho_arquivo"))), F.lit(portions))
+    dealt = manifest.select("caminho_arquivo", portion.alias("porcao"))
+    dealt.repartition("porcao").write.partitionBy("porcao").parquet(f"{root}/porcoes")
+    dealt = spark.read.schema("caminho_arquivo string, porcao long").parquet(f"{root}/porcoes")
+    tasks = spark.sparkContext.defaultParallelism
+    for k in range(portions):
+        with scratch(spark):
+            folder = scratch_path(spark, "porcao")
+            write_files(dealt.where(F.col("porcao") == k).select("caminho_arquivo").repartition(tasks), folder)
+            found = list_folder(spark, folder).select("nome_arquivo", "length")
+            found.coalesce(tasks).write.mode("append").parquet(f"{root}/lista")
+    return spark.read.schema("nome_arquivo string, length long").parquet(f"{root}/lista")
+
+
 def respostas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model answer per order: its lines are the products of the flyer.
 

@@ -6,8 +6,9 @@ Tasks count their own rows first and send one sorted block per part of the hash
 is merged, quantised and turned into filter bits by one task. The bigrams' filter is broadcast in
 shards of at most ``Settings.broadcast_bytes``; a token's bigram lies in one shard, so the sums of
 several passes add up. The unigrams' filter and their exact counts, which answer the base score, are
-broadcast where each is within the same bound; beyond it they are joined to the distinct words of
-each document, with equal results.
+broadcast where each is within the same bound. Beyond it the most frequent types are broadcast, as many
+as the bound holds, and texts are written once as numbers of types; what the filter and the counts say
+of the rarer words is joined to the documents that hold them. Results are equal.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from gondola.llm.filters import positions
 from gondola.llm.shared import (
     WordHashes, as_signed, join_hashes, lower_ascii, release_memory, split_words, text_bytes, worker_cache,
 )
-from gondola.session import stage
+from gondola.session import scratch, scratch_path, stage
 
 END, BEGIN = np.uint64(0x5EED0E0D), np.uint64(0x5EEDBE61)  # hashes of the two marks no word is
 NO_ID = -(1 << 63)
@@ -216,6 +219,56 @@ class Model:
             grams[place], counts[place] = np.frombuffer(row.grams, np.uint64), np.frombuffer(row.counts, np.uint64)
         return grams, counts
 
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes, levels in the filter and counts of the most frequent types, within broadcast_bytes.
+
+        All types with a count of some level and above: those of the next level do not all fit.
+        """
+        base, ones = self.settings.unigram_base, self.parts.where("kind = 1").select("part", "bits", "grams", "counts")
+
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    levels, n = np.unique(level_of(np.frombuffer(held, np.uint64), base), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(n), part, np.int32)), pa.array(levels), pa.array(n)], names=["part", "level", "n"]
+                    )
+
+        known = ones.select("part", "counts").mapInArrow(sizes, "part int, level long, n long")
+        per_type = 8 + 2 + np.dtype(self._count_type()).itemsize
+        held, least = 0, None
+        for row in sorted(known.groupBy("level").agg(F.sum("n").alias("n")).collect(), reverse=True):
+            if (held + row.n) * per_type > self.settings.broadcast_bytes:
+                break
+            held, least = held + row.n, row.level
+        grams, levels, counts = np.empty(held, np.uint64), np.empty(held, np.uint16), np.empty(held, self._count_type())
+        if least is None:
+            return grams, levels, counts
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, bits, own, n in zip(*(x.to_pylist() for x in batch.columns)):
+                    n = np.frombuffer(n, np.uint64)
+                    often = level_of(n, base) >= least
+                    own = np.frombuffer(own, np.uint64)[often]
+                    found = own, _OnePart(bits, base).levels(own).astype(np.uint16), n[often]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in found)],
+                        names=["part", "grams", "levels", "counts"],
+                    )
+
+        inner = known.where(F.col("level") >= least).groupBy("part").agg(F.sum("n").alias("n"))
+        ends, at = {}, 0
+        for part, n in sorted(map(tuple, inner.collect())):
+            ends[part] = at = at + n
+        for row in ones.mapInArrow(chosen, "part int, grams binary, levels binary, counts binary").toLocalIterator():
+            n = len(row.grams) // 8
+            if n:
+                place = slice(ends[row.part] - n, ends[row.part])
+                grams[place], levels[place] = np.frombuffer(row.grams, np.uint64), np.frombuffer(row.levels, np.uint16)
+                counts[place] = np.frombuffer(row.counts, np.uint64)
+        return grams, levels, counts
+
     def unigrams_of(self, asked: DataFrame) -> DataFrame:
         """gram, level in the filter and exact count for the distinct hashes ``asked`` (column gram), part by part."""
         base = self.settings.unigram_base
@@ -361,55 +414,51 @@ def train(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id"
     return Model(parts, part_bits, *(int(x or 0) for x in known), settings)
 
 
-class _Lexicon:
-    """Numbers of the words met so far by this task; asks the broadcasts once per word."""
+class _Lexicon(dict):
+    """Numbers of the words met so far by this task, and ``columns``: their hashes and what ``ask`` knows, asked once per word."""
 
-    def __init__(self, ones: LeveledFilter, exact: tuple, limit: int):
-        self.ones, self.exact, self.limit = ones, exact, limit
+    def __init__(self, ask: Callable, limit: int):
+        super().__init__()
+        self.ask, self.limit = ask, limit
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.hash = self.level = self.known = np.empty(0)
-        self.add([None])  # number 0 is the end
-
-    def add(self, words: list[bytes | None]) -> None:
-        hashes = WordHashes()
-        own = np.array([int(END) if w is None else hashes[w] for w in words], np.uint64)
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        level = self.ones.levels(own)
-        known = _looked_up(own, *self.exact)
-        first = not len(self.hash)
-        self.hash = own if first else np.concatenate([self.hash, own])
-        self.level = level if first else np.concatenate([self.level, level])
-        self.known = known if first else np.concatenate([self.known, known])
+        self.clear()
+        self.columns: tuple[np.ndarray, ...] = ()
+        self.fresh: list[bytes | None] = []
+        self[None]  # number 0 is the end
+
+    def __missing__(self, word: bytes | None) -> int:
+        self.fresh.append(word)
+        number = self[word] = len(self)
+        return number
 
     def numbers(self, words: list[list[bytes]]) -> np.ndarray:
-        fresh = set().union(*words) - self.number.keys()
-        if len(self.number) + len(fresh) > self.limit:
+        if len(self) > self.limit:
             self.reset()
-            fresh = set().union(*words)
-        if fresh:
-            self.add(list(fresh))
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         out = np.zeros(int(lengths.sum()), np.int64)
         inner = np.ones(len(out), np.bool_)
         inner[np.cumsum(lengths) - 1] = False
-        flat = [w for ws in words for w in ws]
-        out[inner] = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        out[inner] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, len(out) - len(words))
+        if self.fresh:
+            hashes = WordHashes()
+            own = np.array([int(END) if w is None else hashes[w] for w in self.fresh], np.uint64)
+            found = (own, *self.ask(own))
+            self.columns = tuple(map(np.concatenate, zip(self.columns, found))) if self.columns else found
+            self.fresh = []
         return out
 
 
-def _scores(rows: DataFrame, model: Model, shard: list[int], lexicon: Callable) -> DataFrame:
-    """n_tokens, the model's log10 probability of the tokens in ``shard``, and the base score.
+def _scores(rows: DataFrame, model: Model, twos: Broadcast, shard: list[int], lexicon: Callable, base: bool) -> DataFrame:
+    """n_tokens, the model's log10 probability of the tokens in ``shard``, and the base score; without ``base`` the second alone.
 
     p(word | context) = (pairs + prior * p(word)) / (context + prior), p(word) = (count + 0.1) / (N + 0.1 (V + 1)):
     pairs and count by the smallest of their level, the context by the largest of its level. So the words
     that may follow a context never have more than all probability, but for false hits of the filter.
-    ``lexicon()`` gives a function from a batch to its tokens' hashes, levels and exact counts, and the
-    tokens of each text.
+    ``twos`` is the filter of the shard. ``lexicon()`` gives a function from a batch to its tokens' hashes, the
+    number of tokens of each text, and what gives the levels and the exact counts of tokens at some places.
     """
-    twos = rows.sparkSession.sparkContext.broadcast(model.filter(2, shard))
     total, types, documents, part_bits = model.tokens, model.types, model.documents, model.part_bits
     prior, unigram_base = model.settings.prior, model.settings.unigram_base
     below = total + 0.1 * (types + 1)
@@ -421,33 +470,34 @@ def _scores(rows: DataFrame, model: Model, shard: list[int], lexicon: Callable)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat, levels, known, lengths = look_up(batch)
+            flat, lengths, levels, counts = look_up(batch)
             firsts = np.cumsum(lengths) - lengths
-            low, high = span_of(np.arange(levels.max(initial=0) + 1), unigram_base)
-            before = np.empty(len(flat))
-            before[1:] = high[levels[:-1]]
-            before[firsts] = documents
+            first = np.zeros(len(flat), np.bool_)
+            first[firsts] = True
             grams = _short(join_hashes(_contexts(flat, lengths), flat), part_bits)
             here = np.flatnonzero(owned[twos.value.part(grams)])
-            pairs = np.minimum(twos.value.at_least(grams[here]), before[here])
-            single = (low[levels[here]] + 0.1) / below
+            word, context = levels(here), levels(here - 1)
+            low, high = span_of(np.arange(max(word.max(initial=0), context.max(initial=0)) + 1), unigram_base)
+            before = np.where(first[here], documents, high[context])
+            asked, place = np.unique(grams[here], return_inverse=True)
+            pairs = np.minimum(twos.value.at_least(asked)[place], before)
+            single = (low[word] + 0.1) / below
             logs = np.zeros(len(flat))
-            logs[here] = np.log10((pairs + prior * single) / (before[here] + prior))
-            base = np.log10((known + 0.1) / below)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), batch.column(2), pa.array(lengths),
-                    pa.array(np.add.reduceat((known > 0).astype(np.int64), firsts)),
-                    pa.array(np.add.reduceat(base, firsts)),
-                    pa.array(np.add.reduceat(logs, firsts)),
-                ],
-                names=["id", "tag", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            logs[here] = np.log10((pairs + prior * single) / (before + prior))
+            found = {"id": batch.column(0), "tag": batch.column(1), "score": pa.array(np.add.reduceat(logs, firsts))}
+            if base:
+                known = counts(slice(None))
+                found |= {
+                    "held_out": batch.column(2), "n_tokens": pa.array(lengths),
+                    "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64), firsts)),
+                    "base_score": pa.array(np.add.reduceat(np.log10((known + 0.1) / below), firsts)),
+                }
+            yield pa.RecordBatch.from_pydict(found)
         del look_up
         release_memory()
 
-    schema = "id long, tag long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    return rows.mapInArrow(run, schema)
+    more = ", held_out boolean, n_tokens long, n_known long, base_score double" if base else ""
+    return rows.mapInArrow(run, "id long, tag long, score double" + more)
 
 
 def _by_broadcast(rows: DataFrame, model: Model) -> Callable:
@@ -457,40 +507,76 @@ def _by_broadcast(rows: DataFrame, model: Model) -> Callable:
 
     def lexicon() -> Callable:
         worker_cache("language-model")
-        words_met = _Lexicon(ones.value, vocabulary.value, task_words)
+        words_met = _Lexicon(lambda own: (ones.value.levels(own), _looked_up(own, *vocabulary.value)), task_words)
 
         def look_up(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             words = [split_words(lower_ascii(t)) for t in text_bytes(batch.column(3))]
             numbers = words_met.numbers(words)
             lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            return words_met.hash[numbers], words_met.level[numbers], words_met.known[numbers], lengths
+            hashes, levels, known = words_met.columns
+            return hashes[numbers], lengths, lambda at: levels[numbers[at]], lambda at: known[numbers[at]]
 
         return look_up
 
     return lexicon
 
 
-def _with_words(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` with gram, level and c of each document's distinct words, joined whatever the vocabulary's size."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then the second ones, and so on: the numbers of frequent types are small and compress well so."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _numbered(rows: DataFrame, table: Broadcast, frequent: int, task_words: int) -> DataFrame:
+    """``tokens`` in place of the text: numbers of frequent types, and from ``frequent`` on places in ``rare``.
+
+    ``rare`` has the hashes of the document's other words, sorted, each once. The end is a token like the words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        worker_cache("language-model")
+        grams, ranks = table.value
+
+        def ask(own: np.ndarray) -> tuple[np.ndarray]:
+            at = np.minimum(np.searchsorted(grams, own), max(0, frequent - 1))
+            return (np.where(grams[at] == own, ranks[at], frequent) if frequent else np.zeros(len(own), np.int64),)
+
+        words_met = _Lexicon(ask, task_words)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat, lengths = _flat(text_bytes(batch.column(3)), hashes)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            order = np.lexsort((flat, owner))
-            flat, owner = flat[order], owner[order]
-            new = np.ones(len(flat), np.bool_)
-            new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
-            at = pa.array(owner[new])
+            words = [split_words(lower_ascii(t)) for t in text_bytes(batch.column(3))]
+            met = words_met.numbers(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            del words
+            hashes, numbers = words_met.columns
+            numbers = numbers[met].astype(np.uint32)
+            other = np.flatnonzero(numbers == frequent)
+            owner, own = np.searchsorted(ends, other, "right"), as_signed(hashes[met[other]])
+            order = np.lexsort((own, owner))
+            other, owner, own = other[order], owner[order], own[order]
+            new = np.ones(len(own), np.bool_)
+            new[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])
+            starts = np.searchsorted(owner[new], np.arange(len(ends) + 1))
+            numbers[other] = frequent + np.cumsum(new) - 1 - starts[owner]
+            rare = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(own[new]))
+            tokens = [_packed(x) for x in np.split(numbers, ends[:-1])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(as_signed(flat[new]))],
-                names=["id", "tag", "gram"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(tokens, pa.binary()), rare],
+                names=["id", "tag", "held_out", "tokens", "rare"],
             )
+        del words_met, grams, ranks
+        release_memory()
 
-    used = rows.mapInArrow(run, "id long, tag long, gram long")
+    return rows.mapInArrow(run, "id long, tag long, held_out boolean, tokens binary, rare array<long>")
+
+
+def _with_words(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows of _numbered with gram, level and c of their rare words, joined whatever the vocabulary's size."""
+    used = rows.select("id", "tag", F.explode("rare").alias("gram"))
     found = model.unigrams_of(used.select("gram").distinct())
     # a set, as repeated rows ask for the same words
     words = (
@@ -498,32 +584,68 @@ def _with_words(rows: DataFrame, model: Model) -> DataFrame:
         .groupBy("id", "tag")
         .agg(F.sort_array(F.collect_set(F.struct("gram", "level", "c"))).alias("words"))
     )
-    return rows.join(per_key(words, "id", "tag"), ["id", "tag"]).select("id", "tag", "held_out", "text", "words")
-
-
-def _by_join(task_words: int) -> Callable:
-    """For rows of _with_words."""
-
-    def lexicon() -> Callable:
-        hashes = WordHashes(task_words)
-
-        def look_up(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-            flat, lengths = _flat(text_bytes(batch.column(3)), hashes)
-            own = flat.view(np.int64)
-            words = batch.column(4)
-            sizes = words.value_lengths().to_numpy()
-            words = words.flatten()
-            grams, levels, counts = (words.field(k).to_numpy() for k in range(3))
-            place = np.empty(len(own), np.int64)
-            at = start = 0
-            for n, size in zip(lengths, sizes):
-                place[at : at + n] = start + np.searchsorted(grams[start : start + size], own[at : at + n])
-                at, start = at + n, start + size
-            return flat, levels[place], counts[place], lengths
-
-        return look_up
-
-    return lexicon
+    return rows.join(per_key(words, "id", "tag"), ["id", "tag"], "left").select("id", "tag", "held_out", "tokens", "words")
+
+
+def _stored(grams: np.ndarray, levels: np.ndarray, counts: np.ndarray) -> Callable:
+    """The lexicon of one task for rows of _with_words. The last row of the frequent types stands for all others."""
+    worker_cache("language-model")
+    frequent = len(grams) - 1
+
+    def look_up(batch: pa.RecordBatch) -> tuple:
+        tokens = [_unpacked(x) for x in batch.column(3).to_pylist()]
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        numbers = np.concatenate(tokens)
+        del tokens
+        other = np.flatnonzero(numbers >= frequent)
+        sizes = batch.column(4).value_lengths().fill_null(0).to_numpy()  # null: no rare words
+        starts = np.cumsum(sizes) - sizes
+        owner = np.searchsorted(np.cumsum(lengths), other, "right")
+        # all frequent types come first, then the words of each text
+        numbers = numbers.astype(np.int64)
+        numbers[other] += starts[owner]
+        words = batch.column(4).flatten()
+
+        def of(table: np.ndarray, own: pa.Array, at: np.ndarray | slice) -> np.ndarray:
+            asked = numbers[at]
+            out = table[np.minimum(asked, frequent)]
+            rare = np.flatnonzero(asked >= frequent)
+            out[rare] = own.to_numpy()[asked[rare] - frequent].astype(table.dtype)
+            return out
+
+        gram, level, count = (words.field(k) for k in range(3))
+        return (
+            of(grams, gram, slice(None)), lengths,
+            lambda at: of(levels, level, at).astype(np.int64), lambda at: of(counts, count, at),
+        )
+
+    return look_up
+
+
+def _by_join(rows: DataFrame, model: Model) -> tuple[DataFrame, Callable]:
+    """The rows as numbers, written once, and their lexicon."""
+    spark = rows.sparkSession
+    context, path = spark.sparkContext, scratch_path(spark, "document-words")
+    grams, levels, counts = model.frequent()
+    frequent = len(grams)
+    order = np.argsort(counts, kind="stable")[::-1].astype(np.uint32)  # the smallest number for the most frequent type
+    ranks = np.empty_like(order)
+    ranks[order] = np.arange(frequent, dtype=np.uint32)
+    table = context.broadcast((grams, ranks))
+    del ranks
+    # one row more, for the numbers of rare words
+    known = [context.broadcast(np.append(x[order], x.dtype.type(0))) for x in (grams, levels, counts)]
+    del grams, levels, counts, order
+    release_memory()
+    with scratch(spark):
+        numbered = stage(_numbered(rows, table, frequent, model.settings.task_words), "numbered")
+        table.destroy()
+        _with_words(numbered, model).write.parquet(path)
+    rows = spark.read.schema(
+        "id long, tag long, held_out boolean, tokens binary, words array<struct<gram: long, level: long, c: long>>"
+    ).parquet(path)
+
+    return rows, lambda: _stored(*(x.value for x in known))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -536,17 +658,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     if max(model.vocabulary_bytes(), model.unigram_bytes) <= model.settings.broadcast_bytes:
         lexicon = _by_broadcast(rows, model)
     else:
-        rows, lexicon = stage(_with_words(rows, model), "document-words"), _by_join(model.settings.task_words)
-    shards = model.shards()
-    out = _scores(rows, model, shards[0], lexicon)
-    if len(shards) > 1:
-        more = None
-        for shard in shards[1:]:
-            part = stage(_scores(rows, model, shard, lexicon).select("id", "tag", "score"), "shard-scores")
-            more = part if more is None else more.union(part)
+        rows, lexicon = _by_join(rows, model)
+    first, *shards = model.shards()
+    context, more = rows.sparkSession.sparkContext, None
+    for shard in shards:
+        twos = context.broadcast(model.filter(2, shard))
+        part = stage(_scores(rows, model, twos, shard, lexicon, base=False), "shard-scores")
+        twos.destroy()  # each copy of it takes disk on every machine
+        more = part if more is None else more.union(part)
+    out = _scores(rows, model, context.broadcast(model.filter(2, first)), first, lexicon, base=True)
+    if shards:
         more = more.groupBy("id", "tag").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
         # n is the number of equal rows times the number of further shards
-        more = more.select("id", "tag", (F.col("s") * (len(shards) - 1) / F.col("n")).alias("more"))
+        more = more.select("id", "tag", (F.col("s") * len(shards) / F.col("n")).alias("more"))
         out = out.join(more, ["id", "tag"]).withColumn("score", F.col("score") + F.col("more")).drop("more")
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),

@@ -1,6 +1,7 @@
 import collections
 import re
 import zlib
+from pathlib import Path
 
 import helpers as h
 import numpy as np
@@ -172,6 +173,34 @@ def test_unigrams_beyond_the_bound_are_joined(spark, monkeypatch):
     assert set(asked) == {2}
 
 
+def test_frequent_words_and_texts_are_not_joined(spark, monkeypatch):
+    """Beyond the bound only rare words go to the documents that hold them, and what is written of a text is shorter than it."""
+    draw = np.random.default_rng(4)
+    ranks = (draw.pareto(0.8, (300, 150)) * 3).astype(int) % 2000
+    texts = [" ".join(f"someword{x}" for x in r[: 1 + k % 150]) + f" only{k}" for k, r in enumerate(ranks.tolist())]
+    rows = [*enumerate(texts), (0, texts[0]), (None, None), (7, ""), (None, "onlyhere onlyhere someword0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked, written, plain, path = [], [], language_model.Model.unigrams_of, language_model.scratch_path
+    monkeypatch.setattr(language_model.Model, "unigrams_of", lambda self, words: asked.append(words.count()) or plain(self, words))
+    monkeypatch.setattr(language_model.Model, "shards", lambda self: [[*range(1 << self.part_bits)]])
+    monkeypatch.setattr(language_model, "scratch_path", lambda *a: written.append(path(*a)) or written[-1])
+
+    def scores(bound):
+        model = language_model.train(docs, language_model.Settings(broadcast_bytes=bound))
+        found = language_model.score(docs, model).collect()
+        return model, sorted(f"{r.doc_id} {r.held_out} {r.n_tokens} {r.n_known} {r.base_score!r} {r.score!r}" for r in found)
+
+    _, whole = scores(1 << 24)
+    assert not asked and not written
+    model, found = scores(7000)
+    assert found == whole and len(found) == len(rows)
+    assert 300 <= asked[0] < model.types * 0.8
+    size = sum(f.stat().st_size for f in Path(written[0]).glob("*.parquet"))
+    assert size < sum(map(len, texts)) / 2
+    assert not [*Path(written[0]).parents[1].glob("*/numbered")]  # what came before is gone
+    assert scores(10)[1] == whole  # no type is frequent
+
+
 def test_counts_beyond_32_bits(spark):
     settings = language_model.Settings()
     gram, most = np.uint64(5), 0xFFFFFFFF

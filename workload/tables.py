@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import zlib
 
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,33 +205,62 @@ def arquivos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_files(manifest: DataFrame, folder: str) -> None:
     """Make the manifest's files real: those before 1998 in ``folder``, the others in a sub-folder of it.
 
-    Each file holds its own name. Tasks write them through the store of the folder, which all see.
+    Each file holds its own name. Tasks write them through the store of the folder, which all see. Files that
+    lay in the folder go; on a local disk the new ones take them over, written anew and under their own names:
+    where many files were just deleted, ext4 without a journal may search a millisecond for each one made.
     """
+    tasks, before = manifest.sparkSession.sparkContext.defaultParallelism, "-antes"
 
     def place():
-        from pyarrow import fs
-
         store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         store.create_dir(f"{root}/depois", recursive=True)
         return store, root
 
+    def left_over(store, root: str) -> list[str]:
+        """This task's share of the files that lay in the folder."""
+        if not isinstance(store, fs.LocalFileSystem):
+            return []
+        own = TaskContext.get().partitionId()
+        found = (x.path for part in ("", "/depois") for x in os.scandir(f"{root}{before}{part}") if x.is_file())
+        return [path for path in found if zlib.crc32(os.fsencode(path)) % tasks == own]
+
+    def taken_over(old: list[str], path: str, content: bytes) -> bool:
+        while old:
+            source = old.pop()
+            try:
+                with open(source, "r+b", buffering=0) as out:
+                    out.write(content)
+                    out.truncate()
+                os.replace(source, path)
+            except FileNotFoundError:  # an earlier attempt of the task took it
+                continue
+            return True
+        return False
+
     def write(rows) -> None:
         store, root = place()
+        old = left_over(store, root)
         for row in rows:
             name = row.caminho_arquivo.rsplit("/", 1)[1]
             where = root if row.caminho_arquivo < "/flyers/1998" else f"{root}/depois"
-            with store.open_output_stream(f"{where}/{name}") as out:
-                out.write(name.encode())
-
+            if not taken_over(old, f"{where}/{name}", name.encode()):
+                with store.open_output_stream(f"{where}/{name}") as out:
+                    out.write(name.encode())
+
+    store, root = place()
+    if store.get_file_info(root + before).type == fs.FileType.Directory:  # a run that was broken off
+        store.delete_dir(root + before)
+    store.move(root, root + before)
     place()  # also without rows
-    manifest.foreachPartition(write)
+    manifest.repartition(tasks).foreachPartition(write)
+    store.delete_dir(root + before)
 
 
 def listed_files(spark: SparkSession, manifest: DataFrame, portion_files: int = 50_000) -> DataFrame:
     """What ``list_folder`` finds of the manifest's files, made real and listed some ``portion_files`` at a time.
 
-    A small file takes a whole block of disk, so the files of a portion go once their listing is written:
-    the disk they take does not grow with the manifest. The manifest is dealt to its portions once.
+    A small file takes a whole block of disk, so the files of a portion give way to the next once their listing is
+    written: the disk they take does not grow with the manifest. The manifest is dealt to its portions once.
     """
     portions = max(1, -(-manifest.count() // portion_files))
     root = scratch_path(spark, "panfletos")
@@ -237,10 +270,10 @@ def listed_files(spark: SparkSession, manifest: DataFrame, portion_files: int =
     dealt.repartition("porcao").write.partitionBy("porcao").parquet(f"{root}/porcoes")
     dealt = spark.read.schema("caminho_arquivo string, porcao long").parquet(f"{root}/porcoes")
     tasks = spark.sparkContext.defaultParallelism
-    for k in range(portions):
-        with scratch(spark):
-            folder = scratch_path(spark, "porcao")
-            write_files(dealt.where(F.col("porcao") == k).select("caminho_arquivo").repartition(tasks), folder)
+    with scratch(spark):
+        folder = scratch_path(spark, "porcao")
+        for k in range(portions):
+            write_files(dealt.where(F.col("porcao") == k).select("caminho_arquivo"), folder)
             found = list_folder(spark, folder).select("nome_arquivo", "length")
             found.coalesce(tasks).write.mode("append").parquet(f"{root}/lista")
     return spark.read.schema("nome_arquivo string, length long").parquet(f"{root}/lista")

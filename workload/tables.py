@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import gc
 import os
 import zlib
 
@@ -276,6 +277,8 @@ def listed_files(spark: SparkSession, manifest: DataFrame, portion_files: int =
             write_files(dealt.where(F.col("porcao") == k).select("caminho_arquivo"), folder)
             found = list_folder(spark, folder).select("nome_arquivo", "length")
             found.coalesce(tasks).write.mode("append").parquet(f"{root}/lista")
+            del found
+            gc.collect()  # py4j's objects hold each other, and the driver's listings of the portions with them
     return spark.read.schema("nome_arquivo string, length long").parquet(f"{root}/lista")
 
 
